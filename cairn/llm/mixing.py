@@ -44,9 +44,9 @@ def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), max_epochs: flo
 
     times says how often the mix repeats each of the unit's rows: the whole part of target / source_size for
     all, and once more for the share that is left over. Who has that is settled in seeded buckets of a bounded
-    number of rows: from the largest document to the smallest each is taken if that brings the words taken
-    nearer to what they should be so far, with a seeded start, so a bucket ends within about its smallest
-    document of its target. The result depends on the rows alone, not on their order or partitions.
+    number of rows: from the largest document to the smallest each is taken with the seeded chance that
+    the words still due have in its own, so all have the same chance and a bucket ends within about its smallest
+    documents of its target. The result depends on the rows alone, not on their order or partitions.
     """
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     units = cut(rows.groupBy("source", "doc_id", "size").agg(F.count("*").alias("copies_in")))
@@ -62,25 +62,25 @@ def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), max_epochs: flo
     )
     first = F.struct((-F.col("size") * F.col("copies_in")).alias("order"), "h", "doc_id", "size", "copies_in")
     grouped = u.groupBy("source", "bucket", "total", "target", "rate").agg(F.sort_array(F.collect_list(first)).alias("rows"))
-    return grouped.select("source", "total", "target", "rate", F.explode(_taken("rows", F.col("rate") - F.floor("rate"), seed)).alias("d")).select(
+    return grouped.select("source", "total", "target", "rate", F.explode(_taken("rows", F.col("rate") - F.floor("rate"))).alias("d")).select(
         "d.doc_id", "source", "d.size", "d.copies_in", F.col("total").alias("source_size"), "target",
         (F.floor("rate") + F.col("d.extra")).cast("long").alias("times"),
     )
 
 
-def _taken(rows: str, share: Column, seed: int) -> Column:
+def _taken(rows: str, share: Column) -> Column:
     """The rows with extra: 1 for those that are taken once more. due: words that should be taken less those that are."""
-    start = (F.pmod(F.xxhash64(F.lit(seed + 2), F.col("source"), F.col("bucket")), F.lit(1 << 20)) / float(1 << 20) - 0.5) * -F.col(rows)[0]["order"]
     kind = "array<struct<doc_id:bigint,size:bigint,copies_in:bigint,extra:int>>"
 
     def step(state: Column, row: Column) -> Column:
         words = -row["order"]
         due = state["due"] + share * words
-        take = (due * 2 > words) & (words > 0)
+        chance = F.pmod(row["h"], F.lit(1 << 20)) / float(1 << 20)
+        take = due > chance * words
         made = F.struct(row["doc_id"].alias("doc_id"), row["size"].alias("size"), row["copies_in"].alias("copies_in"), take.cast("int").alias("extra"))
         return F.struct((due - F.when(take, words).otherwise(0)).cast("double").alias("due"), F.concat(state["out"], F.array(made)).alias("out"))
 
-    zero = F.struct(start.cast("double").alias("due"), F.array().cast(kind).alias("out"))
+    zero = F.struct(F.lit(0.0).alias("due"), F.array().cast(kind).alias("out"))
     return F.aggregate(F.col(rows), zero, step)["out"]
 
 
