@@ -8,10 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, pii, quality_rules, sentencepiece_bpe, sharding, simhash
+from . import chat, fingerprints, mixing, pii, quality_rules, sentencepiece_bpe, sharding, simhash, weak_labels
 from .common import table
 
 
+def op1_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = weak_labels.classify(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "votes", "weak_label", *(F.round(c, 6).alias(c) for c in ("p_clean", "p_junk", "p_toxic")), "kept")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = fingerprints.compare_edited(table(spark, sf_dir, "documents"))
     own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
@@ -74,6 +79,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_weak_labels": op1_weak_labels,
     "op2_fingerprints": op2_fingerprints,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
