@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, pii, quality_rules, sentencepiece_bpe, sharding, simhash, weak_labels
+from . import chat, fingerprints, mixing, pii, quality_rules, repeats, sentencepiece_bpe, sharding, simhash, weak_labels
 from .common import table
 
 
@@ -74,6 +74,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 8).drop("gid")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), max_epochs=3.0).drop("times", "source")
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_chat": op7_chat,
     "op8_sharding": op8_sharding,
+    "op9_repeats": op9_repeats,
     "op10_mixing": op10_mixing,
 }
 
