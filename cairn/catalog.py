@@ -1,0 +1,3 @@
+"""Imports every module that registers queries."""
+
+from .plans import fusion  # noqa: F401
