@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from .plans import fusion  # noqa: F401
+from .plans import absence, evaluation, fusion  # noqa: F401
