@@ -1,0 +1,145 @@
+"""Queries of graph patterns and algorithms over the trade tables as a property graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.expr import r6
+from ..operators import graph as g
+from ..registry import query
+from ..sources.tables import GRAPH_SQL, graph, read
+
+BOTH = f"{GRAPH_SQL}, links AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)"
+TRADE = ["region", "nation", "supplier", "customer"]
+
+
+def small(spark, sf):
+    """The part of the graph without orders and parts."""
+    nodes, edges = graph(spark, sf)
+    return nodes.where(F.col("label").isin(TRADE)), edges.where(F.col("type").isin("in_region", "in_nation"))
+
+
+SMALL = f"{GRAPH_SQL}, sn AS (SELECT id FROM nodes WHERE label IN ('region', 'nation', 'supplier', 'customer')), se AS (SELECT src, dst FROM edges WHERE type IN ('in_region', 'in_nation'))"
+
+
+@query("degree", f"WITH {BOTH}, d AS (SELECT src AS id, count(*) AS degree FROM links GROUP BY 1) SELECT id, label, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN d USING (id)")
+def _degree(spark, sf):
+    return g.degrees(*graph(spark, sf))
+
+
+@query("typed_degree", f"WITH {GRAPH_SQL} SELECT src AS id, count(*) FILTER (type = 'contains') AS contains, count(*) FILTER (type = 'placed_by') AS placed_by, count(*) FILTER (type = 'supplied_by') AS supplied_by FROM edges WHERE type NOT LIKE 'in%' GROUP BY 1")
+def _typed(spark, sf):
+    _, edges = graph(spark, sf)
+    return edges.where("type NOT LIKE 'in%'").groupBy(F.col("src").alias("id")).pivot("type", ["contains", "placed_by", "supplied_by"]).count().na.fill(0)
+
+
+@query("k_hop", f"""WITH {BOTH}, h1 AS (SELECT DISTINCT dst AS id FROM links WHERE src = 'n1'), h2 AS (SELECT DISTINCT l.dst AS id FROM h1 JOIN links l ON l.src = h1.id WHERE l.dst <> 'n1' AND l.dst NOT IN (SELECT id FROM h1))
+SELECT 'n1' AS seed, 'n1' AS id, 0 AS hops UNION ALL SELECT 'n1', id, 1 FROM h1 UNION ALL SELECT 'n1', id, 2 FROM h2""")
+def _hops(spark, sf):
+    nodes, edges = graph(spark, sf)
+    return g.k_hop(edges, nodes.where("id = 'n1'"), 2)
+
+
+@query("two_hop_pattern", f"""WITH {GRAPH_SQL} SELECT c.dst AS nation, p.dst AS supplier, count(*) AS paths FROM edges o JOIN edges c ON c.src = o.dst AND c.type = 'in_nation' JOIN edges k ON k.src = o.src AND k.type = 'contains' JOIN edges p ON p.src = k.dst AND p.type = 'supplied_by' WHERE o.type = 'placed_by' GROUP BY 1, 2""")
+def _pattern(spark, sf):
+    """Nation of the customer and supplier of a part, through each order."""
+    _, e = graph(spark, sf)
+    of = lambda kind, a, b: e.where(F.col("type") == kind).select(F.col("src").alias(a), F.col("dst").alias(b))
+    placed, home, holds, made = of("placed_by", "o", "c"), of("in_nation", "c", "nation"), of("contains", "o", "p"), of("supplied_by", "p", "supplier")
+    left = placed.join(home, "c").groupBy("o", "nation").agg(F.count("*").alias("k"))
+    right = holds.join(made, "p").groupBy("o", "supplier").agg(F.count("*").alias("m"))
+    return left.join(right, "o").groupBy("nation", "supplier").agg(F.sum(F.col("k") * F.col("m")).alias("paths"))
+
+
+@query("components", f"""WITH RECURSIVE {SMALL}, l AS (SELECT src, dst FROM se UNION SELECT dst, src FROM se), r(id, root) AS (SELECT id, id FROM sn UNION SELECT l.dst, r.root FROM r JOIN l ON l.src = r.id)
+SELECT id, min(root) AS component FROM r GROUP BY id""")
+def _components(spark, sf):
+    return g.components(*small(spark, sf))
+
+
+def _pagerank_sql(start: str, rounds: int) -> str:
+    steps = ["r0 AS (SELECT id, weight AS rank FROM base)"]
+    for i in range(rounds):
+        steps.append(f"""r{i + 1} AS (SELECT b.id, 0.15 * b.weight + 0.85 * (coalesce(s.got, 0) + (SELECT coalesce(sum(r.rank), 0) FROM r{i} r WHERE r.id NOT IN (SELECT src FROM o)) * b.weight) AS rank
+FROM base b LEFT JOIN (SELECT l.dst, sum(r.rank / o.n) AS got FROM se l JOIN o USING (src) JOIN r{i} r ON r.id = l.src GROUP BY 1) s ON s.dst = b.id)""")
+    return f"WITH {SMALL}, o AS (SELECT src, count(*) AS n FROM se GROUP BY 1), base AS (SELECT id, {start} AS weight FROM sn), {', '.join(steps)} SELECT id, round(rank, 6) AS rank FROM r{rounds}"
+
+
+@query("pagerank", _pagerank_sql("1.0::DOUBLE / (SELECT count(*) FROM sn)", 5))
+def _pagerank(spark, sf):
+    return g.pagerank(*small(spark, sf), rounds=5).select("id", r6(F.col("rank")).alias("rank"))
+
+
+@query("personalised_pagerank", _pagerank_sql("CASE WHEN id = 'c1' THEN 1.0::DOUBLE ELSE 0 END", 4))
+def _ppr(spark, sf):
+    nodes, edges = small(spark, sf)
+    return g.pagerank(nodes, edges, rounds=4, start=nodes.where("id = 'c1'").select("id", F.lit(1.0).alias("weight"))).select("id", r6(F.col("rank")).alias("rank"))
+
+
+def _hits_sql(rounds: int) -> str:
+    steps = ["h0 AS (SELECT id, 1.0::DOUBLE AS hub FROM sn)"]
+    for i in range(1, rounds + 1):
+        steps += [
+            f"x{i} AS (SELECT n.id, coalesce(sum(h.hub), 0) AS v FROM sn n LEFT JOIN se l ON l.dst = n.id LEFT JOIN h{i - 1} h ON h.id = l.src GROUP BY 1)", f"a{i} AS (SELECT id, v / (SELECT sqrt(sum(v * v)) FROM x{i}) AS authority FROM x{i})",
+            f"y{i} AS (SELECT n.id, coalesce(sum(a.authority), 0) AS v FROM sn n LEFT JOIN se l ON l.src = n.id LEFT JOIN a{i} a ON a.id = l.dst GROUP BY 1)", f"h{i} AS (SELECT id, v / (SELECT sqrt(sum(v * v)) FROM y{i}) AS hub FROM y{i})",
+        ]
+    return f"WITH {SMALL}, {', '.join(steps)} SELECT id, round(hub, 6) AS hub, round(authority, 6) AS authority FROM h{rounds} JOIN a{rounds} USING (id)"
+
+
+@query("hits", _hits_sql(3))
+def _hits(spark, sf):
+    return g.hits(*small(spark, sf), rounds=3).select("id", r6(F.col("hub")).alias("hub"), r6(F.col("authority")).alias("authority"))
+
+
+NATIONS = "q AS (SELECT DISTINCT s_nationkey AS l, l_partkey AS r FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"
+
+
+def supplied(spark, sf):
+    lines, s = read(spark, sf, "lineitem").select("l_suppkey", "l_partkey"), read(spark, sf, "supplier")
+    return lines.join(s, F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("s_nationkey").alias("left"), F.col("l_partkey").alias("right"))
+
+
+@query("link_prediction", f"""WITH {NATIONS}, f AS (SELECT r, count(*) AS f FROM q GROUP BY 1), n AS (SELECT l, count(*) AS n FROM q GROUP BY 1),
+m AS (SELECT a.l AS a, b.l AS b, count(*) AS common, sum(1 / ln(f)) AS aa FROM q a JOIN q b ON a.r = b.r AND a.l < b.l JOIN f ON f.r = a.r GROUP BY 1, 2)
+SELECT a, b, common, round(common::DOUBLE / (x.n + y.n - common), 6) AS jaccard, round(aa, 4) AS adamic_adar FROM m JOIN n x ON x.l = a JOIN n y ON y.l = b""")
+def _links(spark, sf):
+    """Nations that supply the same parts."""
+    got = g.shared_neighbours(supplied(spark, sf))
+    return got.select("a", "b", "common", r6(F.col("jaccard")).alias("jaccard"), F.round("adamic_adar", 4).alias("adamic_adar"))
+
+
+TRI = "l AS (SELECT DISTINCT s_nationkey * 1000 + c_nationkey AS k, 'n' || least(s_nationkey, c_nationkey) AS src, 'n' || greatest(s_nationkey, c_nationkey) AS dst FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity = 50 AND l_discount = 0.1 AND s_nationkey <> c_nationkey)"
+
+
+@query("triangles", f"""WITH {TRI}, e AS (SELECT DISTINCT src, dst FROM l), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e) SELECT x.src AS id, count(*) AS triangles FROM b x JOIN b y ON y.src = x.src AND y.dst > x.dst JOIN b z ON z.src = x.dst AND z.dst = y.dst GROUP BY 1""")
+def _triangles(spark, sf):
+    """Nations that trade with each other, by large discounted lines."""
+    lines = read(spark, sf, "lineitem").where("l_quantity = 50 AND l_discount = 0.1")
+    t = lines.join(read(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(read(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    e = t.select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst")).distinct()
+    return g.triangles(e)
+
+
+@query("modularity", f"""WITH {BOTH}, t AS (SELECT count(*)::DOUBLE AS t FROM links), m AS (SELECT x.label AS a, y.label AS b FROM links JOIN nodes x ON x.id = src JOIN nodes y ON y.id = dst),
+c AS (SELECT a AS community, count(*) FILTER (a = b) AS i, count(*) AS v FROM m GROUP BY 1), p AS (SELECT *, i / t - (v / t) ** 2 AS part FROM c, t)
+SELECT community, i // 2 AS inside, v - i AS cut, round(coalesce((v - i) / nullif(least(v, t - v), 0), 0), 6) AS conductance, round(part, 6) AS part, round(sum(part) OVER (), 6) AS modularity FROM p""")
+def _modularity(spark, sf):
+    nodes, edges = graph(spark, sf)
+    got = g.modularity(edges, nodes.select("id", F.col("label").alias("community")))
+    return got.select("community", "inside", "cut", *(r6(F.col(c)).alias(c) for c in ("conductance", "part", "modularity")))
+
+
+@query("partition_agreement", """WITH c AS (SELECT c_nationkey % 5 AS a, c_mktsegment AS b, count(*) AS n FROM customer GROUP BY 1, 2), x AS (SELECT a, sum(n) AS x FROM c GROUP BY 1), y AS (SELECT b, sum(n) AS y FROM c GROUP BY 1), t AS (SELECT sum(n)::DOUBLE AS t FROM c),
+s AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM c) AS nn, (SELECT sum(x * (x - 1) / 2.0) FROM x) AS xx, (SELECT sum(y * (y - 1) / 2.0) FROM y) AS yy, (SELECT sum(n / t * ln(n * t / (x * y))) FROM c JOIN x USING (a) JOIN y USING (b), t) AS mi,
+(SELECT -sum(x / t * ln(x / t)) FROM x, t) AS hx, (SELECT -sum(y / t * ln(y / t)) FROM y, t) AS hy, t FROM t), k AS (SELECT *, xx * yy / (t * (t - 1) / 2) AS chance FROM s) SELECT round((nn - chance) / ((xx + yy) / 2 - chance), 6) AS ari, round(2 * mi / (hx + hy), 6) AS nmi FROM k""")
+def _agreement(spark, sf):
+    got = g.partitions_agreement(read(spark, sf, "customer").select((F.col("c_nationkey") % 5).alias("a"), F.col("c_mktsegment").alias("b")))
+    return got.select(r6(F.col("ari")).alias("ari"), r6(F.col("nmi")).alias("nmi"))
+
+
+@query("snapshot_diff", """WITH o AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT o_orderkey, CASE WHEN o.o_orderstatus IS NULL THEN 'added' WHEN s IS NULL THEN 'removed' ELSE 'changed' END AS change, o_orderstatus AS old, s AS new FROM o FULL JOIN n USING (o_orderkey) WHERE o.o_orderstatus IS DISTINCT FROM s""")
+def _diff(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    new = o.where("o_orderkey % 5 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 11 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return g.diff(o.where("o_orderkey % 7 <> 0"), new, ["o_orderkey"], "o_orderstatus")
