@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from .plans import absence, evaluation, fusion, graph, records, retrieval  # noqa: F401
+from .plans import absence, evaluation, fusion, graph, records, retrieval, streams  # noqa: F401
