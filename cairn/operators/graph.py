@@ -153,3 +153,50 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFra
     a, b = old.select(*keys, F.col(value).alias("old"), F.lit(1).alias("_a")), new.select(*keys, F.col(value).alias("new"), F.lit(1).alias("_b"))
     kind = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     return a.join(b, keys, "full").withColumn("change", kind).where("change IS NOT NULL").select(*keys, "change", "old", "new")
+
+
+def shortest_paths(edges: DataFrame, start: str, most: int = 6) -> DataFrame:
+    """(id, hops) of all within most steps of one node: breadth first, each node at its first step."""
+    both = cut(undirected(edges))
+    spark = edges.sparkSession
+    found = spark.createDataFrame([(start, 0)], "id string, hops int")
+    for step in range(1, most + 1):
+        front = found.where(F.col("hops") == step - 1).join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti")
+        found = cut(found.unionByName(front.withColumn("hops", F.lit(step))))
+    return found
+
+
+def k_core(edges: DataFrame, k: int, max_rounds: int = 100) -> DataFrame:
+    """Links among nodes that keep at least k neighbours once all with fewer are gone, again and again."""
+    left = cut(undirected(edges))
+    for _ in range(max_rounds):
+        weak = left.groupBy("src").agg(F.count("*").alias("d")).where(F.col("d") < k).select("src")
+        if weak.isEmpty():
+            return left
+        left = cut(left.join(weak, "src", "left_anti").join(weak.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
+    raise RuntimeError("k_core: no end was reached")
+
+
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """(id, label): each round every node takes its neighbours' most frequent label, the least of equals."""
+    both = cut(undirected(edges))
+    label = nodes.select("id", F.col("id").alias("label"))
+    for _ in range(rounds):
+        votes = both.join(label, both.dst == label.id).groupBy("src", "label").agg(F.count("*").alias("n"))
+        best = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select(F.col("src").alias("id"), F.col("b.label").alias("new"))
+        label = cut(label.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label")))
+    return label
+
+
+def lines(nodes: DataFrame, edges: DataFrame, form: str) -> DataFrame:
+    """Text lines of a graph: 'tgf', 'sif', 'dot' or 'ndjson'. Files are written from them with write.text."""
+    quote = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
+    if form == "sif":
+        return edges.select(F.concat_ws("\t", "src", "type", "dst").alias("line"))
+    if form == "tgf":
+        return nodes.select(F.concat_ws(" ", "id", "label").alias("line")).unionByName(edges.select(F.concat_ws(" ", "src", "dst", "type").alias("line")))
+    if form == "dot":
+        return edges.select(F.concat(F.lit("  "), quote(F.col("src")), F.lit(" -> "), quote(F.col("dst")), F.lit(" [label="), quote(F.col("type")), F.lit("];")).alias("line"))
+    if form == "ndjson":
+        return edges.select(F.to_json(F.struct("src", "dst", "type")).alias("line"))
+    raise ValueError(f"unknown form {form}")
