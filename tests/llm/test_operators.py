@@ -1,0 +1,555 @@
+"""The training-data operators against plain versions, on small tables with nulls, ties, copies and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+import corpus_pipeline
+from cairn.llm import chat, components, fingerprints, mixing, pii, quality_rules, queries, repeats, sentencepiece_bpe, sharding, simhash, weak_labels
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+digest = lambda b: hashlib.sha256(b if isinstance(b, bytes) else b.encode()).hexdigest()
+
+
+def hard_docs(spark, extra=()):
+    """Null and empty texts, a long one, copies, repeated rows, ties, null ids and sources, and columns with unlucky names."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdeé日", k=rnd.randint(1, 7))) for _ in range(300)]
+    say = lambda n: " ".join(rnd.choices(words, k=n))
+    long, some = say(20_000), say(120)
+    texts = [None, "", " \n\t", "a", long, some, some, some + " " + say(3), say(60) + "\n" + some, say(200), "!!! ### $$$", "x" * 500, "ab" * 400, *extra]
+    rows = [(i, t, "en", "s" + str(i % 3), len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[5], (None, some, "en", None, 1), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    for name in ("_text", "h", "gid", "shard", "fp", "component_id", "_c0", "_quality", "kept", "size", "times", "_n_words"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df
+
+
+def empty_docs(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7), (101, 100)], "a long, b long")
+    got = {r.node: r.component for r in components.components(edges).collect()}
+    assert all(got[i] == 0 for i in range(51)) and got[101] == 100 and len(got) == 53
+
+
+# 1
+def test_weak_labels_find_junk_and_insults(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op1_weak_labels(spark, sf).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    clean, junk = [r.doc_id for r in labels if r.quality == 1 and r.toxic == 0], [r.doc_id for r in labels if r.quality == 0]
+    assert sum(got[i].kept for i in clean) >= 0.95 * len(clean)
+    assert sum(not got[i].kept for i in junk) >= 0.9 * len(junk)
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_weak_labels_edges(spark):
+    assert weak_labels.classify(hard_docs(spark)).count() == hard_docs(spark).count()
+    assert weak_labels.classify(empty_docs(spark)).count() == 0
+
+
+def test_estimate_trusts_the_better_labeller():
+    rnd, names = np.random.default_rng(1), list(weak_labels.LABELLERS)
+    truth = rnd.random(4000) < 0.2
+    p = np.ones((4000, len(names)), dtype=np.int64)
+    for name in ("symbols", "symbol_share"):
+        p[:, names.index(name)] = np.where(truth & (rnd.random(4000) < 0.9), weak_labels.JUNK, 1)
+    seen, counts = np.unique(p, axis=0, return_counts=True)
+    got = weak_labels.estimate(seen, counts.astype(float))
+    assert 0.1 < 1 - got.prior[0] < 0.3
+    assert got.right[names.index("symbols"), 1, weak_labels.JUNK] > 0.7
+
+
+# 2
+def test_fingerprints_of_edited_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op2_fingerprints(spark, SF).collect()}
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))} if t.split() else set()
+    gaps = []
+    for (i, text), (_, following) in zip(rows, rows[1:] + rows[:1], strict=True):
+        n = len(text) // 3
+        edited = text[: len(text) - n] + following[:n]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), digest(edited))
+        a, b = shingles(text), shingles(edited)
+        gaps.append(r.near_edited - len(a & b) / max(1, len(a | b)))
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    assert abs(np.mean(gaps)) < 0.03 and np.std(gaps) < 0.12
+    by_text = defaultdict(set)
+    for i, text in rows:
+        by_text[text].add(got[i].fingerprint)
+    assert all(len(v) == 1 for v in by_text.values())
+
+
+def test_fingerprint_edges(spark):
+    assert fingerprints.compare_edited(hard_docs(spark)).count() == hard_docs(spark).count()
+    assert fingerprints.compare_edited(empty_docs(spark)).count() == 0
+    one = spark.createDataFrame([(3, "a b c d e f g h i")], "doc_id long, text string")
+    assert fingerprints.compare_edited(one).first().edited_text == "a b c d e fa b c "[:12] + "a b c"
+    same = fingerprints.compare_edited(spark.createDataFrame([(1, "x y"), (1, "x y"), (2, "z")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_chars) for r in same) == [(1, 3), (1, 3), (2, 1)]
+
+
+def test_sketches_merge(spark):
+    a, b = " ".join(f"w{i}" for i in range(400)), " ".join(f"v{i}" for i in range(100))
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    s = {r.doc_id: r.sketch for r in fingerprints.fingerprint(df).collect()}
+    both = spark.createDataFrame([(s[1], s[2])], "a array<long>, b array<long>").select(fingerprints.merge(F.col("a"), F.col("b")).alias("m"), fingerprints.containment(F.col("a"), fingerprints.merge(F.col("a"), F.col("b"))).alias("c")).first()
+    assert set(both.m) == set(s[1]) | set(s[2]) and both.c == 1.0
+    assert 0.15 * 396 < len(s[1]) < 0.35 * 396
+
+
+# 3
+def plain_base(text):
+    w = WORD.findall(text or "")
+    g = list(zip(w, w[1:], w[2:]))
+    c = Counter(g)
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len({i + k for i, x in enumerate(g) if c[x] > 1 for k in range(3)})
+
+
+def test_quality_statistics(spark):
+    docs = hard_docs(spark, ["a b c a b c a b c\nx\nx\n\n \nx", "# a|b <c> & 100% $5 *"])
+    got = quality_rules.quality_rules(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    want = Counter((r.doc_id, *plain_base(r.text)) for r in docs.collect())
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
+    assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.kept and r.base_failed) for r in got)
+
+
+def test_quality_on_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op3_quality_rules(spark, sf).collect()}
+    labels = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if not got[r.doc_id].base_failed]
+    assert np.mean([got[r.doc_id].kept == (r.quality == 1) for r in labels]) > 0.97
+
+
+def test_trees_are_monotonic():
+    rnd = np.random.default_rng(2)
+    x = rnd.random((3000, 3))
+    y = (x[:, 0] + 0.3 * np.sin(9 * x[:, 1]) + 0.2 * rnd.standard_normal(3000) < 0.6).astype(float)
+    trees = quality_rules.fit_trees(x, y, [-1, 0, 0])
+    grid = np.linspace(0, 1, 200)
+    for row in x[:50]:
+        moved = np.tile(row, (200, 1))
+        moved[:, 0] = grid
+        assert (np.diff(trees.score(moved)) <= 1e-12).all()
+    test = rnd.random((2000, 3))
+    assert np.mean((trees.score(test) > 0) == (test[:, 0] + 0.3 * np.sin(9 * test[:, 1]) < 0.6)) > 0.85
+
+
+def test_quality_edges(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality_rules.quality_rules(empty_docs(spark), none).count() == 0
+    kept = quality_rules.keep_good(hard_docs(spark), none)
+    assert kept.columns == hard_docs(spark).columns and {r["kept"] for r in kept.collect()} == {"clash"}
+
+
+# 4
+def plain_fingerprint(text):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in ([" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) > 3 else [" ".join(w)])]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(fps, most=4):
+    part = list(range(len(fps)))
+
+    def root(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= most:
+                a, b = root(i), root(j)
+                part[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(fps))]
+
+
+def test_golay_code():
+    at = simhash.decoder()
+    assert len(np.unique(at)) == 4096 and np.bincount(at, minlength=4096).min() == np.bincount(at).max() == 2048
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4])
+def test_fingerprints_that_differ_share_a_key(n):
+    rnd = np.random.default_rng(n)
+    a = rnd.integers(0, 2**63, 400).astype(np.uint64)
+    b = a.copy()
+    for i in range(len(b)):
+        for bit in rnd.choice(64, n, replace=False):
+            b[i] ^= np.uint64(1) << np.uint64(bit)
+    of = lambda f: (lambda row, key: [set(key[row == i].tolist()) for i in range(len(f))])(*simhash.keys(f))
+    for x, y in zip(of(a), of(b), strict=True):
+        assert x & y
+
+
+def test_links_connect_all(spark):
+    rnd = random.Random(5)
+    fps = [rnd.getrandbits(64) for _ in range(150)]
+    dense = rnd.getrandbits(64)
+    for _ in range(300):  # a dense group, and chains of steps of four bits
+        fps.append(dense ^ sum(1 << b for b in rnd.sample(range(64), 3)))
+    for base in fps[:40]:
+        for _ in range(rnd.randint(1, 3)):
+            base ^= sum(1 << b for b in rnd.sample(range(64), 4))
+            fps.append(base)
+    fps = sorted(set(fps))
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    edges = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"))
+    got = {r.node: r.component for r in components.components(edges).collect()}
+    want = plain_components(fps)
+    groups = defaultdict(set)
+    for s, w in zip(signed, want, strict=True):
+        groups[w].add(s)
+    for g in groups.values():
+        assert {got.get(s, s) for s in g} == {min(g)}
+
+
+def test_near_duplicates(spark):
+    docs = hard_docs(spark)
+    rows = docs.collect()
+    fps = [plain_fingerprint(r.text) for r in rows]
+    roots = plain_components(fps)
+    least = {}
+    for r, root in zip(rows, roots, strict=True):
+        if r.doc_id is not None:
+            least[root] = min(least.get(root, r.doc_id), r.doc_id)
+    want = Counter((r.doc_id, f, least.get(root)) for r, f, root in zip(rows, fps, roots, strict=True))
+    assert Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(docs).collect()) == want
+    assert simhash.near_duplicates(empty_docs(spark)).count() == 0
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == sorted(set(least.values())) and ids.count(None) == 2
+
+
+# 5
+PERSONAL = ["mail anna.lee@site.example.org or ANNA.LEE@SITE.EXAMPLE.ORG now", "call +1 (743) 555-3824, or 10.0.0.1.", "card 4532015112830366 and 4532 0151 1283 0366", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"!', "Frau Erika Muster met Mr Jon Doe and Господин Пётр Сидоров. Jon Doe left", "mail anna.lee@site.example.org twice anna.lee@site.example.org", "GB82 WEST 1234 5698 7654 32 and DE89370400440532013000"]
+
+
+def test_surrogates(spark):
+    docs = hard_docs(spark, PERSONAL)
+    before, after = docs.collect(), pii.replace_pii(docs)
+    assert after.columns == [*docs.columns, "_n_entities"]
+    got = {r.doc_id: r for r in after.where("doc_id IS NOT NULL").collect()}
+    assert len(before) == after.count() and {r.gid for r in after.collect()} == {"clash"}
+    at = next(r.doc_id for r in before if r.text == PERSONAL[0])
+    texts = [got[at + i].text for i in range(len(PERSONAL))]
+    for secret in ("anna.lee", "ANNA.LEE", "743", "555-3824", "10.0.0.1", "4532015112830366", "24be64439e3e49", "Erika", "Muster", "Doe", "Пётр", "WEST", "DE8937"):
+        assert not any(secret in t for t in texts), secret
+    mail = re.search(r"mail (\S+) or", texts[0])[1]
+    assert mail.endswith(".org") and texts[5] == f"mail {mail} twice {mail}"  # the same everywhere
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4}, or \d+\.\d+\.\d+\.\d+\.", texts[1])
+    luhn = lambda n: sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(n))) % 10
+    assert luhn(re.search(r"\d{16}", texts[2])[0]) == 0
+    assert re.search(r'token = "[0-9a-f]{40}"!', texts[3])
+    female = pii.NAMES["latin", "female"]
+    assert re.search(r"Frau (\S+)", texts[4])[1] in female and re.search(r"Господин ([А-ЯЁа-яё]+)", texts[4])
+    for r in before:
+        if r.doc_id is not None and r.text not in PERSONAL:
+            assert got[r.doc_id].text == r.text
+    assert pii.replace_pii(empty_docs(spark)).count() == 0
+
+
+def test_surrogates_are_distinct(spark):
+    found = spark.createDataFrame([(f"10.0.{i // 250}.{i % 250}", None) for i in range(1500)] + [(f"Jo{chr(97 + i % 26)}{chr(97 + i // 26)}", "male") for i in range(400)], "entity string, gender string")
+    rows = pii.assign(found, "key").collect()
+    assert len(rows) == 1900 == len({r.surrogate for r in rows}) and not {r.surrogate for r in rows} & {r.entity for r in rows}
+
+
+# 6
+def test_encoding_equals_the_library(spark):
+    import sentencepiece
+
+    path = queries.tokenizer_model()
+    model, mine = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_bpe.Pieces(path)
+    rnd = random.Random(8)
+    parts = [*" \n\tabcetinro.,!▁éß😀Ａ日<0x41>s/*$-_", "  ", "▁▁", "the", "ing", *rnd.sample(sorted(mine.id), 300)]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 30))) for _ in range(4000)] + ["a" * 20_000, " " * 5_000, "ab" * 9_000, "日本" * 500, "\x00", " x ", "x "]
+    for text in texts:
+        ids = [1, *model.encode(text), 2]
+        assert mine.encode(text) == ids, text
+        assert mine.both(text)[1] == mine.decode(ids) == model.decode(ids), text
+    for _ in range(300):
+        ids = rnd.choices(range(32_000), k=9) + rnd.choices(range(3, 259), k=6)
+        assert mine.decode(ids) == model.decode(ids)
+
+
+def test_encoding_query(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_model())
+    docs = hard_docs(spark)
+    got = Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in sentencepiece_bpe.encode_texts(docs, queries.tokenizer_model()).collect())
+    want = Counter()
+    for r in docs.collect():
+        ids = [1, *model.encode(r.text or ""), 2]
+        want[r.doc_id, len(ids), np.array(ids, dtype="<u4").tobytes(), model.decode(ids)] += 1
+    assert got == want
+    assert sentencepiece_bpe.encode_texts(empty_docs(spark), queries.tokenizer_model()).count() == 0
+
+
+# 7
+def test_chat_round_trip(spark):
+    rows = [(1, 0, "user", "<|im_end|> <\\|x <\\\\| \\n"), (1, 1, "assistant", "<|im_start|>assistant\nok<"), (1, 2, "odd\nrole\\n<|", None), (2, 5, "assistant", ""), (2, 5, "assistant", ""), (None, 0, None, "x"), (3, 0, "assistant", "é日|>")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("id", F.lit("clash"))
+    got = {r.tree: r for r in chat.read_back(chat.conversations(chat.linear(table))).collect()}
+    for tree in (1, 2, None, 3):
+        want = sorted((r for r in rows if r[0] == tree), key=lambda r: (r[1], r[2] or ""))
+        assert [(t.role, t.text) for t in got[tree].turns] == [(r[2] or "null", r[3] or "") for r in want]
+        assert list(got[tree].learned) == [r[3] for r in want if r[2] == "assistant"]
+        f = got[tree].formatted
+        assert f.count("<|im_start|>") == len(want) == f.count("<|im_end|>")
+    assert chat.conversations(chat.linear(table.limit(0))).count() == 0
+
+
+def test_chat_trees(spark):
+    rows = [("t", "a", None, "user", "q", 0.0), ("t", "b", "a", "assistant", "good", 2.0), ("t", "c", "a", "assistant", "bad", -1.0), ("t", "d", "b", "user", "more", 1.0), ("t", "e", "d", "assistant", "end", 3.0), ("u", "z", "gone", "assistant", "alone", None)]
+    m = spark.createDataFrame(rows, "tree string, id string, parent string, role string, text string, score double")
+    got = {r.leaf: r for r in chat.conversations(m).collect()}
+    assert {k: r.n_turns for k, r in got.items()} == {"e": 4, "c": 2, "z": 1}
+    best = {r.leaf: r["rank"] for r in chat.conversations(m, branches=1).collect()}
+    assert best == {"e": 1, "z": 1}
+    with pytest.raises(ValueError):
+        chat.paths(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent string"))
+
+
+# 8
+def test_best_fit_decreasing():
+    rnd = np.random.default_rng(6)
+    sizes = rnd.integers(1, 100, 500)
+    bins, left = sharding.best_fit_decreasing(sizes, np.full(200, 120.0))
+    plain = np.full(200, 120.0)
+    for i in np.argsort(-sizes, kind="stable"):  # the tightest bin that holds it, the first of equals
+        fit = np.nonzero(plain >= sizes[i])[0]
+        b = fit[np.argmin(plain[fit])]
+        plain[b] -= sizes[i]
+    assert sorted(plain) == sorted(left) and (left >= 0).all()
+    assert np.bincount(bins, sizes, 200).max() <= 120
+
+
+def test_sharding(spark):
+    docs = hard_docs(spark, [f"text {i}" * (i % 9) for i in range(400)])
+    got, rows = sharding.shard(docs).collect(), docs.collect()
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in rows)
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(8))
+    assert all(len({r.shard for r in got if r.gid == g}) == 1 for g in {r.gid for r in got})
+    assert sharding.shard(empty_docs(spark)).count() == 0
+
+
+def test_sharding_is_level_and_fewest(spark):
+    got = queries.op8_sharding(spark, "/root/testdata/sf0.01").groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    sizes = [r.s for r in got]
+    assert len(sizes) == 8 and max(sizes) <= 1.01 * min(sizes)
+    groups = spark.createDataFrame([(str(i), 30 + i % 40) for i in range(200)], "gid string, size long")
+    placed, n = sharding.fewest_shards(groups, 500)
+    assert n - groups.agg(F.sum("size")).first()[0] / 500 < 2 and placed.groupBy("shard").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] <= 500
+
+
+# 9
+def plain_repeats(texts, span=200):
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + span] for b in raw for i in range(len(b) - span + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b) + 2, dtype=bool)
+        for i in range(len(b) - span + 1):
+            if seen[b[i : i + span]] > 1:
+                gone[i + 1 : i + 1 + span] = True
+        out.append((len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), bytes(np.frombuffer(b, np.uint8)[~gone[1:-1]])))
+    return out
+
+
+def overlapping(seed=3, n=40):
+    rnd = random.Random(seed)
+    passages = ["".join(rnd.choices("abcdefgh é", k=rnd.randint(150, 900))) for _ in range(6)]
+    texts = []
+    for _ in range(n):
+        t = ""
+        for _ in range(rnd.randint(1, 4)):
+            p = rnd.choice(passages)
+            at = rnd.randint(0, len(p) // 2)
+            t += "".join(rnd.choices("xyz ", k=rnd.randint(0, 80))) + p[at : at + rnd.randint(100, 600)]
+        texts.append(t)
+    return texts + ["q" * 700, "q" * 150, "pq" * 300]
+
+
+def check_repeats(docs):
+    rows = docs.collect()
+    want = Counter((r.doc_id, *w) for r, w in zip(rows, plain_repeats([r.text for r in rows]), strict=True))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(docs).collect()) == want
+
+
+def test_repeats(spark):
+    check_repeats(hard_docs(spark, overlapping()))
+    assert repeats.remove_repeats(empty_docs(spark)).count() == 0
+
+
+def items_of(texts, buckets=1):
+    out = []
+    for d, t in enumerate(texts):
+        raw = t.encode()
+        for g, a, p, q in zip(*(x.tolist() for x in repeats.strips(raw)), strict=True):
+            out.append((g % buckets, raw[a : q + repeats.SPAN], raw[p:a], a - q, a - p, d, 0, a))
+    return out
+
+
+@pytest.mark.parametrize(("few", "many"), [(6, 2000), (0, 2000), (100, 2000), (1, 3), (0, 1)])
+def test_every_way_to_settle_a_group(monkeypatch, few, many):
+    monkeypatch.setattr(repeats, "FEW", few)
+    monkeypatch.setattr(repeats, "MANY", many)
+    texts = overlapping(9)
+    items = items_of(texts)
+    blocks, marks = {}, []
+    for run in range(5):
+        out, found = repeats.build_run(items[run::5], 1, run)
+        marks += found
+        for _, number, block in out:
+            blocks.setdefault(number, []).append(block)
+    rows = []
+    for found, large in repeats.merge_bucket(blocks):
+        marks += found
+        rows += large
+    counts = Counter()
+    for w, v, n, *_ in rows:
+        counts[w, v] += n
+    marks += [(d, h, at, at + repeats.SPAN) for w, v, _, d, h, at in rows if h is not None and counts[w, v] > 1]
+    for d, (text, (n, removed, _, _)) in enumerate(zip(texts, plain_repeats(texts), strict=True)):
+        gone = np.zeros(n, dtype=bool)
+        for owner, _, a, b in marks:
+            if owner == d:
+                gone[a:b] = True
+        assert gone.sum() == removed, (d, text[:40])
+    assert bool(rows) == (many < 10)
+
+
+def test_merge_is_sorted_and_knows_prefixes():
+    rnd = random.Random(2)
+    words = ["".join(rnd.choices("ab", k=rnd.randint(0, 12))).encode() for _ in range(300)]
+    runs = []
+    for k in range(7):
+        own, last, block = sorted(words[k::7]), b"", []
+        for w in own:
+            n = repeats.common(last, w)
+            block.append((n, w[n:], w))
+            last = w
+        run = repeats.Run([])
+        run.items = iter(block)
+        runs.append(run)
+    got, last = [], b""
+    for shared, text, (rest,) in repeats.merge(runs):
+        assert text == rest and shared == repeats.common(last, text)
+        got.append(text)
+        last = text
+    assert got == sorted(words)
+
+
+def test_strips_cover_all_windows():
+    rnd = random.Random(7)
+    raw = bytes(rnd.choices(b"ab", k=1500)) + b"z" * 500
+    grams, anchors, first, last = repeats.strips(raw)
+    assert first[0] == 0 and last[-1] == len(raw) - repeats.SPAN and (first[1:] == last[:-1] + 1).all()
+    assert (anchors >= last).all() and (anchors + repeats.GRAM <= first + repeats.SPAN).all()
+
+
+# 10
+def test_filling(spark):
+    rnd = random.Random(1)
+    sizes = {f"s{i:02d}": rnd.randint(0, 1000) for i in range(17)} | {None: 50}
+    rows = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, total long, n long")
+    got = {r.source: r.target for r in mixing.fill(rows, [5.0, 2.0, 1.0]).collect()}
+    names = [*sorted(k for k in sizes if k is not None), None]
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}
+    clamped, left = {}, float(sum(sizes.values()))
+    while True:  # clamp what is above, share the rest again
+        free = [s for s in names if s not in clamped]
+        level = left / sum(weight[s] for s in free)
+        over = [s for s in free if level * weight[s] > 3 * sizes[s]]
+        if not over:
+            break
+        for s in over:
+            clamped[s] = 3.0 * sizes[s]
+            left -= clamped[s]
+    want = clamped | {s: level * weight[s] for s in names if s not in clamped}
+    assert all(abs(got[s] - want[s]) < 1e-6 for s in names)
+
+
+def test_mixing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = queries.op10_mixing(spark, "/root/testdata/sf0.01").collect()
+    by = {r.doc_id: r for r in rows}
+    taken, target = Counter(), {}
+    for d in docs.collect():
+        r = by[d.doc_id]
+        assert r["size"] == len(WORD.findall(d.text or "")) and r.taken <= 3 * r["size"]
+        taken[d.source] += r.taken
+        target[d.source] = r.target
+    assert all(abs(taken[s] / target[s] - 1) < 0.05 for s in target)
+    assert sorted(rows) == sorted(queries.op10_mixing(spark, "/root/testdata/sf0.01").repartition(7).collect())
+
+
+def test_mixing_edges(spark):
+    docs = hard_docs(spark)
+    got = mixing.mixed(docs)
+    assert got.count() == docs.count() and mixing.mixed(empty_docs(spark)).count() == 0
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    times = {(r.doc_id, r.source, r["size"]): r.times for r in got.collect()}
+    seen = Counter((r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in out.collect())
+    copies = Counter((r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in docs.collect())
+    assert all(seen.get(k, 0) == times[k] * copies[k] for k in copies)
+
+
+# the pipeline
+def test_pipeline_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for at, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        if at < 4:
+            assert set(out.columns) >= set(docs.columns)
+        out.write.parquet(f"{tmp_path}/{at}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{at}")
+        if at == 1:
+            fps = {plain_fingerprint(r.text): r.doc_id for r in docs.collect()}
+            assert len(set(plain_components(list(fps)))) == docs.count()
+        if at == 2:
+            assert docs.count() == before.count() and not docs.where(F.col("text").rlike(r"@mail\d\.example")).count()
+    whole = corpus_pipeline.run(spark, SF)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_stage_functions_on_an_empty_table(spark):
+    docs = empty_docs(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
+
+
+def test_types_are_stable(spark):
+    for name, f in queries.QUERIES.items():
+        fields = {x.name: x.dataType for x in f(spark, SF).schema}
+        assert isinstance(fields.get("doc_id", T.LongType()), T.LongType), name
