@@ -135,9 +135,10 @@ class Scorer:
         return score / score.sum()
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int, share: np.ndarray, epochs: int = 8, rate: float = 0.1, least: int = 5, seed: int = 3) -> Scorer:
+def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int, share: np.ndarray, steps: int = 60_000, rate: float = 0.1, least: int = 5, seed: int = 3) -> Scorer:
     """Multinomial logistic regression on probabilities, by AdaGrad, one document at a time.
 
+    It goes over the sample as often as makes about so many steps, six times at least and sixty at most.
     Features that fewer than least documents have keep no weight, or rare words would learn single documents.
     share is that of each class in all documents; the scores are corrected for that in the sample.
     """
@@ -148,7 +149,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int, shar
         often[at] += 1
     kept = [(at[often[at] >= least], value[often[at] >= least], target) for at, value, target in rows]
     draw = np.random.default_rng(seed)
-    for _ in range(epochs):
+    for _ in range(max(6, min(60, steps // max(1, len(kept))))):
         for i in draw.permutation(len(kept)):
             at, value, target = kept[i]
             gap = target - Scorer(weight, bias, bits)(at, value)
