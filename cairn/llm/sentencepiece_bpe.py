@@ -13,15 +13,18 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from functools import cache
+from functools import cache, cached_property
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
+MOST_PAIRS = 2_000_000  # whose compatibility a worker keeps
+LONGEST = 48  # characters of words that are encoded together
 CACHED = 250_000  # words whose encoding a worker keeps, in each of two generations
 
 
@@ -37,11 +40,14 @@ class Kept(dict):
             made = self.make(key)
             if len(key) > 64:
                 return made
+        self.put(key, made)
+        return made
+
+    def put(self, key: str, made: tuple[bytes, str]) -> None:
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[key] = made
-        return made
 
 
 class Pieces:
@@ -191,21 +197,163 @@ class Pieces:
 
     def both(self, text: str) -> tuple[bytes, str]:
         """The ids of a text, begin and end included, as little-endian unsigned 32-bit integers, and those decoded."""
-        bos, eos = self.bos.to_bytes(4, "little"), self.eos.to_bytes(4, "little")
-        if not text:
-            return bos + eos, ""
-        if self.across or "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
-            made = [self._word(text)]  # runs of spaces belong together
-        else:
-            words = self.words
-            made = [words[w] for w in text.split(" ")]
-        return b"".join([bos, *[i for i, _ in made], eos]), "".join([c for _, c in made]).removeprefix(" ")
+        return self.both_of([text])[0]
+
+    def both_of(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """both() of each text. What the texts have of words that are not known yet is encoded at once."""
+        split = [[] if not t or self.across or "  " in t or SPACE in t or t[0] == " " or t[-1] == " " else t.split(" ") for t in texts]
+        words = self.words
+        new = {w for own in split for w in own if w not in words and w not in words.older and len(w) <= LONGEST}
+        if len(new) > 64:
+            self.together.fill(sorted(new), words)
+        bos, eos, out = self.bos.to_bytes(4, "little"), self.eos.to_bytes(4, "little"), []
+        for text, own in zip(texts, split, strict=True):
+            made = [words[w] for w in own] if own else [self._word(text)] if text else []  # runs of spaces belong together
+            out.append((b"".join([bos, *[i for i, _ in made], eos]), "".join([c for _, c in made]).removeprefix(" ")))
+        return out
+
+    @cached_property
+    def together(self) -> Together:
+        return Together(self)
 
     def encode(self, text: str) -> list[int]:
         raw = self.both(text)[0]
         return [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)]
 
 
+class Together:
+    """backtrack() for many words at once: every step is taken by all words that are not done.
+
+    The automaton's matches become a table of piece numbers by place and length, filled by walking a trie over
+    all places together. Failed places are one bit field over all words. Pairs of pieces that have been held
+    against each other are kept as a sorted table.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        chars = sorted(c for c in set(chain.from_iterable(pieces.id)) if ord(c) < 0x250 or c == SPACE)
+        self.kind = np.zeros(0x110000, dtype=np.int16)
+        self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        own = [p for p in pieces.automaton.keys() if all(self.kind[ord(c)] for c in p) and len(p) <= 16]
+        at: dict[tuple[int, int], int] = {}
+        ends: dict[int, int] = {}
+        for p in own:
+            node = 0
+            for c in p:
+                node = at.setdefault((node, int(self.kind[ord(c)])), len(at) + 1)
+            ends[node] = pieces.id[p]
+        self.longest = max(map(len, own))
+        self.next = np.zeros((len(at) + 1, len(chars) + 1), dtype=np.int32)
+        keys = np.array(list(at), dtype=np.int64)
+        self.next[keys[:, 0], keys[:, 1]] = list(at.values())
+        self.ends = np.full(len(at) + 1, -1, dtype=np.int32)
+        self.ends[list(ends)] = list(ends.values())
+        self.lone = np.full(128, -1, dtype=np.int32)  # ASCII characters of no piece are encoded as their byte
+        for b in range(128):
+            if chr(b) not in pieces.id:
+                self.lone[b] = pieces.byte[b]
+        self.text = [""] * (1 + max(max(pieces.text), max(pieces.byte_of)))
+        for i, t in pieces.text.items():
+            self.text[i] = t
+        for i, b in pieces.byte_of.items():
+            self.text[i] = chr(b) if b < 128 else ""
+        self.chars = np.array([len(t) for t in self.text])
+        self.is_byte = np.zeros(len(self.text), dtype=bool)
+        self.is_byte[list(pieces.byte_of)] = True
+        self.name = {i: p for p, i in pieces.id.items()}
+        self.pairs, self.fits = np.array([-1], dtype=np.int64), np.array([False])
+        self.top = np.zeros(1 << 16, dtype=np.int8)
+        for bit in range(16):
+            self.top[1 << bit : 2 << bit] = bit
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging each two pieces' characters anew gives just these two."""
+        pair = a.astype(np.int64) << 20 | b
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        known = self.pairs[at] == pair
+        if not known.all():
+            new, merge = np.unique(pair[~known]).tolist(), self.pieces.merge
+            found = [merge(x + y) == [x, y] for x, y in ((self.name[k >> 20], self.name[k & 0xFFFFF]) for k in new)]
+            keep = slice(None) if len(self.pairs) + len(new) <= MOST_PAIRS else np.unique(at[known])
+            keys, fits = np.concatenate([self.pairs[keep], new]), np.concatenate([self.fits[keep], np.array(found)])
+            order = np.argsort(keys, kind="stable")
+            self.pairs, self.fits = keys[order], fits[order]
+            at = np.searchsorted(self.pairs, pair)
+        return self.fits[at]
+
+    def fill(self, words: list[str], known: Kept) -> None:
+        """Put what words are encoded to into known; words with other characters are left to be encoded alone."""
+        for at in range(0, len(words), 20_000):
+            self._fill(words[at : at + 20_000], known)
+
+    def _fill(self, words: list[str], known: Kept) -> None:
+        gap = chr(0x10FFFF)
+        code = np.frombuffer((gap.join(SPACE + w for w in words) + gap * (self.longest + 1)).encode("utf-32-le"), dtype=np.uint32)
+        kind = self.kind[code].astype(np.int32)
+        n = len(code) - self.longest
+        ids = np.full((n, self.longest), -1, dtype=np.int32)
+        mask = np.zeros(n, dtype=np.int32)
+        place, node = np.arange(n), np.zeros(n, dtype=np.int32)
+        for d in range(self.longest):
+            node = self.next[node, kind[place + d]]
+            alive = node > 0
+            place, node = place[alive], node[alive]
+            piece = self.ends[node]
+            hit = piece >= 0
+            ids[place[hit], d] = piece[hit]
+            mask[place[hit]] |= 1 << d
+        low = np.nonzero((code[:n] < 128) & (kind[:n] == 0))[0]
+        ids[low, 0] = self.lone[code[low]]
+        mask[low] = 1
+        stop = np.nonzero(code == 0x10FFFF)[0][: len(words)]
+        start = np.concatenate([[0], stop[:-1] + 1])
+        open_ = np.zeros(n + 1, dtype=np.int64)
+        np.cumsum(mask == 0, out=open_[1:])
+        fine = open_[stop] == open_[start]  # each character starts some piece
+        start, stop = start[fine], stop[fine]
+        words = [w for w, f in zip(words, fine.tolist(), strict=True) if f]
+        if not words:
+            return
+        width = int((stop - start).max())
+        out, used = np.zeros((len(words), width), dtype=np.int32), np.zeros(len(words), dtype=np.int64)
+        size = np.zeros((len(words), width), dtype=np.int8)
+        failed = np.zeros(n + 1, dtype=bool)
+        at, rest, last = start.copy(), mask[start], np.full(len(words), -1, dtype=np.int32)
+        todo = np.arange(len(words))
+        while len(todo):
+            stuck = rest[todo] == 0
+            if stuck.any():  # the place has no way on: its piece before is taken back for a shorter one
+                w = todo[stuck]
+                failed[at[w]] = True
+                used[w] -= 1
+                length = size[w, used[w]].astype(np.int64)
+                at[w] -= length
+                rest[w] = mask[at[w]] & ((1 << (length - 1)) - 1)
+                last[w] = np.where(used[w] > 0, out[w, np.maximum(used[w] - 1, 0)], -1)
+            w = todo[~stuck]
+            if len(w):
+                bit = self.top[rest[w]].astype(np.int64)
+                piece, end, before = ids[at[w], bit], at[w] + bit + 1, last[w]
+                good = ~failed[end]
+                check = np.nonzero(good & (before >= 0) & ~self.is_byte[np.maximum(before, 0)] & ~self.is_byte[piece])[0]
+                good[check] = self.compatible(before[check], piece[check])
+                bad, w, bit, piece, end = (w[~good], bit[~good]), w[good], bit[good], piece[good], end[good]
+                rest[bad[0]] &= ~(1 << bad[1])
+                out[w, used[w]], size[w, used[w]] = piece, bit + 1
+                used[w] += 1
+                at[w], last[w] = end, piece
+                rest[w] = np.where(end < stop[w], mask[np.minimum(end, n - 1)], 0)
+            todo = todo[at[todo] < stop[todo]]
+        flat = out[np.arange(width) < used[:, None]]
+        raw, text = flat.astype("<u4").tobytes(), "".join(map(self.text.__getitem__, flat.tolist()))
+        ends = np.cumsum(used)
+        chars = np.concatenate([[0], np.cumsum(self.chars[flat])])[ends].tolist()
+        a = c = 0
+        for word, b, d in zip(words, (4 * ends).tolist(), chars, strict=True):
+            known.put(word, (raw[a:b], text[c:d]))
+            a, c = b, d
+
+
 def _segments(pieces: dict[str, int], letters: set[str]) -> str:
     """A pattern for parts of a text that no merge reaches over.
 
@@ -250,11 +398,11 @@ def encode_texts(docs: DataFrame, model: str) -> DataFrame:
     out = docs.select("doc_id").schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "string")
 
     def run(batches):
-        both = pieces_of(model).both
+        pieces = pieces_of(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                made = [both(t or "") for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                made = pieces.both_of([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i, _ in made], pa.int64()), pa.array([i for i, _ in made], pa.binary()), pa.array([d for _, d in made], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, out)
