@@ -35,6 +35,7 @@ KINDS = {
     "name": r"(?=\p{Lu})(?<= )(?<=(?<!\p{L})(?:" + "|".join((*MALE_TITLES, *FEMALE_TITLES)) + r")\.? )\p{Lu}[\p{L}'-]{1,40}(?: \p{Lu}[\p{L}'-]{1,40}){0,2}",
 }
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(KINDS.values()) + ")"
+NAME = r"^\p{Lu}[\p{L}'-]{1,40}(?: \p{Lu}[\p{L}'-]{1,40}){0,2}$"
 #: No entity is without one of these, and texts without them are not searched further.
 HINT = r"[0-9@=:]|" + "|".join((*MALE_TITLES, *FEMALE_TITLES))
 #: With a title's gender: names are entities together with it.
@@ -48,7 +49,7 @@ def kind_of(entity: Column) -> Column:
     for kind in ("email", "ipv4", "phone", "number", "iban"):
         fits = entity.rlike(f"^(?:{KINDS[kind]})$")
         out = F.when(fits, F.lit(kind)) if out is None else out.when(fits, F.lit(kind))
-    return out.when(entity.rlike(r"^\p{Lu}[\p{L}'-]{1,40}(?: \p{Lu}[\p{L}'-]{1,40}){0,2}$"), F.lit("name")).otherwise(F.lit("secret"))
+    return out.when(entity.rlike(NAME), F.lit("name")).otherwise(F.lit("secret"))
 
 
 def entities(text: Column) -> Column:
@@ -164,16 +165,22 @@ def replace_pii(docs: DataFrame, key: str = "public-example-key") -> DataFrame:
     maps = per_text.select("_t", "entity").distinct().join(named, "entity").groupBy("_t").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_m"))
     joined = rows.join(maps, "_t").withColumn("_p", F.split(text, ANY, -1))
     value = F.concat(F.array_join(F.zip_with(F.slice(F.col("_p"), F.lit(1), F.size("_e")), "_e", lambda p, e: F.concat(p, F.element_at(F.col("_m"), e))), ""), F.element_at("_p", -1))
+    joined = joined.withColumn("_n", F.filter(F.map_entries("_m"), lambda x: x["key"].rlike(NAME))).withColumn("_p", F.when(F.size("_n") > 0, F.transform("_p", lambda p: _names_in(p, F.col("_n")))).otherwise(F.col("_p")))
     changed = joined.withColumn(at_text, value).withColumn("_n_entities", F.size("_e").cast("long"))
     kept = [*slots, "_n_entities"]
     return without.select(*kept).unionByName(changed.select(*kept)).select(*(F.col(s).alias(c) for c, s in zip(docs.columns, slots, strict=True)), "_n_entities")
 
 
+def _names_in(part: Column, names: Column) -> Column:
+    """The text between entities with the names that a title showed elsewhere in the text replaced too."""
+    return F.aggregate(names, part, lambda p, n: F.regexp_replace(p, F.concat(F.lit(r"(?<!\p{L})\Q"), n["key"], F.lit(r"\E(?!\p{L})")), n["value"]))
+
+
 def _with_gender(text: Column, found: Column) -> Column:
     """Entities with the gender of a title before them in this text, null where there is none."""
 
     def gender(e: Column) -> Column:
-        is_name = e.rlike(r"^\p{Lu}[\p{L}'-]{1,40}(?: \p{Lu}[\p{L}'-]{1,40}){0,2}$")
+        is_name = e.rlike(NAME)
         out = None
         for g, titles in GENDERED.items():
             met = F.lit(False)
