@@ -39,6 +39,7 @@ WINDOW = SPAN - GRAM + 1
 CHUNK = 100_000  # windows that are looked at together; their places take 17 bits
 FEW, MANY = 6, 2_000  # strips of a group that are compared pair by pair, by hash, or beyond that as rows
 RUN_BYTES = 48 << 20
+STRIPS = 100_000  # strips for each bucket, so that buckets follow the input
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -293,11 +294,12 @@ def marks(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), hs.take(take), pa.array(places), pa.array(gram)], names=["doc_id", "h", "place", "gram"])
 
     found = cut(rows.select("doc_id", "text", "h").mapInArrow(anchors, "doc_id long, h long, place int, gram long"))
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    per_doc = found.join(often, "gram").groupBy("doc_id", "h").agg(F.collect_set("place").alias("places"))
+    often = cut(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))  # read again, so that a frequent gram's side of the join can be split
+    per_doc = found.join(often.select("gram"), "gram").groupBy("doc_id", "h").agg(F.collect_set("place").alias("places"))
     per_doc = per_doc.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "places")
     if buckets is None:
-        buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        wanted_strips = often.agg(F.sum("n")).first()[0] or 0
+        buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-wanted_strips // STRIPS))
     wanted = rows.join(per_doc, rows.doc_id.eqNullSafe(per_doc["_d"]) & (rows.h == per_doc["_h"])).select("doc_id", "h", "text", "places")
     names, kinds = ["bucket", "run", "block", "doc_id", "h", "start", "stop"], [pa.int32(), LONG, pa.binary(), LONG, LONG, LONG, LONG]
 
