@@ -13,7 +13,7 @@ from .common import table
 
 
 def op1_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = weak_labels.classify(table(spark, sf_dir, "documents"))
+    got = weak_labels.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return got.select("doc_id", "votes", "weak_label", *(F.round(c, 6).alias(c) for c in ("p_clean", "p_junk", "p_toxic")), "kept")
 
 

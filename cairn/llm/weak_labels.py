@@ -4,6 +4,10 @@ Heuristic labellers vote on every document: clean, junk, toxic or nothing. Expec
 counts of all vote patterns of the corpus estimates how often each labeller is right, and with these the
 probability of each class for a pattern. Those probabilities train a hashed linear scorer on a bounded sample
 of documents, which then scores all of them by their whole texts.
+
+Insults are listed for English alone. The words that mark toxic texts of other languages are learned, language by
+language, from a bounded sample of labelled documents. A labeller abstains from texts of a language that it
+doesn't know, and that counts neither way.
 """
 
 from __future__ import annotations
@@ -23,10 +27,12 @@ from .quality_rules import FEATURES, STATS, features, text_stats
 
 CLASSES = ("clean", "junk", "toxic")
 CLEAN, JUNK, TOXIC = 1, 2, 3  # votes; 0 abstains
+STRANGE = 4  # abstains for want of the language, which says nothing of the text; shown as 0
 #: Insults, as persons and as judgements: two overlapping labellers.
-PERSONS = frozenset(b"clown creep cretin freak idiot idiots imbecile loser losers moron morons scum vermin weirdo".split())
-JUDGEMENTS = frozenset(b"contemptible disgusting filthy garbage pathetic repulsive revolting sickening stupid trash worthless".split())
-LETTERS = re.compile(rb"[a-z]+")
+PERSONS = frozenset("clown creep cretin freak idiot idiots imbecile loser losers moron morons scum vermin weirdo".split())
+JUDGEMENTS = frozenset("contemptible disgusting filthy garbage pathetic repulsive revolting sickening stupid trash worthless".split())
+LISTED = "en"  # the language of both
+LETTERS = re.compile(r"[^\W\d_]+")
 #: For each statistic: clean up to the first number and junk above the second, and the kind of fault that this is.
 LIMITS = {
     "symbols": (0.05, 0.25, "noise"), "symbol_share": (0.01, 0.05, "noise"),
@@ -34,14 +40,18 @@ LIMITS = {
     "bars": (0.0, 0.2, "table"), "bar_share": (0.0, 0.03, "table"),
     "repeated": (0.2, 0.5, "repetition"), "dup_lines": (0.02, 0.1, "repetition"), "sameness": (0.5, 0.7, "repetition"),
 }
-LABELLERS = {k: kind for k, (_, _, kind) in LIMITS.items()} | {"length": "noise", "word_length": "noise", "persons": "toxic", "judgements": "toxic", "insults": "toxic"}
+LABELLERS = {k: kind for k, (_, _, kind) in LIMITS.items()} | {"length": "noise", "word_length": "noise", "persons": "toxic", "judgements": "toxic", "insults": "toxic", "marked": "toxic", "much_marked": "toxic"}
 #: What a document may be; all faults but the last are junk. A document of one kind often shows it to few labellers.
 KINDS = ("clean", "noise", "shouting", "table", "repetition", "toxic")
 AS_CLASS = np.array([[1, 0, 0]] + [[0, 1, 0]] * (len(KINDS) - 2) + [[0, 0, 1]], dtype=float)
 
 
-def votes(text: str | None) -> bytes:
-    """One vote of each of LABELLERS."""
+def words(text: str | None) -> list[str]:
+    return LETTERS.findall((text or "").lower())
+
+
+def votes(text: str | None, lang: str | None = LISTED, marks: dict[str, frozenset[str]] | None = None) -> bytes:
+    """One vote of each of LABELLERS; marks are the words of markers()."""
     stats = text_stats(text)
     own = dict(zip(FEATURES, features(np.array([stats]))[0], strict=True))
     n, letters, bars = stats[0], max(1, stats[1]), stats[STATS.index("n_bar")]
@@ -50,14 +60,50 @@ def votes(text: str | None) -> bytes:
     out = [CLEAN if own[k] <= low else JUNK if own[k] > high else 0 for k, (low, high, _) in LIMITS.items()]
     out.append(CLEAN if n >= 50 else 0)
     out.append(CLEAN if 3 <= own["word_length"] <= 9 else JUNK if n and not 2 <= own["word_length"] <= 15 else 0)
-    found = LETTERS.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    found = words(text)
     persons, judgements = sum(map(PERSONS.__contains__, found)), sum(map(JUDGEMENTS.__contains__, found))
-    out += [TOXIC if persons else 0, TOXIC if judgements else 0]
+    quiet, clean = (0, CLEAN) if lang == LISTED else (STRANGE, STRANGE)
+    out += [TOXIC if persons else quiet, TOXIC if judgements else quiet]
     total = persons + judgements
-    out.append(TOXIC if total else CLEAN)
+    out.append(TOXIC if total else clean)
+    known = (marks or {}).get(lang)
+    met = len(known.intersection(found)) if known else 0
+    out += [TOXIC if met > 1 else 0 if met else CLEAN, TOXIC if met > 2 else STRANGE if met else 0] if known else [STRANGE, STRANGE]  # one alone is often chance, and a short text can't have many
     return bytes(out)
 
 
+def markers(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, least: int = 4, fewest: int = 5, share: float = 0.1, chance: float = 0.05, most: int = 5_000, seed: int = 11) -> dict[str, frozenset[str]]:
+    """Words that mark toxic texts, for each language but LISTED.
+
+    They are in at least a share of the language's toxic texts and in least of them, and in other texts at most
+    chance as often. At most max_labels labelled documents are read, chosen by a seeded hash of doc_id, copies of
+    a text count once, and at most the most frequent words are kept. A language with fewer than fewest words, as few
+toxic labels give, has none.
+    """
+    chosen = (
+        labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+        .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_labels)
+    )
+    own = docs.where(F.col("lang") != LISTED).select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")  # max_labels rows of two numbers
+    own = own.groupBy("lang", "text").agg(F.max("toxic").alias("toxic"))
+
+    def each(batches):
+        for batch in batches:
+            found = [sorted(set(words(t))) for t in batch.column(1).to_pylist()]
+            at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array([w for f in found for w in f], pa.string())], names=["lang", "toxic", "word"])
+
+    own = cut(own)
+    texts = own.groupBy("lang").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))  # a row for each language
+    met = own.mapInArrow(each, "lang string, toxic int, word string").groupBy("lang", "word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("f"))
+    rate = F.col("t") / F.col("n1")
+    good = met.where(F.col("t") >= least).join(texts, "lang").where((rate >= share) & ((F.col("f") + 0.5) / (F.col("n0") + 1) < chance * rate))
+    out: dict[str, set[str]] = {}
+    for row in good.orderBy(F.desc("t"), "f", "lang", "word").limit(most).collect():
+        out.setdefault(row["lang"], set()).add(row["word"])
+    return {lang: frozenset(found) for lang, found in out.items() if len(found) >= fewest}
+
+
 @dataclass(frozen=True)
 class Labels:
     """Class shares, and for each labeller the probability of each vote, nothing included, in each class."""
@@ -68,7 +114,7 @@ class Labels:
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         score = np.tile(np.log(self.prior), (len(patterns), 1))
         for k, theta in enumerate(self.right):
-            score += np.log(theta[:, patterns[:, k]]).T
+            score += np.log(np.column_stack([theta, np.ones(len(theta))])[:, patterns[:, k]]).T
         score = np.exp(score - score.max(axis=1, keepdims=True))
         return score / score.sum(axis=1, keepdims=True)
 
@@ -161,25 +207,30 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int, shar
     return Scorer(weight.astype(np.float32), bias + np.log(np.maximum(share, 1e-6) / np.maximum(sample, 1e-6)), bits)
 
 
-def classify(docs: DataFrame, per_class: int = 3_000, bits: int = 18, seed: int = 5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame | None = None, per_class: int = 3_000, bits: int = 18, seed: int = 5) -> DataFrame:
     """One row per document: doc_id, votes, weak_label, p_clean, p_junk, p_toxic, kept.
 
     The scorer is fitted on at most per_class documents of each class that the labellers see, chosen by a
     seeded hash; the accuracies come from all documents, of which the driver sees only counts of vote
-    patterns, at most 4 to the power of the number of labellers and in fact few.
+    patterns, at most 4 to the power of the number of labellers and in fact few. labels (doc_id, toxic) are read
+    by markers() alone; without them, or in a language with few, toxic texts in other languages than English stay unseen.
 
     Defined results: a null text is empty; an empty text is junk to its labellers; repeated rows stay and are
-    scored alike; an empty table gives an empty table; other columns are ignored.
+    scored alike; an empty table gives an empty table; a table without lang is English, a null lang no known
+    language; other columns are ignored.
     """
+    docs = docs.select("doc_id", "text", (F.col("lang") if "lang" in docs.columns else F.lit(LISTED)).alias("lang"))
+    marks = markers(docs, labels) if labels is not None else {}
     schema = docs.select("doc_id").schema.add("votes", "binary").add("h", "long")
 
     def vote(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             hashed = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), seed) >> 1 for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(t) for t in texts], pa.binary()), pa.array(hashed, pa.int64())], names=["doc_id", "votes", "h"])
+            own = [votes(t, lang, marks) for t, lang in zip(texts, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(hashed, pa.int64())], names=["doc_id", "votes", "h"])
 
-    voted = cut(docs.select("doc_id", "text").mapInArrow(vote, schema))
+    voted = cut(docs.mapInArrow(vote, schema))
     counted = sorted((bytes(r["votes"]), r["count"]) for r in voted.groupBy("votes").count().collect())
     patterns = np.frombuffer(b"".join(p for p, _ in counted), dtype=np.uint8).reshape(-1, len(LABELLERS)).astype(np.int64)
     labels = estimate(patterns, np.array([c for _, c in counted], dtype=float))
@@ -198,12 +249,12 @@ def classify(docs: DataFrame, per_class: int = 3_000, bits: int = 18, seed: int
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 texts = part.column(1).to_pylist()
-                own = [votes(t) for t in texts]
+                own = [votes(t, lang, marks) for t, lang in zip(texts, part.column(2).to_pylist(), strict=True)]
                 got = np.array([model(*hashed(t)) for t in texts]).reshape(-1, len(CLASSES))
                 weak = [CLASSES[int(table[v].argmax())] for v in own]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(["".join(map(str, v)) for v in own]), pa.array(weak, pa.string()), *(pa.array(np.ascontiguousarray(c)) for c in got.T)], names=["doc_id", "votes", "weak_label", *kinds])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(["".join(str(x % STRANGE) for x in v) for v in own]), pa.array(weak, pa.string()), *(pa.array(np.ascontiguousarray(c)) for c in got.T)], names=["doc_id", "votes", "weak_label", *kinds])
 
-    return docs.select("doc_id", "text").mapInArrow(score, out).withColumn("kept", F.col("p_clean") >= 0.5)
+    return docs.mapInArrow(score, out).withColumn("kept", F.col("p_clean") >= 0.5)
 
 
 def _fit(docs: DataFrame, voted: DataFrame, table: dict[bytes, np.ndarray], share: np.ndarray, per_class: int, bits: int) -> Scorer:

@@ -59,6 +59,30 @@ def test_weak_labels_find_junk_and_insults(spark):
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+def test_weak_labels_find_toxic_texts_of_every_language(spark):
+    """Recall on documents whose labels were held out."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    held = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(4)) == 0
+    got = {r.doc_id: r for r in weak_labels.classify(docs, labels.where(~held)).collect()}
+    rows = docs.select("doc_id", "lang").join(labels.where(held), "doc_id").collect()
+    for lang in ("en", "fr", "de", "es"):
+        toxic = [not got[r.doc_id].kept for r in rows if r.lang == lang and r.toxic == 1]
+        clean = [got[r.doc_id].kept for r in rows if r.lang == lang and (r.quality, r.toxic) == (1, 0)]
+        assert np.mean(toxic) >= 0.75 and np.mean(clean) >= 0.95, lang
+
+
+def test_english_labellers_abstain_elsewhere():
+    at = list(weak_labels.LABELLERS).index
+    word = "réeuxment", "réêou", "achlichst"
+    marks = {"fr": frozenset(word)}
+    of = lambda text, lang: [weak_labels.votes(text, lang, marks)[at(k)] for k in ("persons", "insults", "marked", "much_marked")]
+    no = weak_labels.STRANGE
+    assert of("la vie", "en") == [0, weak_labels.CLEAN, no, no] and of("la vie", "de") == [no] * 4
+    assert of("la vie", "fr") == [no, no, weak_labels.CLEAN, 0] and of("Réeuxment réêou!", "fr") == [no, no, weak_labels.TOXIC, no]
+    assert of(" ".join(word), "fr")[2:] == [weak_labels.TOXIC] * 2 and of("l'idiot", "fr")[:2] == [weak_labels.TOXIC] * 2
+
+
 def test_weak_labels_edges(spark):
     assert weak_labels.classify(hard_docs(spark)).count() == hard_docs(spark).count()
     assert weak_labels.classify(empty_docs(spark)).count() == 0
