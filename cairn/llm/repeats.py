@@ -28,6 +28,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -304,10 +305,9 @@ def marks(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     names, kinds = ["bucket", "run", "block", "doc_id", "h", "start", "stop"], [pa.int32(), LONG, pa.binary(), LONG, LONG, LONG, LONG]
 
     def runs(batches):
-        items, held = [], 0
+        items, held, number = [], 0, TaskContext.get().partitionId() << 32  # runs are named by task and count, alike in every attempt
 
         def flush():
-            number = xxhash.xxh64_intdigest(repr([i[5:] for i in items[:64]])) >> 1  # names a run alike in every attempt
             out, found_here = build_run(items, buckets, number)
             for block in out:
                 yield _batch([(*block, None, None, None, None)], names, kinds)
@@ -324,7 +324,7 @@ def marks(docs: DataFrame, buckets: int | None = None) -> DataFrame:
                 held += (SPAN + WINDOW) * len(chosen)
                 if held > RUN_BYTES:
                     yield from flush()
-                    items, held = [], 0
+                    items, held, number = [], 0, number + 1
         if items:
             yield from flush()
 

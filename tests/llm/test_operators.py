@@ -452,6 +452,14 @@ def test_repeats(spark):
     assert repeats.remove_repeats(empty_docs(spark)).count() == 0
 
 
+def test_repeats_of_the_same_rows_in_several_runs(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "RUN_BYTES", 1)  # a run for each row
+    rows = [(i, t) for i, t in enumerate(overlapping(12)) if len(t) >= 200]
+    one = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    other = spark.createDataFrame([(-1, "other " * 80)], "doc_id long, text string").coalesce(1)
+    check_repeats(one.unionByName(one).unionByName(other).unionByName(one))
+
+
 def items_of(texts, buckets=1):
     out = []
     for d, t in enumerate(texts):
