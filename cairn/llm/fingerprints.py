@@ -2,7 +2,9 @@
 
 A sketch is the set of a document's shingle hashes below a fixed fraction of the range. Every document is held
 to the same threshold, so the sketch of a union is the union of sketches, and the share of a small document's
-sketch that a large one has estimates containment however unequal they are.
+sketch that a large one has estimates containment however unequal they are. A short text may have no hash below
+the threshold. Its sketch stays empty then, and its least hash stands beside it: of two empty sketches it tells
+whether the texts are alike, as a MinHash of one slot does, and the least of a union is the lesser of the two.
 """
 
 from __future__ import annotations
@@ -27,36 +29,39 @@ def hashes(text: Column, width: int = WIDTH) -> tuple[Column, Column]:
 
 
 def retained(all_hashes: Column, fraction: float) -> Column:
-    """The hashes below the threshold, sorted; if there is none, the least one, so that only empty texts have none."""
+    """The hashes below the threshold, sorted, and the least of all (null of an empty text)."""
     limit = int(-(2**63) + fraction * 2**64)
     low = F.array_sort(F.array_distinct(F.filter(all_hashes, lambda h: h < F.lit(limit))))
-    return F.when(F.size(low) > 0, low).when(F.size(all_hashes) > 0, F.array(F.array_min(all_hashes))).otherwise(F.array().cast("array<bigint>"))
+    return F.struct(low.alias("low"), F.array_min(all_hashes).alias("least"))
 
 
 def with_sketch(df: DataFrame, text: str, to: str, fraction: float) -> DataFrame:
-    """df with the sketch of a text column; each step is a projection of its own so that none is evaluated twice."""
+    """df with the sketch (low, least) of a text column; each step is a projection of its own so that none is evaluated twice."""
     w, h = hashes(F.col(text))
     return df.withColumn("_w", w).withColumn("_h", h).drop("_w").withColumn(to, retained(F.col("_h"), fraction)).drop("_h")
 
 
 def merge(a: Column, b: Column) -> Column:
     """The sketch of two documents together."""
-    return F.array_sort(F.array_union(a, b))
+    return F.struct(F.array_sort(F.array_union(a["low"], b["low"])).alias("low"), F.least(a["least"], b["least"]).alias("least"))
 
 
 def resemblance(a: Column, b: Column) -> Column:
-    """Estimated share of common shingles in all of either; two sketches without a hash are alike."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
+    """Estimated share of common shingles in all of either. Of two empty sketches the least hashes decide; two texts without words are alike."""
+    both, of_a, of_b = F.size(F.array_intersect(a["low"], b["low"])), F.size(a["low"]), F.size(b["low"])
+    return F.when((of_a == 0) & (of_b == 0), a["least"].eqNullSafe(b["least"]).cast("double")).otherwise(both / (of_a + of_b - both))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has too; nothing is contained in anything."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimated share of a's shingles that b has too; null where a has words but too few for a sketch, 1 where it has none."""
+    n = F.size(a["low"])
+    return F.when(n > 0, F.size(F.array_intersect(a["low"], b["low"])) / n).when(a["least"].isNull() | (a["least"] == b["least"]), 1.0)
 
 
 def as_text(sketch: Column) -> Column:
-    return F.lower(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    """The hashes in hexadecimal; of an empty sketch "~" and the least hash, or nothing for a text without words."""
+    digits = lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))
+    return F.when(F.size(sketch["low"]) > 0, F.array_join(F.transform(sketch["low"], digits), "")).otherwise(F.coalesce(F.concat(F.lit("~"), digits(sketch["least"])), F.lit("")))
 
 
 def followers(ids: DataFrame) -> DataFrame:
@@ -74,31 +79,38 @@ def followers(ids: DataFrame) -> DataFrame:
     return dealt.join(link, "part").select("o.doc_id", "o.h", "o.n", before.alias("b")).select("doc_id", "h", "n", F.col("b.doc_id").alias("before_id"), F.col("b.h").alias("before_h"), F.col("b.n").alias("before_n"))
 
 
-def fingerprint(docs: DataFrame, fraction: float = 1 / 4) -> DataFrame:
+def fingerprint(docs: DataFrame, fraction: float = 1 / 32) -> DataFrame:
     """One row per document: doc_id, text, sketch. Null texts are empty; rows that repeat stay."""
     return with_sketch(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sketch", fraction)
 
 
-def compare_edited(docs: DataFrame, fraction: float = 1 / 4) -> DataFrame:
+def compare_edited(docs: DataFrame, fraction: float = 1 / 32) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_text, sketch, edited_sketch, next_sketch.
 
     The edited text has the last third of the code points replaced by as many (or all) of the first of the next
-    document's. Defined results: null texts are empty; rows that agree in doc_id and text are one document in
-    the order and each has its row; of an only document the next is itself; other columns are ignored.
+    document's. The next document is found on ids and text hashes alone. Texts are dealt once by id, and what a
+    document gives to the one before it is no more than the start of its text and its sketch.
+
+    Defined results: null texts are empty; rows that agree in doc_id and text are one document in the order and
+    each has its row; of an only document the next is itself; an empty table gives an empty table; other columns
+    are ignored.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     ids = cut(rows.groupBy("doc_id", "h").agg(F.max(F.char_length("text").cast("long")).alias("n"), F.count("*").alias("copies")))
-    if not ids.where("copies > 1").isEmpty():
+    many = ids.where("copies > 1").select(F.col("doc_id").alias("i"), F.col("h").alias("ih"), "copies")
+    repeated = not many.isEmpty()
+    if repeated:
         rows = rows.dropDuplicates(["doc_id", "h"])
     chain = followers(ids.select("doc_id", "h", "n")).select(F.col("doc_id").alias("i"), F.col("h").alias("ih"), "before_id", "before_h", "before_n")
-    prefix = F.substring(F.col("text"), F.lit(1), F.floor(F.col("before_n") / 3).cast("int"))
     given = rows.join(chain, rows.doc_id.eqNullSafe(chain.i) & (rows.h == chain.ih))
-    given = with_sketch(given, "text", "next_sketch", fraction).select("before_id", "before_h", prefix.alias("prefix"), "next_sketch")
+    prefix = F.substring(F.col("text"), F.lit(1), F.floor(F.col("before_n") / 3).cast("int"))
+    given = with_sketch(given.select("text", prefix.alias("prefix"), "before_id", "before_h"), "text", "next_sketch", fraction).drop("text")
     own = rows.join(given, rows.doc_id.eqNullSafe(given.before_id) & (rows.h == given.before_h)).select("doc_id", "h", "text", "prefix", "next_sketch")
     n = F.char_length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 3).cast("int")), F.col("prefix"))
-    own = with_sketch(own.withColumn("edited_text", edited).withColumn("n_chars", n.cast("long")), "text", "sketch", fraction).drop("text")
+    own = with_sketch(own.withColumn("edited_text", edited).withColumn("n_chars", n.cast("long")).drop("prefix"), "text", "sketch", fraction).drop("text")
     out = with_sketch(own, "edited_text", "edited_sketch", fraction)
-    many = ids.where("copies > 1").select(F.col("doc_id").alias("i"), F.col("h").alias("ih"), "copies")
-    out = out.join(many, out.doc_id.eqNullSafe(many.i) & (out.h == many.ih), "left")
-    return out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long"))))).drop("_", "i", "ih", "copies", "h")
+    if repeated:
+        out = out.join(many, out.doc_id.eqNullSafe(many.i) & (out.h == many.ih), "left").drop("i", "ih")
+        out = out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long"))))).drop("_", "copies")
+    return out.drop("h")
