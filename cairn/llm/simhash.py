@@ -9,8 +9,8 @@ six codewords, its list; the plain decoding is one of them. Two facts make these
 
 Fingerprints at distance four or less spread at most four errors over three segments, so two segments have
 (0, 0), (0, 1), (0, 2) or (1, 1) errors. The first three cases meet in a key of one segment as it is and a
-codeword of the other's list; (1, 1) meets in a key of two codewords, where one side gives its lists and the
-other its plain decodings. All that meets is verified on the whole fingerprint.
+codeword of the other's list; (1, 1) meets in a key of two codewords, as the plain decodings of either segment
+are in the other's lists. All that meets is verified on the whole fingerprint.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -108,15 +108,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every document; fp as a signed long."""
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns carry and fp, a signed long, of every document."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t) for t in batch.column(len(carry)).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(fps)], names=[*carry, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("fp", "long"))
+    return docs.select(*carry, "text").mapInArrow(run, docs.select(*carry).schema.add("fp", "long"))
 
 
 def _forest(f: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -202,6 +202,15 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
+def groups(fps: DataFrame, first: Column, most: int = 4) -> DataFrame:
+    """(fp, first) of every different fp of fps: the least value of first in the fingerprint's component."""
+    nodes = cut(fps.groupBy("fp").agg(F.min(first).alias("least")))
+    part = components(links(nodes, most))
+    named = cut(nodes.join(part, nodes.fp == part.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
+    roots = cut(named.groupBy("root").agg(F.min("least").alias("first")))  # read again, so that a large component's side of the join can be split
+    return named.join(roots, "root").select("fp", "first")
+
+
 def near_duplicates(docs: DataFrame, most: int = 4) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id that links reach).
 
@@ -209,13 +218,7 @@ def near_duplicates(docs: DataFrame, most: int = 4) -> DataFrame:
     each with the same component; an empty table gives an empty table; a component without any doc_id has null.
     """
     fps = cut(fingerprints(docs))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    part = components(links(nodes, most))
-    named = nodes.join(part, nodes.fp == part.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = cut(named)
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(roots, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(groups(fps, F.col("doc_id"), most).withColumnRenamed("first", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(column: str = "fp"):
@@ -223,13 +226,19 @@ def hex_fingerprint(column: str = "fp"):
 
 
 def one_of_each(docs: DataFrame, most: int = 4) -> DataFrame:
-    """The rows of docs, with all their columns, that are the first (smallest doc_id) of their component.
+    """One row of docs, with all its columns, for each component.
 
-    Of rows that repeat a doc_id one stays. Rows without a doc_id can't be named in a result; all of them stay.
+    It is the one with the smallest doc_id (null last) and of rows that share it the one with the least hash
+    over all columns, so rows with one doc_id and texts that resemble nothing all stay. An empty table gives an empty
+    table; rows that are equal in every column are copies, and one of them stays.
     """
-    found = cut(near_duplicates(docs, most))
-    first = found.where("doc_id = component_id").select("doc_id")
-    kept = docs.join(first.distinct(), "doc_id", "left_semi")
-    if not first.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d")
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(whole, row).withColumns({"doc_id": F.col("d.doc_id"), "text": F.col("d.text")})
+    fps = cut(fingerprints(rows, ("doc_id", "row")))
+    first = groups(fps, F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row"), most).select("first.doc_id", "first.row").distinct()
+    first = cut(first.withColumnRenamed("doc_id", "_id").withColumnRenamed("row", "_row"))
+    kept = rows.join(first, rows["row"].eqNullSafe(F.col("_row")) & rows["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    if not fps.groupBy("doc_id", "row").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "row"])
+    return kept.select("d.*")

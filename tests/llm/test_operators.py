@@ -274,8 +274,16 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(empty_docs(spark)).count() == 0
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(set(least.values())) and ids.count(None) == 2
+    left = kept.collect()
+    assert len(left) == len(set(roots)) and sorted(r.doc_id for r in left if r.doc_id is not None) == sorted(set(least.values()))
+
+
+def test_one_of_each_keeps_texts_that_share_an_id(spark):
+    rows = [(5, "a b c d e f one"), (5, "totally different words here are ok"), (5, "totally different words here are ok"), (6, "x"), (7, "X"), (None, "nothing like the others at all"), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in simhash.one_of_each(df).collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[3], rows[5]], key=str)
+    assert simhash.one_of_each(empty_docs(spark)).count() == 0
 
 
 # 5
