@@ -150,13 +150,18 @@ def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, seed: int = 7) -> Trees:
-    """Trees for labels.quality. At most max_labels labelled documents are used, chosen by a seeded hash of doc_id."""
+    """Trees for labels.quality. At most max_labels labelled documents are used, chosen by a seeded hash of doc_id.
+
+    Of texts that share a labelled doc_id the one with the least statistics counts; it is chosen before anything
+    reaches the driver, which sees one row for each of the chosen ids at most.
+    """
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
         .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_labels)
     )
     own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_labels rows of two numbers
-    rows = measure(own, ["doc_id", "_quality"]).toPandas().sort_values(["doc_id", *(f"_{s}" for s in STATS)]).drop_duplicates("doc_id")
+    one = F.struct(*(f"_{s}" for s in STATS))
+    rows = measure(own, ["doc_id", "_quality"]).groupBy("doc_id", "_quality").agg(F.min(one).alias("s")).select("doc_id", "_quality", "s.*").toPandas().sort_values("doc_id")
     x = features(rows[[f"_{s}" for s in STATS]].to_numpy())
     return fit_trees(x, rows["_quality"].to_numpy(dtype=float), list(FEATURES.values()))
 
