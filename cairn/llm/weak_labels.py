@@ -160,13 +160,17 @@ class Hashed:
         self.known[word] = found
         return found
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different words, the different shapes, and each shape's share of the words."""
         known, of = self.known, self._of
         pairs = np.array([known.get(w) or of(w) for w in (text or "").encode("utf-8", "surrogatepass").split()], dtype=np.int64).reshape(-1, 2)
-        words = np.unique(pairs[:, 0])
         shapes, often = np.unique(pairs[:, 1], return_counts=True)
-        at = np.concatenate([words, shapes])
-        return at, np.concatenate([np.full(len(words), 1 / np.sqrt(max(1, len(words)))), 4.0 * often / max(1, len(pairs))])
+        return np.unique(pairs[:, 0]), shapes, (often / max(1, len(pairs))).astype(np.float32)
+
+
+def weighted(words: np.ndarray, shapes: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of a document's features."""
+    return np.concatenate([words, shapes]), np.concatenate([np.full(len(words), 1 / np.sqrt(max(1, len(words)))), 4.0 * share])
 
 
 @dataclass(frozen=True)
@@ -180,6 +184,20 @@ class Scorer:
         score = np.exp(score - score.max())
         return score / score.sum()
 
+    def of_batch(self, words: pa.ListArray, shapes: pa.ListArray, share: pa.ListArray) -> np.ndarray:
+        """The classes' probabilities of many documents, each list summed at once."""
+
+        def sums(lists: pa.ListArray, value: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            rows = self.weight[lists.values.to_numpy()[ends[0] : ends[-1]]].astype(float)
+            total = np.concatenate([np.zeros((1, len(CLASSES))), np.cumsum(rows if value is None else rows * value[ends[0] : ends[-1], None], axis=0)])
+            return total[ends[1:] - ends[0]] - total[ends[:-1] - ends[0]], np.diff(ends)
+
+        own, n = sums(words, None)
+        score = own / np.sqrt(np.maximum(n, 1))[:, None] + 4.0 * sums(shapes, share.values.to_numpy())[0] + self.bias
+        score = np.exp(score - score.max(axis=1, keepdims=True))
+        return score / score.sum(axis=1, keepdims=True)
+
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int, share: np.ndarray, steps: int = 60_000, rate: float = 0.1, least: int = 5, seed: int = 3) -> Scorer:
     """Multinomial logistic regression on probabilities, by AdaGrad, one document at a time.
@@ -210,73 +228,86 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int, shar
 def classify(docs: DataFrame, labels: DataFrame | None = None, per_class: int = 3_000, bits: int = 18, seed: int = 5) -> DataFrame:
     """One row per document: doc_id, votes, weak_label, p_clean, p_junk, p_toxic, kept.
 
-    The scorer is fitted on at most per_class documents of each class that the labellers see, chosen by a
-    seeded hash; the accuracies come from all documents, of which the driver sees only counts of vote
-    patterns, at most 4 to the power of the number of labellers and in fact few. labels (doc_id, toxic) are read
-    by markers() alone; without them, or in a language with few, toxic texts in other languages than English stay unseen.
+    Every text is read once (labelled ones once more, by markers()): its votes and hashed features are written, and all
+    else works on these. The scorer is fitted on at most per_class different texts of each class that the labellers
+    see, chosen by a seeded hash. The accuracies come from all documents, of which the driver sees only counts of
+    vote patterns: some hundreds, and whatever the input no more than the labellers' votes allow (under five million).
+    labels (doc_id, toxic) are read by markers() alone; without them, or in a language with few, toxic texts in
+    other languages than English stay unseen.
 
-    Defined results: a null text is empty; an empty text is junk to its labellers; repeated rows stay and are
-    scored alike; an empty table gives an empty table; a table without lang is English, a null lang no known
-    language; other columns are ignored.
+    Defined results: a null text is empty; an empty text is junk to its labellers; repeated rows and ids stay and
+    each text is scored by itself; an empty table gives an empty table; a table without lang is English, a null lang
+    no known language; other columns are ignored.
     """
     docs = docs.select("doc_id", "text", (F.col("lang") if "lang" in docs.columns else F.lit(LISTED)).alias("lang"))
     marks = markers(docs, labels) if labels is not None else {}
-    schema = docs.select("doc_id").schema.add("votes", "binary").add("h", "long")
+    names = ["doc_id", "votes", "h", "words", "shapes", "share"]
+    schema = docs.select("doc_id").schema.add("votes", "binary").add("h", "long").add("words", T.ArrayType(T.IntegerType())).add("shapes", T.ArrayType(T.IntegerType())).add("share", T.ArrayType(T.FloatType()))
+
+    def lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0)]).astype(kind)))
 
     def vote(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            hashed = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), seed) >> 1 for t in texts]
-            own = [votes(t, lang, marks) for t, lang in zip(texts, batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(hashed, pa.int64())], names=["doc_id", "votes", "h"])
+        hashed = Hashed(bits)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                texts = batch.column(1).to_pylist()
+                h = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), seed) >> 1 for t in texts]
+                own = [votes(t, lang, marks) for t, lang in zip(texts, batch.column(2).to_pylist(), strict=True)]
+                words_, shapes, share = zip(*map(hashed, texts), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(h, pa.int64()), lists(words_, np.int32), lists(shapes, np.int32), lists(share, np.float32)], names=names)
 
     voted = cut(docs.mapInArrow(vote, schema))
     counted = sorted((bytes(r["votes"]), r["count"]) for r in voted.groupBy("votes").count().collect())
-    patterns = np.frombuffer(b"".join(p for p, _ in counted), dtype=np.uint8).reshape(-1, len(LABELLERS)).astype(np.int64)
-    labels = estimate(patterns, np.array([c for _, c in counted], dtype=float))
-    table = {p: q for (p, _), q in zip(counted, labels.classes(patterns), strict=True)} if counted else {}
-    scorer = _fit(docs, voted, table, labels.prior @ AS_CLASS, per_class, bits)
+    patterns = as_patterns([p for p, _ in counted])
+    found = estimate(patterns, np.array([c for _, c in counted], dtype=float))
+    scorer = _fit(voted, counted, found, per_class, bits)
     kinds = ["p_clean", "p_junk", "p_toxic"]
     out = docs.select("doc_id").schema.add("votes", "string").add("weak_label", "string")
     for name in kinds:
         out = out.add(name, "double")
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # 2**bits x 3 numbers
+    shared = docs.sparkSession.sparkContext.broadcast((found, scorer))  # 2**bits x 3 numbers
 
     def score(batches):
-        model = shared.value
-        hashed = Hashed(model.bits)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                texts = part.column(1).to_pylist()
-                own = [votes(t, lang, marks) for t, lang in zip(texts, part.column(2).to_pylist(), strict=True)]
-                got = np.array([model(*hashed(t)) for t in texts]).reshape(-1, len(CLASSES))
-                weak = [CLASSES[int(table[v].argmax())] for v in own]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(["".join(str(x % STRANGE) for x in v) for v in own]), pa.array(weak, pa.string()), *(pa.array(np.ascontiguousarray(c)) for c in got.T)], names=["doc_id", "votes", "weak_label", *kinds])
+        by_votes, model = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                part = whole.slice(at, 4096)
+                own = part.column(1).to_pylist()
+                different = sorted(set(own))
+                weak = dict(zip(different, by_votes.classes(as_patterns(different)).argmax(axis=1).tolist(), strict=True))
+                got = model.of_batch(part.column(2), part.column(3), part.column(4))
+                shown = {v: "".join(str(x % STRANGE) for x in v) for v in different}
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shown[v] for v in own], pa.string()), pa.array([CLASSES[weak[v]] for v in own], pa.string()), *(pa.array(np.ascontiguousarray(c)) for c in got.T)], names=["doc_id", "votes", "weak_label", *kinds])
+
+    return voted.select("doc_id", "votes", "words", "shapes", "share").mapInArrow(score, out).withColumn("kept", F.col("p_clean") >= 0.5)
+
 
-    return docs.mapInArrow(score, out).withColumn("kept", F.col("p_clean") >= 0.5)
+def as_patterns(found: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(found), dtype=np.uint8).reshape(-1, len(LABELLERS)).astype(np.int64)
 
 
-def _fit(docs: DataFrame, voted: DataFrame, table: dict[bytes, np.ndarray], share: np.ndarray, per_class: int, bits: int) -> Scorer:
-    chosen = None
+def _fit(voted: DataFrame, counted: list[tuple[bytes, int]], found: Labels, per_class: int, bits: int) -> Scorer:
+    """The scorer, fitted on at most per_class different texts of each class.
+
+    Only texts whose hash is low enough for some four times as many to be expected are looked at, and copies are
+    one text before anything is sorted.
+    """
+    posterior = found.classes(as_patterns([p for p, _ in counted]))
+    share, rows = found.prior @ AS_CLASS, []
+    spark = voted.sparkSession
+    kinds = spark.createDataFrame([(bytearray(p), int(q.argmax())) for (p, _), q in zip(counted, posterior, strict=True)], "votes binary, k int")
     for k in range(len(CLASSES)):
-        own = [p for p, q in table.items() if int(q.argmax()) == k]
-        if own:
-            some = voted.where(F.col("doc_id").isNotNull() & F.col("votes").isin([bytearray(p) for p in own])).orderBy("h", "doc_id").limit(per_class).select("doc_id", "votes")
-            chosen = some if chosen is None else chosen.unionByName(some)
-    if chosen is None:
-        return train([], bits, share)
-    chosen = cut(chosen.dropDuplicates(["doc_id"]))
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 3 * per_class ids
-
-    def sparse(batches):
-        hashed = Hashed(bits)
-        for batch in batches:
-            got = [hashed(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.tolist() for a, _ in got], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in got], pa.list_(pa.float32()))], names=["doc_id", "votes", "at", "value"])
-
-    kind = docs.select("doc_id").schema.add("votes", "binary").add("at", T.ArrayType(T.IntegerType())).add("value", T.ArrayType(T.FloatType()))
-    rows = own.select("doc_id", "text", "votes").mapInArrow(sparse, kind).toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    at, value, found = rows.column("at"), rows.column("value"), rows.column("votes")
-    return train([(np.array(at[i].as_py(), dtype=np.int64), np.array(value[i].as_py()), table[found[i].as_py()]) for i in order.tolist()], bits, share)
+        n = sum(c for (_, c), q in zip(counted, posterior, strict=True) if int(q.argmax()) == k)
+        if not n:
+            continue
+        limit = min(2**63 - 1, (4 * per_class + 1000) * 2**63 // n)
+        low = voted.where((F.col("h") <= limit) & F.col("doc_id").isNotNull()).join(F.broadcast(kinds.where(F.col("k") == k)), "votes")  # one row for each pattern
+        one = low.groupBy("h").agg(F.min(F.struct("votes", "words", "shapes", "share")).alias("d"))
+        rows += one.orderBy("h").limit(per_class).select("h", "d.*").collect()
+    rows.sort(key=lambda r: r["h"])
+    known = {p: q for (p, _), q in zip(counted, posterior, strict=True)}
+    sample = [(*weighted(np.array(r["words"], dtype=np.int64), np.array(r["shapes"], dtype=np.int64), np.array(r["share"], dtype=float)), known[bytes(r["votes"])]) for r in rows]
+    return train(sample, bits, share)
