@@ -1,8 +1,9 @@
 """Chat formatting of reply trees.
 
-Iterative self-joins double the reach of each message's pointer to its ancestors, so a tree of depth d takes
-about log2(d) joins to enumerate its root-to-leaf paths. Branches are ranked by score, and each chosen path is
-formatted as one conversation with a loss mask. All of it is DataFrame operations.
+Iterative self-joins double the reach of each message's pointer to its ancestors, and sum the scores on the way, so
+a tree of depth d takes about log2(d) joins. With these sums branches are ranked by score before any path is
+enumerated; the pointers then give the messages of the chosen paths alone, and each of these is formatted as one
+conversation with a loss mask. All of it is DataFrame operations.
 
 Control strings inside roles and texts are escaped reversibly: "<", any backslashes and "|" get one more
 backslash, so "<|" stands in the output only where the template put it. Roles also escape line ends.
@@ -17,7 +18,7 @@ from pyspark.sql.window import Window
 from .common import cut
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-LONGEST = 32  # rounds: paths of up to 2**LONGEST messages
+SALTS = 64  # parts in which a tree's branches are ranked first
 
 
 def escape(text: Column) -> Column:
@@ -37,48 +38,70 @@ def unescape_role(role: Column) -> Column:
     return F.replace(lines, F.lit("\\\\"), F.lit("\\"))
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(leaf, id, up) for every message on every root-to-leaf path; up counts steps from the leaf.
+def ancestors(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Pointers (id, to) to the messages 1, 2, 4, ... above, and (id, total, length) of every message's path from its root.
 
-    messages has unique ids (id) and parent ids (parent, null or unknown for roots).
+    messages has unique ids (id), parent ids (parent, null or unknown for roots) and scores. A path has no more
+    messages than there are, so pointers that still lead on after as many doublings say that parents form a cycle:
+    ValueError, whichever tree it is in.
     """
     known = messages.select(F.col("id").alias("at"))
-    jump = cut(messages.join(known, messages.parent == known["at"]).select("id", F.col("parent").alias("to")))
-    has_reply = jump.select(F.col("to").alias("id")).distinct()
-    found = messages.select("id").join(has_reply, "id", "left_anti").select(F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up"))
-    jumps = []
-    while not jump.isEmpty():
-        if len(jumps) == LONGEST:
+    at = messages.join(known, messages.parent == known["at"], "left").select("id", F.col("at").alias("to"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length"))
+    at, most, jumps = cut(at), None, []
+    while not (jump := at.where("to IS NOT NULL").select("id", "to")).isEmpty():
+        most = at.count() if most is None else most
+        if 1 << len(jumps) > most:
             raise ValueError("parents form a cycle")
         jumps.append(jump)
-        again = jump.select(F.col("id").alias("to"), F.col("to").alias("far"))
-        jump = cut(jump.join(again, "to").select("id", F.col("far").alias("to")))
+        above = at.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("total").alias("more"), F.col("length").alias("longer"))
+        at = cut(at.join(above, "to", "left").select("id", F.col("far").alias("to"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("longer", F.lit(0).cast("long"))).alias("length")))
+    return jumps, at.select("id", "total", "length")
+
+
+def leaves(messages: DataFrame) -> DataFrame:
+    """(id) of the messages that no other replies to."""
+    replied = messages.select(F.col("parent").alias("id")).where("id IS NOT NULL").distinct()
+    return messages.select("id").join(replied, "id", "left_anti")
+
+
+def paths(chosen: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(leaf, id, up) for every message on the paths to the leaves of chosen (id); up counts steps from the leaf."""
+    found = chosen.select(F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up"))
     for k, jump in enumerate(jumps):  # found has all messages less than 2**k above a leaf
         found = cut(found)
         found = found.unionByName(found.join(jump, "id").select("leaf", F.col("to").alias("id"), (F.col("up") + (1 << k)).alias("up")))
     return found
 
 
+def best_branches(ends: DataFrame, branches: int) -> DataFrame:
+    """ends (tree, id, mean, length) with rank, the best of each tree. A tree with very many branches is ranked in parts first."""
+    order = [F.desc("mean"), F.desc("length"), "id"]
+    part = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+    first = ends.withColumn("_part", part).withColumn("_k", F.row_number().over(Window.partitionBy("tree", "_part").orderBy(*order))).where(F.col("_k") <= branches)
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(*order))).where(F.col("rank") <= branches)
+
+
 def conversations(messages: DataFrame, branches: int | None = None) -> DataFrame:
     """(tree, leaf, rank, n_turns, formatted, mask): one conversation for each of a tree's best root-to-leaf paths.
 
     messages: tree, id, parent, role, text, score. A branch's rank is by its mean score (null counts as 0), then
-    length, then leaf; branches limits how many of each tree are formatted, all by default. mask lists start and
-    length, in code points, of every assistant text in formatted.
+    length, then leaf; branches limits how many of each tree are formatted. By default all are, without a rank. mask
+    lists start and length, in code points, of every assistant text in formatted.
 
     Defined results: null texts are empty, null roles say "null"; a message whose parent is unknown starts a
-    path of its own; no messages give no conversations; other columns are ignored.
+    path of its own; parents that form a cycle in any tree are a ValueError for all; no messages give no
+    conversations; other columns are ignored.
     """
     rows = messages.select("tree", "id", "parent", F.coalesce("role", F.lit("null")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    found = cut(paths(rows))
-    turns = found.join(rows.select("id", "tree", "role", "text", "score"), "id")
-    if branches is not None:
-        branch = found.join(rows.select("id", "tree", "score"), "id").groupBy("leaf").agg(F.first("tree").alias("tree"), F.avg("score").alias("s"), F.count("*").alias("n"))
-        order = Window.partitionBy("tree").orderBy(F.desc("s"), F.desc("n"), "leaf")
-        chosen = branch.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches).select("leaf", "rank")
-        turns = turns.join(chosen, "leaf")
+    jumps, sums = ancestors(rows.select("id", "parent", "score"))
+    ends = leaves(rows)
+    if branches is None:
+        chosen = ends.withColumn("rank", F.lit(None).cast("int"))
     else:
-        turns = turns.withColumn("rank", F.lit(None).cast("int"))
+        ends = ends.join(sums, "id").join(rows.select("id", "tree"), "id").withColumn("mean", F.col("total") / F.col("length"))
+        chosen = best_branches(ends, branches)
+    chosen = cut(chosen.select("id", "rank"))
+    turns = paths(chosen, jumps).join(rows.select("id", "tree", "role", "text"), "id").join(chosen.withColumnRenamed("id", "leaf"), "leaf")
     escaped = escape("text")
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     turns = turns.select("leaf", "tree", "rank", "up", "role", escaped.alias("body"), head.alias("head"))

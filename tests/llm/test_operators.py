@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -427,8 +428,38 @@ def test_chat_trees(spark):
     assert {k: r.n_turns for k, r in got.items()} == {"e": 4, "c": 2, "z": 1}
     best = {r.leaf: r["rank"] for r in chat.conversations(m, branches=1).collect()}
     assert best == {"e": 1, "z": 1}
-    with pytest.raises(ValueError):
-        chat.paths(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent string"))
+    two = {r.leaf: r["rank"] for r in chat.conversations(m, branches=2).collect()}
+    assert two == {"e": 1, "c": 2, "z": 1}
+    for ring in ([("a", "b"), ("b", "a")], [("a", "a")], [("r", None), ("a", "c"), ("b", "a"), ("c", "b"), ("d", "a")]):
+        with pytest.raises(ValueError):
+            chat.ancestors(spark.createDataFrame([(*r, 0.0) for r in ring], "id string, parent string, score double"))
+
+
+def test_chat_ranks_equal_plain_ones(spark):
+    rnd = random.Random(8)
+    rows = [(t, f"{t}:{i}", f"{t}:{rnd.randrange(i)}" if i else None, "user", "x", float(rnd.randint(-3, 3))) for t in range(6) for i in range(rnd.choice([1, 2, 40, 120]))]
+    parent, score, tree = {r[1]: r[2] for r in rows}, {r[1]: r[5] for r in rows}, {r[1]: r[0] for r in rows}
+    branches = defaultdict(list)
+    for leaf in set(parent) - set(parent.values()):
+        path, at = [], leaf
+        while at is not None:
+            path.append(at)
+            at = parent[at]
+        branches[tree[leaf]].append((-sum(score[x] for x in path) / len(path), -len(path), leaf))
+    want = {leaf: (k + 1, -n) for own in branches.values() for k, (_, n, leaf) in enumerate(sorted(own)[:3])}
+    m = spark.createDataFrame(rows, "tree long, id string, parent string, role string, text string, score double")
+    assert {r.leaf: (r["rank"], r.n_turns) for r in chat.conversations(m, branches=3).collect()} == want
+
+
+def test_queries_match_their_sql(spark):
+    sql = duckdb.connect()
+    for name in ("documents", "conversations"):
+        sql.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    for name, text in queries.ORACLES.items():
+        got = queries.QUERIES[name](spark, SF)
+        answer = sql.execute(text)
+        at = [[d[0] for d in answer.description].index(c) for c in got.columns]
+        assert Counter(map(tuple, got.collect())) == Counter(tuple(r[i] for i in at) for r in answer.fetchall()), name
 
 
 # 8
