@@ -14,13 +14,11 @@ among itself, which is distinct by construction and always ends. All of it is Da
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, let
 
 TITLES = {
     "male": ("Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин", "г-н"),
@@ -66,11 +64,6 @@ _BLOCKS = "array(" + ", ".join(f"named_struct('low', {low}L, 'high', {high}L)" f
 FEISTEL = 4  # rounds
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def kind_of(entity: Column) -> Column:
     """The first kind but names whose pattern an entity fits whole; a secret's value shows by nothing else."""
     out = None
