@@ -8,20 +8,24 @@ Wanted is every byte within a string of SPAN bytes that starts anywhere else too
    what stands before it. Anchors whose GRAM bytes occur once in the corpus, by count of a 64-bit hash, have
    no equal window and are left out.
 2. Runs. Each task sorts its strips' suffixes into a run, sets equal strips together, codes each suffix by the
-   length of the prefix that it has in common with the one before and by the rest of it, and deals the run out
-   to buckets.
-3. Merge. A bucket's runs go through a loser tree that compares two suffixes only from the end of what is
-   known to be common on. Strips with a common prefix of GRAM bytes come out in a row as one group. A strip
-   that occurs twice has all its windows repeated; others of a group are held against each other by the
-   common lengths after and before the anchor, or in larger groups by the windows' hashes.
-
-A group that is very large (passages that a great part of all documents quote with other words around) is not
-held in a task: its strips become rows of single windows, which Spark counts by key.
+   length of the prefix that it has in common with the one before and by the rest of it, and cuts the run at
+   splitters: suffixes' first GRAM bytes from a sample of anchors, so that ranges have about as many strips.
+3. Merge. A range's parts of all runs go through a loser tree that compares two suffixes only from the end of what
+   is known to be common on; the ranges one after the other are all suffixes in order. Strips with a common prefix of
+   GRAM bytes come out in a row as one group. A strip that occurs twice has all its windows repeated; others of a
+   group are held against each other by the common lengths after and before the anchor, or in larger groups by
+   the windows' hashes, and what these find is compared byte by byte.
+
+Passages that very many documents quote would be one large group in one task. Anchors that occur more than HOT times
+don't enter a range: each run sets their equal strips together and gives rows of single windows, which Spark counts by
+128-bit hashes. The same is done with a group that turns out to have more than MANY different strips.
 """
 
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -39,8 +43,11 @@ SPAN, GRAM = 200, 64
 WINDOW = SPAN - GRAM + 1
 CHUNK = 100_000  # windows that are looked at together; their places take 17 bits
 FEW, MANY = 6, 2_000  # strips of a group that are compared pair by pair, by hash, or beyond that as rows
+HOT = 20_000  # anchors with the same GRAM bytes beyond which windows are counted without a merge
+SAMPLED = 64  # one in so many different anchors is in the sample for splitters
+PER_RANGE = 20  # anchors of the sample for each range
 RUN_BYTES = 48 << 20
-STRIPS = 100_000  # strips for each bucket, so that buckets follow the input
+STRIPS = 100_000  # strips for each range, so that ranges follow the input
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -162,29 +169,51 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, bytes, tuple]]:
             node //= 2
 
 
-def build_run(items: list[tuple], buckets: int, number: int) -> tuple[list[tuple[int, int, bytes]], list[tuple]]:
-    """Blocks (bucket, run, bytes) of one sorted run, and marks of strips that occur twice in it.
+def build_run(items: list[tuple], splitters: list[bytes], number: int) -> tuple[list[tuple[int, int, bytes]], list[tuple], list[tuple]]:
+    """Blocks (range, run, bytes) of one sorted run, marks of strips that occur twice in it, and windows of hot strips.
 
-    items: (bucket, suffix, before, low, high, doc_id, h, anchor); windows start low to high before the anchor.
+    items: (hot, suffix, before, low, high, doc_id, h, anchor); windows start low to high before the anchor.
     A strip that occurs once keeps its owner; of one that occurs more often every owner is marked here.
     """
     items.sort(key=lambda x: x[:5])
-    out, marks, at = [], [], 0
+    out, marks, rows, at = [], [], [], 0
+    block, last, here = [], b"", 0
+
+    def close():
+        if block:
+            raw = pickle.dumps(list(zip(*block, strict=True)), protocol=5)
+            out.append((here, number, len(raw).to_bytes(8) + pa.compress(raw, codec="zstd", asbytes=True)))
+
     while at < len(items):
-        bucket, block, last = items[at][0], [], b""
-        while at < len(items) and items[at][0] == bucket:
-            _, suffix, before, low, high, *_ = items[at]
-            end = at + 1
-            while end < len(items) and items[end][:5] == items[at][:5]:
-                end += 1
-            if end - at > 1:
-                marks += [(d, h, a - high, a - low + SPAN) for _, _, _, low, high, d, h, a in items[at:end]]
+        hot, suffix, before, low, high, *_ = items[at]
+        end = at + 1
+        while end < len(items) and items[end][:5] == items[at][:5]:
+            end += 1
+        if end - at > 1:
+            marks += [(d, h, a - high, a - low + SPAN) for _, _, _, low, high, d, h, a in items[at:end]]
+        owner = None if end - at > 1 else items[at][5:]
+        if hot:
+            rows += window_rows(suffix, before, low, high, 2 if owner is None else 1, owner)
+        else:
+            if (place := bisect_right(splitters, suffix[:GRAM])) != here:
+                close()
+                block, last, here = [], b"", place
             n = common(last, suffix)
-            block.append((n, suffix[n:], before, low, high, None if end - at > 1 else items[at][5:]))
-            last, at = suffix, end
-        raw = pickle.dumps(list(zip(*block, strict=True)), protocol=5)
-        out.append((bucket, number, len(raw).to_bytes(8) + pa.compress(raw, codec="zstd", asbytes=True)))
-    return out, marks
+            block.append((n, suffix[n:], before, low, high, owner))
+            last = suffix
+        at = end
+    close()
+    return out, marks, rows
+
+
+def window_rows(suffix: bytes, before: bytes, low: int, high: int, n: int, owner: tuple | None) -> list[tuple]:
+    """(w, v, n, doc_id, h, start) of a strip's windows: their digest, how often they are known, and of a single one whose it is."""
+    text, place, out = before + suffix, len(before), []
+    own = owner if n == 1 else (None, None, 0)
+    for far in range(low, high + 1):
+        digest = xxhash.xxh3_128_digest(text[place - far : place - far + SPAN])
+        out.append((int.from_bytes(digest[:8], signed=True), int.from_bytes(digest[8:], signed=True), n, own[0], own[1], own[2] - far))
+    return out
 
 
 def settle(group: list[tuple[bytes, bytes, int, int, list]]) -> list[tuple]:
@@ -210,11 +239,16 @@ def settle(group: list[tuple[bytes, bytes, int, int, list]]) -> list[tuple]:
     order = np.argsort(np.where(valid, hashes, np.arange(len(group), dtype=np.uint64)[:, None]), axis=0, kind="stable")
     ranked, fine = np.take_along_axis(hashes, order, axis=0), np.take_along_axis(valid, order, axis=0)
     same = (ranked[1:] == ranked[:-1]) & fine[1:] & fine[:-1]
+    doubtful = differing(group, order, same)
     twice = np.zeros_like(valid)
     pair = np.zeros_like(valid)
     pair[1:] |= same
     pair[:-1] |= same
     np.put_along_axis(twice, order, pair, axis=0)
+    for far in doubtful:  # windows with one hash that differ: those of this distance are held against each other by their bytes
+        own = [window(m, far, far) if valid[i, far] else None for i, m in enumerate(group)]
+        often = Counter(own)
+        twice[:, far] = [w is not None and often[w] > 1 for w in own]
     for i in alone:
         d, h, a = group[i][4][0]
         for before in np.nonzero(twice[i])[0].tolist():
@@ -222,6 +256,28 @@ def settle(group: list[tuple[bytes, bytes, int, int, list]]) -> list[tuple]:
     return marks
 
 
+def window(strip: tuple, low: int, high: int) -> bytes:
+    """The bytes of a strip's windows from low to high before the anchor."""
+    return strip[1][len(strip[1]) - high :] + strip[0][: SPAN - low]
+
+
+def differing(group: list[tuple], order: np.ndarray, same: np.ndarray) -> list[int]:
+    """Distances at which windows with the same hash have other bytes; windows of two strips that follow on each other are compared as one."""
+    k, far = np.nonzero(same)
+    if not len(k):
+        return []
+    pair = order[k, far] * len(group) + order[k + 1, far]
+    by = np.lexsort((far, pair))
+    far, pair, out = far[by], pair[by], set()
+    cuts = np.nonzero((pair[1:] != pair[:-1]) | (far[1:] != far[:-1] + 1))[0] + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(far)], strict=True):
+        i, j = divmod(int(pair[a]), len(group))
+        low, high = int(far[a]), int(far[b - 1])
+        if window(group[i], low, high) != window(group[j], low, high):
+            out.update(x for x in range(low, high + 1) if window(group[i], x, x) != window(group[j], x, x))
+    return sorted(out)
+
+
 def windows(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """(strip x distance from window to anchor) hashes of the windows, and which the strips have."""
     wide = WINDOW - 1
@@ -236,7 +292,7 @@ def windows(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return _mix((sums[:, at + SPAN] - sums[:, at]) * down[at]), (far >= low) & (far <= high)
 
 
-def merge_bucket(blocks: dict[int, list[bytes]]) -> Iterator[tuple[list[tuple], list[tuple]]]:
+def merge_range(blocks: dict[int, list[bytes]]) -> Iterator[tuple[list[tuple], list[tuple]]]:
     """Marks, and windows as rows (w, v, n, doc_id, h, start) of groups too large to settle here."""
     group: dict[tuple, int] = {}
     members: list[tuple] = []
@@ -245,11 +301,8 @@ def merge_bucket(blocks: dict[int, list[bytes]]) -> Iterator[tuple[list[tuple],
     def rows() -> list[tuple]:
         out = []
         for suffix, before, low, high, owners in members:
-            text, place = before + suffix, len(before)
-            n, own = min(2, sum(2 if o is None else 1 for o in owners)), next(filter(None, owners), (None, None, 0))
-            for far in range(low, high + 1):
-                digest = xxhash.xxh3_128_digest(text[place - far : place - far + SPAN])
-                out.append((int.from_bytes(digest[:8], signed=True), int.from_bytes(digest[8:], signed=True), n, own[0] if n == 1 else None, own[1] if n == 1 else None, own[2] - far))
+            n = min(2, sum(2 if o is None else 1 for o in owners))
+            out += window_rows(suffix, before, low, high, n, next(filter(None, owners), None))
         return out
 
     def repeated() -> list[tuple]:
@@ -280,46 +333,73 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 LONG = pa.int64()
 
 
-def marks(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def splitters_of(sample: list[tuple[bytes, int]], ranges: int) -> list[bytes]:
+    """Bounds of so many ranges, about as many anchors in each, from a sample of (GRAM bytes, how often)."""
+    if not sample:
+        return []
+    sample = sorted(sample)
+    upto = np.cumsum([n for _, n in sample])
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges)
+    return sorted({sample[i][0] for i in at.tolist()})
+
+
+def marks(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """(doc_id, h, start, stop): stretches of repeated windows of every text; h is xxhash64 of the text."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= SPAN).withColumn("h", F.xxhash64("text"))
 
     def anchors(batches):
         for batch in batches:
-            docs_, hs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            grams = [strips(t.encode())[0] for t in batch.column(1).to_pylist()]
-            sizes = [len(g) for g in grams]
+            docs_, hs = batch.column(0), batch.column(2)
+            grams, sizes, some = [], [], []
+            for t in batch.column(1).to_pylist():
+                raw = t.encode()
+                gram, anchor, _, _ = strips(raw)
+                grams.append(gram)
+                sizes.append(len(gram))
+                own = [None] * len(gram)
+                for i in np.nonzero(gram % np.uint64(SAMPLED) == 0)[0].tolist():
+                    own[i] = raw[anchor[i] : anchor[i] + GRAM]
+                some += own
             take = pa.array(np.repeat(np.arange(len(docs_)), sizes))
             places = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if sizes else np.zeros(0, np.int32)
             gram = np.concatenate(grams).view(np.int64) if grams else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), hs.take(take), pa.array(places), pa.array(gram)], names=["doc_id", "h", "place", "gram"])
+            yield pa.RecordBatch.from_arrays([docs_.take(take), hs.take(take), pa.array(places), pa.array(gram), pa.array(some, pa.binary())], names=["doc_id", "h", "place", "gram", "first"])
 
-    found = cut(rows.select("doc_id", "text", "h").mapInArrow(anchors, "doc_id long, h long, place int, gram long"))
-    often = cut(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))  # read again, so that a frequent gram's side of the join can be split
-    per_doc = found.join(often.select("gram"), "gram").groupBy("doc_id", "h").agg(F.collect_set("place").alias("places"))
+    found = cut(rows.select("doc_id", "text", "h").mapInArrow(anchors, "doc_id long, h long, place int, gram long, first binary"))
+    often = cut(found.groupBy("gram").agg(F.count("*").alias("n"), F.min("first").alias("first")).where("n > 1"))  # read again, so that a frequent gram's side of the join can be split
+    place = F.when(F.col("n") > HOT, -1 - F.col("place")).otherwise(F.col("place"))
+    per_doc = found.select("doc_id", "h", "place", "gram").join(often.select("gram", "n"), "gram").groupBy("doc_id", "h").agg(F.collect_set(place).alias("places"))
     per_doc = per_doc.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "places")
-    if buckets is None:
-        wanted_strips = often.agg(F.sum("n")).first()[0] or 0
-        buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-wanted_strips // STRIPS))
+    sample = often.where((F.col("n") <= HOT) & F.col("first").isNotNull())
+    total, seen = often.where(F.col("n") <= HOT).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], sample.count()
+    if ranges is None:
+        ranges = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // STRIPS))
+    thin = max(1, seen // (PER_RANGE * ranges))  # PER_RANGE rows for each range reach the driver, as in Spark's own sorting by range
+    sample = sample.where(F.pmod(F.xxhash64("gram"), F.lit(thin)) == 0).select("first", "n").collect()
+    shared = docs.sparkSession.sparkContext.broadcast(splitters_of([(bytes(r["first"]), r["n"]) for r in sample], ranges))  # GRAM bytes for each range of STRIPS strips
     wanted = rows.join(per_doc, rows.doc_id.eqNullSafe(per_doc["_d"]) & (rows.h == per_doc["_h"])).select("doc_id", "h", "text", "places")
-    names, kinds = ["bucket", "run", "block", "doc_id", "h", "start", "stop"], [pa.int32(), LONG, pa.binary(), LONG, LONG, LONG, LONG]
+    names, kinds = ["range", "run", "block", "doc_id", "h", "start", "stop", "w", "v", "n"], [pa.int32(), LONG, pa.binary(), LONG, LONG, LONG, LONG, LONG, LONG, pa.int32()]
 
     def runs(batches):
         items, held, number = [], 0, TaskContext.get().partitionId() << 32  # runs are named by task and count, alike in every attempt
+        splitters = shared.value
 
         def flush():
-            out, found_here = build_run(items, buckets, number)
+            out, found_here, hot = build_run(items, splitters, number)
             for block in out:
-                yield _batch([(*block, None, None, None, None)], names, kinds)
+                yield _batch([(*block, *[None] * 7)], names, kinds)
             for at in range(0, len(found_here), 50_000):
-                yield _batch([(None, None, None, *m) for m in found_here[at : at + 50_000]], names, kinds)
+                yield _batch([(None, None, None, *m, None, None, None) for m in found_here[at : at + 50_000]], names, kinds)
+            for at in range(0, len(hot), 50_000):
+                yield _batch([(None, None, None, d, h, start, start + SPAN, w, v, n) for w, v, n, d, h, start in hot[at : at + 50_000]], names, kinds)
 
         for batch in batches:
             for d, h, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
-                gram, anchor, first, last = strips(raw)
-                chosen = np.array(sorted(places))
-                for g, a, p, q in zip((gram[chosen] % np.uint64(buckets)).tolist(), anchor[chosen].tolist(), first[chosen].tolist(), last[chosen].tolist(), strict=True):
+                _, anchor, first, last = strips(raw)
+                hot = np.array([p < 0 for p in places])
+                chosen = np.array([-1 - p if p < 0 else p for p in places])
+                for g, a, p, q in zip(hot.tolist(), anchor[chosen].tolist(), first[chosen].tolist(), last[chosen].tolist(), strict=True):
                     items.append((g, raw[a : q + SPAN], raw[p:a], a - q, a - p, d, h, a))
                 held += (SPAN + WINDOW) * len(chosen)
                 if held > RUN_BYTES:
@@ -328,14 +408,14 @@ def marks(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         if items:
             yield from flush()
 
-    made = cut(wanted.select("doc_id", "h", "text", "places").mapInArrow(runs, "bucket int, run long, block binary, doc_id long, h long, start long, stop long"))
+    made = cut(wanted.select("doc_id", "h", "text", "places").mapInArrow(_small_batches(runs), "range int, run long, block binary, doc_id long, h long, start long, stop long, w long, v long, n int"))
     out_names, out_kinds = ["doc_id", "h", "start", "stop", "w", "v", "n"], [LONG, LONG, LONG, LONG, LONG, LONG, pa.int32()]
 
     def join_runs(batches):
         bucket, blocks = None, {}
 
         def done():
-            for own, rest in merge_bucket(blocks) if blocks else ():
+            for own, rest in merge_range(blocks) if blocks else ():
                 if own:
                     yield _batch([(*m, None, None, None) for m in own], out_names, out_kinds)
                 for at in range(0, len(rest), 50_000):
@@ -349,12 +429,13 @@ def marks(docs: DataFrame, buckets: int | None = None) -> DataFrame:
                 blocks.setdefault(run, []).append(block)
         yield from done()
 
-    blocks = made.where("block IS NOT NULL").select("bucket", "run", "block").repartition(buckets, "bucket").sortWithinPartitions("bucket", "run")
+    blocks = made.where("block IS NOT NULL").select("range", "run", "block").repartition(ranges, "range").sortWithinPartitions("range", "run")
     settled = cut(blocks.mapInArrow(_small_batches(join_runs), "doc_id long, h long, start long, stop long, w long, v long, n int"))
-    rows_ = settled.where("w IS NOT NULL")
-    twice = rows_.groupBy("w", "v").agg(F.sum("n").alias("s")).where("s > 1").select("w", "v")
+    both = made.where("block IS NULL").select(*settled.columns).unionByName(settled)
+    rows_ = both.where("w IS NOT NULL")
+    twice = cut(rows_.groupBy("w", "v").agg(F.sum("n").alias("s")).where("s > 1").select("w", "v"))
     large = rows_.where("h IS NOT NULL").join(twice, ["w", "v"]).select("doc_id", "h", "start", "stop")
-    return made.where("block IS NULL").select("doc_id", "h", "start", "stop").unionByName(settled.where("w IS NULL").select("doc_id", "h", "start", "stop")).unionByName(large)
+    return both.where("w IS NULL").select("doc_id", "h", "start", "stop").unionByName(large)
 
 
 def _small_batches(run):
