@@ -1,7 +1,8 @@
 """Exact encoding and decoding with a merge-type (BPE) sentencepiece model, by backtracking.
 
 A text is encoded from left to right with the longest piece that an Aho-Corasick automaton finds, as long as
-it is compatible with the piece before it: merging the two pieces' characters anew must give just these two.
+it is compatible with the piece before it: merging the two pieces' characters anew must give just these two, which
+the merges next to their border decide.
 If nothing fits at a position, the position is marked in a bitfield as failed and the piece before it is
 taken back for its next shorter choice. Each prefix has one encoding, so a failed position is never retried.
 
@@ -11,6 +12,7 @@ The model's vocabulary and scores are read with the sentencepiece library; it en
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import struct
 from functools import cache, cached_property
@@ -71,10 +73,16 @@ class Pieces:
         letters = set(chain.from_iterable(self.id))
         self.loose = {c for c in letters if c not in self.id}  # parts of pieces that are no pieces: such texts are merged directly
         self.automaton = ahocorasick.Automaton()
+        self.halves: dict[str, tuple[str, str]] = {}  # what the last merge of a piece joins
         for piece in self.id:
             if self.merge(piece) == [piece]:  # no other piece is ever made
                 self.automaton.add_word(piece, piece)
+                if len(piece) > 1:
+                    self.halves[piece] = self.last
         self.automaton.make_automaton()
+        #: Every merge comes after those of its halves: then merges take place in the order of their scores, wherever they are.
+        self.in_order = all(self.score[p] < self.score[h] for p, halves in self.halves.items() if SPACE * 2 not in p for h in halves if len(h) > 1)
+        self.starts, self.ends = {}, {}
         self.across = any(SPACE in p.lstrip(SPACE) for p in self.id)  # then a text is one part
         self.segment = re.compile("(?s).+" if self.across else _segments(self.id, letters))
         self.fits: dict[tuple[str, str], bool] = {}
@@ -95,6 +103,7 @@ class Pieces:
             _, a, size = heapq.heappop(queue)
             if not part[a] or (b := after[a]) >= len(part) or len(part[a]) + len(part[b]) != size:
                 continue
+            self.last = part[a], part[b]
             part[a], part[b] = part[a] + part[b], ""
             after[a] = after[b]
             if after[b] < len(part):
@@ -103,10 +112,44 @@ class Pieces:
             offer(a, after[a])
         return [p for p in part if p]
 
+    def _edge(self, piece: str, side: int, known: dict[str, list[tuple[str, float]]]) -> list[tuple[str, float]]:
+        """What a piece's first (side 0) or last (1) character belongs to while it is merged, each with the score of the merge that ends it."""
+        if (own := known.get(piece)) is None:
+            own = [(piece, -math.inf)]
+            at = piece
+            while at in self.halves:
+                at, score = self.halves[at][side], self.score[at]
+                own.append((at, score))
+            own.reverse()
+            known[piece] = own
+        return own
+
+    def compatible(self, a: str, b: str) -> bool:
+        """Whether merging the characters of two pieces anew gives just these two.
+
+        The merges at both sides of their border are gone through in order. They are two as long as what stands at
+        the border never makes a piece with a score over that of the next merge at either side; of equal scores
+        the leftmost comes first.
+        """
+        if not self.in_order or SPACE * 2 in a + b or a not in self.halves and len(a) > 1 or b not in self.halves and len(b) > 1:
+            return self.merge(a + b) == [a, b]
+        left, right, i, j = self._edge(a, 1, self.ends), self._edge(b, 0, self.starts), 0, 0
+        score = self.score
+        while True:
+            (x, p), (y, q) = left[i], right[j]
+            if (s := score.get(x + y)) is not None and s > p and s >= q:
+                return False
+            if p >= q:
+                if p == -math.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def _fit(self, pair: tuple[str, str]) -> bool:
         if len(self.fits) > 4 * CACHED:
             self.fits.clear()
-        known = self.fits[pair] = self.merge(pair[0] + pair[1]) == [*pair]
+        known = self.fits[pair] = self.compatible(*pair)
         return known
 
     def backtrack(self, text: str) -> list[str]:
@@ -224,30 +267,21 @@ class Pieces:
 class Together:
     """backtrack() for many words at once: every step is taken by all words that are not done.
 
-    The automaton's matches become a table of piece numbers by place and length, filled by walking a trie over
-    all places together. Failed places are one bit field over all words. Pairs of pieces that have been held
-    against each other are kept as a sorted table.
+    The automaton's matches in all words become a table of piece numbers by place and length, and failed places are
+    one field of bits over all words. Pairs of pieces that have been held against each other are kept as a sorted
+    table.
     """
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        chars = sorted(c for c in set(chain.from_iterable(pieces.id)) if ord(c) < 0x250 or c == SPACE)
-        self.kind = np.zeros(0x110000, dtype=np.int16)
-        self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
-        own = [p for p in pieces.automaton.keys() if all(self.kind[ord(c)] for c in p) and len(p) <= 16]
-        at: dict[tuple[int, int], int] = {}
-        ends: dict[int, int] = {}
-        for p in own:
-            node = 0
-            for c in p:
-                node = at.setdefault((node, int(self.kind[ord(c)])), len(at) + 1)
-            ends[node] = pieces.id[p]
+        own = [p for p in pieces.automaton.keys() if not p.startswith(SPACE * 2)]  # runs of spaces never get here
         self.longest = max(map(len, own))
-        self.next = np.zeros((len(at) + 1, len(chars) + 1), dtype=np.int32)
-        keys = np.array(list(at), dtype=np.int64)
-        self.next[keys[:, 0], keys[:, 1]] = list(at.values())
-        self.ends = np.full(len(at) + 1, -1, dtype=np.int32)
-        self.ends[list(ends)] = list(ends.values())
+        if self.longest > 31:
+            raise ValueError("pieces of at most 31 characters are needed")
+        self.automaton = ahocorasick.Automaton()
+        for p in own:
+            self.automaton.add_word(p, len(p) << 20 | pieces.id[p])
+        self.automaton.make_automaton()
         self.lone = np.full(128, -1, dtype=np.int32)  # ASCII characters of no piece are encoded as their byte
         for b in range(128):
             if chr(b) not in pieces.id:
@@ -261,10 +295,8 @@ class Together:
         self.is_byte = np.zeros(len(self.text), dtype=bool)
         self.is_byte[list(pieces.byte_of)] = True
         self.name = {i: p for p, i in pieces.id.items()}
+        self.loose = np.array([ord(c) for c in sorted(pieces.loose)], dtype=np.uint32)
         self.pairs, self.fits = np.array([-1], dtype=np.int64), np.array([False])
-        self.top = np.zeros(1 << 16, dtype=np.int8)
-        for bit in range(16):
-            self.top[1 << bit : 2 << bit] = bit
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging each two pieces' characters anew gives just these two."""
@@ -272,8 +304,8 @@ class Together:
         at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         known = self.pairs[at] == pair
         if not known.all():
-            new, merge = np.unique(pair[~known]).tolist(), self.pieces.merge
-            found = [merge(x + y) == [x, y] for x, y in ((self.name[k >> 20], self.name[k & 0xFFFFF]) for k in new)]
+            new, name, fit = np.unique(pair[~known]).tolist(), self.name, self.pieces.compatible
+            found = [fit(name[k >> 20], name[k & 0xFFFFF]) for k in new]
             keep = slice(None) if len(self.pairs) + len(new) <= MOST_PAIRS else np.unique(at[known])
             keys, fits = np.concatenate([self.pairs[keep], new]), np.concatenate([self.fits[keep], np.array(found)])
             order = np.argsort(keys, kind="stable")
@@ -288,28 +320,22 @@ class Together:
 
     def _fill(self, words: list[str], known: Kept) -> None:
         gap = chr(0x10FFFF)
-        code = np.frombuffer((gap.join(SPACE + w for w in words) + gap * (self.longest + 1)).encode("utf-32-le"), dtype=np.uint32)
-        kind = self.kind[code].astype(np.int32)
+        joined = gap.join(SPACE + w for w in words) + gap * (self.longest + 1)
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         n = len(code) - self.longest
         ids = np.full((n, self.longest), -1, dtype=np.int32)
-        mask = np.zeros(n, dtype=np.int32)
-        place, node = np.arange(n), np.zeros(n, dtype=np.int32)
-        for d in range(self.longest):
-            node = self.next[node, kind[place + d]]
-            alive = node > 0
-            place, node = place[alive], node[alive]
-            piece = self.ends[node]
-            hit = piece >= 0
-            ids[place[hit], d] = piece[hit]
-            mask[place[hit]] |= 1 << d
-        low = np.nonzero((code[:n] < 128) & (kind[:n] == 0))[0]
+        end, match = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), dtype=np.int64).reshape(-1, 2).T
+        size = match >> 20
+        ids[end + 1 - size, size - 1] = match & 0xFFFFF
+        mask = (ids >= 0) @ (1 << np.arange(self.longest)).astype(np.int32)
+        low = np.nonzero((code[:n] < 128) & (mask == 0))[0]
         ids[low, 0] = self.lone[code[low]]
         mask[low] = 1
         stop = np.nonzero(code == 0x10FFFF)[0][: len(words)]
         start = np.concatenate([[0], stop[:-1] + 1])
         open_ = np.zeros(n + 1, dtype=np.int64)
-        np.cumsum(mask == 0, out=open_[1:])
-        fine = open_[stop] == open_[start]  # each character starts some piece
+        np.cumsum((mask == 0) | np.isin(code[:n], self.loose), out=open_[1:])
+        fine = open_[stop] == open_[start]  # each character starts some piece, and is one
         start, stop = start[fine], stop[fine]
         words = [w for w, f in zip(words, fine.tolist(), strict=True) if f]
         if not words:
@@ -317,14 +343,14 @@ class Together:
         width = int((stop - start).max())
         out, used = np.zeros((len(words), width), dtype=np.int32), np.zeros(len(words), dtype=np.int64)
         size = np.zeros((len(words), width), dtype=np.int8)
-        failed = np.zeros(n + 1, dtype=bool)
+        failed = np.zeros(n // 8 + 1, dtype=np.uint8)
         at, rest, last = start.copy(), mask[start], np.full(len(words), -1, dtype=np.int32)
         todo = np.arange(len(words))
         while len(todo):
             stuck = rest[todo] == 0
             if stuck.any():  # the place has no way on: its piece before is taken back for a shorter one
                 w = todo[stuck]
-                failed[at[w]] = True
+                np.bitwise_or.at(failed, at[w] >> 3, np.left_shift(1, at[w] & 7).astype(np.uint8))
                 used[w] -= 1
                 length = size[w, used[w]].astype(np.int64)
                 at[w] -= length
@@ -332,9 +358,9 @@ class Together:
                 last[w] = np.where(used[w] > 0, out[w, np.maximum(used[w] - 1, 0)], -1)
             w = todo[~stuck]
             if len(w):
-                bit = self.top[rest[w]].astype(np.int64)
+                bit = np.frexp(rest[w].astype(float))[1].astype(np.int64) - 1  # the longest choice that is left
                 piece, end, before = ids[at[w], bit], at[w] + bit + 1, last[w]
-                good = ~failed[end]
+                good = failed[end >> 3] >> (end & 7) & 1 == 0
                 check = np.nonzero(good & (before >= 0) & ~self.is_byte[np.maximum(before, 0)] & ~self.is_byte[piece])[0]
                 good[check] = self.compatible(before[check], piece[check])
                 bad, w, bit, piece, end = (w[~good], bit[~good]), w[good], bit[good], piece[good], end[good]

@@ -389,9 +389,27 @@ def test_encoding_many_words_together(monkeypatch):
             want = [1, *model.encode(text), 2]
             assert np.frombuffer(ids, dtype="<u4").tolist() == want and decoded == model.decode(want), text
         if turn == 6:  # what is kept is dropped again and again
+            assert len(mine.together.pairs) > 100
             monkeypatch.setattr(sentencepiece_bpe, "MOST_PAIRS", 1000)
             mine.words.most = 100
-    assert len(mine.together.pairs) > 100
+    assert len(mine.together.pairs) > 1
+
+
+def test_compatibility_is_that_of_merging_anew():
+    mine, rnd = sentencepiece_bpe.Pieces(queries.tokenizer_model()), random.Random(9)
+    assert mine.in_order
+    short = [p for p in mine.id if len(p) < 5 and not p.startswith("▁▁")]
+    every = [p for p in mine.id if not p.startswith("▁▁")]
+    fits = 0
+    for k in range(30_000):
+        a, b = rnd.choice(short if k % 2 else every), rnd.choice(short if k % 3 else every).replace("▁", "") or "a"
+        if k % 5 == 0:
+            b = a[-1:] * rnd.randint(1, 3)
+        if b in mine.id:
+            want = mine.merge(a + b) == [a, b]
+            fits += want
+            assert mine.compatible(a, b) == want, (a, b)
+    assert fits > 3000
 
 
 def test_encoding_query(spark):
@@ -581,29 +599,39 @@ def test_repeats_of_the_same_rows_in_several_runs(spark, monkeypatch):
     check_repeats(one.unionByName(one).unionByName(other).unionByName(one))
 
 
-def items_of(texts, buckets=1):
+def items_of(texts, hot=1):
+    """Strips, those of one in so many anchors hot."""
     out = []
     for d, t in enumerate(texts):
         raw = t.encode()
         for g, a, p, q in zip(*(x.tolist() for x in repeats.strips(raw)), strict=True):
-            out.append((g % buckets, raw[a : q + repeats.SPAN], raw[p:a], a - q, a - p, d, 0, a))
+            out.append((g % hot == 1, raw[a : q + repeats.SPAN], raw[p:a], a - q, a - p, d, 0, a))
     return out
 
 
-@pytest.mark.parametrize(("few", "many"), [(6, 2000), (0, 2000), (100, 2000), (1, 3), (0, 1)])
-def test_every_way_to_settle_a_group(monkeypatch, few, many):
+def test_repeats_of_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 5)
+    monkeypatch.setattr(repeats, "SAMPLED", 1)
+    check_repeats(spark.createDataFrame(list(enumerate(overlapping(14, 60))), "doc_id long, text string").repartition(6))
+
+
+@pytest.mark.parametrize("clash", [False, True])
+@pytest.mark.parametrize(("few", "many", "hot"), [(6, 2000, 1), (0, 2000, 1), (100, 2000, 1), (1, 3, 1), (0, 1, 1), (6, 2000, 2), (0, 3, 3)])
+def test_every_way_to_settle_a_group(monkeypatch, few, many, hot, clash):
+    if clash:  # hashes that say the same of very many windows: the bytes decide
+        monkeypatch.setattr(repeats, "windows", lambda group, real=repeats.windows: (lambda h, valid: (h % np.uint64(3), valid))(*real(group)))
     monkeypatch.setattr(repeats, "FEW", few)
     monkeypatch.setattr(repeats, "MANY", many)
     texts = overlapping(9)
-    items = items_of(texts)
-    blocks, marks = {}, []
+    items = items_of(texts, hot)
+    blocks, marks, rows = {}, [], []
     for run in range(5):
-        out, found = repeats.build_run(items[run::5], 1, run)
+        out, found, large = repeats.build_run(items[run::5], [], run)
         marks += found
+        rows += large
         for _, number, block in out:
             blocks.setdefault(number, []).append(block)
-    rows = []
-    for found, large in repeats.merge_bucket(blocks):
+    for found, large in repeats.merge_range(blocks):
         marks += found
         rows += large
     counts = Counter()
@@ -616,7 +644,20 @@ def test_every_way_to_settle_a_group(monkeypatch, few, many):
             if owner == d:
                 gone[a:b] = True
         assert gone.sum() == removed, (d, text[:40])
-    assert bool(rows) == (many < 10)
+    assert bool(rows) == (many < 10 or hot > 1)
+
+
+def test_ranges_are_in_order():
+    items = items_of(overlapping(11))
+    splitters = repeats.splitters_of([(x[1][: repeats.GRAM], 1) for x in items[::3]], 6)
+    assert 3 <= len(splitters) <= 5
+    parts = defaultdict(dict)
+    for run in range(4):
+        for place, number, block in repeats.build_run(items[run::4], splitters, run)[0]:
+            parts[place].setdefault(number, []).append(block)
+    assert len(parts) == len(splitters) + 1
+    texts = [text for place in sorted(parts) for _, text, _ in repeats.merge([repeats.Run(b) for _, b in sorted(parts[place].items())])]
+    assert texts == sorted(texts) and set(texts) == {x[1] for x in items}
 
 
 def test_merge_is_sorted_and_knows_prefixes():
