@@ -10,25 +10,25 @@ from ..functions.expr import mid_rank, ratio
 
 
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
-    """Per query: recall, precision, hit, reciprocal rank, nDCG and average precision at k.
+    """Per query: recall, precision and hit at k, nDCG at k, reciprocal rank and average precision over the whole ranking.
 
-    ranked (query, id, rank from 1), relevant (query, id). An id counts at its first rank only. A query without
-    anything relevant has recall 1 and nDCG and average precision 0.
+    ranked (query, id, rank from 1), relevant (query, id). An id counts at its first rank only. Precision is of what is
+    shown, so fewer than k are no fault. A query without anything relevant has recall 1 and nDCG and average precision 0.
     """
     first = ranked.groupBy("query", "id").agg(F.min("rank").alias("rank"))
-    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank", "id"))).where(F.col("rank") <= k)
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank", "id")))
     gold = relevant.select("query", "id").distinct()
     n = gold.groupBy("query").agg(F.count("*").alias("n"))
     hits = first.join(gold.withColumn("hit", F.lit(1)), ["query", "id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     upto = F.sum("hit").over(Window.partitionBy("query").orderBy("rank"))
-    hits = hits.withColumn("precise", F.col("hit") * upto / F.col("rank")).withColumn("gain", F.col("hit") / F.log2(F.col("rank") + 1.0))
-    per = hits.groupBy("query").agg(F.sum("hit").alias("found"), F.count("*").alias("shown"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("best"), F.sum("gain").alias("dcg"), F.sum("precise").alias("ap"))
+    hits = hits.withColumn("precise", F.col("hit") * upto / F.col("rank")).withColumn("top", (F.col("rank") <= k).cast("int"))
+    gain = F.col("top") * F.col("hit") / F.log2(F.col("rank") + 1.0)
+    per = hits.groupBy("query").agg(F.sum(F.col("hit") * F.col("top")).alias("found"), F.sum("top").alias("shown"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("best"), F.sum(gain).alias("dcg"), F.sum("precise").alias("ap"))
     both = per.join(n, "query", "full").na.fill(0, ["found", "shown", "dcg", "ap", "n"])
     best_dcg = F.when(F.col("n") > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.least(F.lit(k).cast("long"), F.col("n")))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0)))
     return both.select(
-        "query", ratio(F.col("found"), F.col("n"), 1.0).alias("recall"), (F.col("found") / k).alias("precision"), (F.col("found") > 0).cast("int").alias("hit"),
-        F.coalesce(1 / F.col("best"), F.lit(0.0)).alias("rr"), F.coalesce(F.col("dcg") / best_dcg, F.lit(0.0)).alias("ndcg"),
-        ratio(F.col("ap"), F.least(F.col("n"), F.lit(k))).alias("ap"),
+        "query", ratio(F.col("found"), F.col("n"), 1.0).alias("recall"), ratio(F.col("found"), F.col("shown")).alias("precision"), (F.col("found") > 0).cast("int").alias("hit"),
+        F.coalesce(1 / F.col("best"), F.lit(0.0)).alias("rr"), F.coalesce(F.col("dcg") / best_dcg, F.lit(0.0)).alias("ndcg"), ratio(F.col("ap"), F.col("n")).alias("ap"),
     )
 
 

@@ -5,6 +5,7 @@ Runs are (query, source, source_pos, id, score). All ranking is within a query,
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,22 +69,49 @@ def normalised(runs: DataFrame, temperature: float = 1.0) -> DataFrame:
     return runs.withColumn("e", e).select("query", "source", "id", minmax("score", RUN, 0.0).alias("minmax"), zscore("score", RUN).alias("z"), (F.col("e") / F.sum("e").over(w)).alias("softmax"))
 
 
-def weighted_sum(runs: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(query, id, source, part, fused, share): weighted linear fusion and what each source adds to it."""
+def weighted_sum(runs: DataFrame, weights: dict[str, float], scaled: bool = False) -> DataFrame:
+    """(query, id, source, part, fused, share): weighted linear fusion of raw scores (scaled: of 0 to 1 in their run) and what each source adds to it."""
+    if abs(sum(weights.values()) - 1) >= 1e-6:
+        raise ValueError("weights have to sum to 1")
     weight = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col("source")]
-    rows = runs.withColumn("part", F.coalesce(weight, F.lit(0.0)) * minmax("score", RUN, 0.0))
+    rows = runs.withColumn("part", F.coalesce(weight, F.lit(0.0)) * (minmax("score", RUN, 0.0) if scaled else F.col("score")))
     fused = F.sum("part").over(Window.partitionBy("query", "id"))
     return rows.select("query", "id", "source", "part", fused.alias("fused"), F.when(fused != 0, F.col("part") / fused).otherwise(0.0).alias("share"))
 
 
 def autocut(scores: DataFrame, ratio: float = 0.5, min_keep: int = 1) -> DataFrame:
-    """scores (query, id, score) with keep_gap: up to the largest fall of the score; keep_ratio: at least ratio of the best."""
+    """scores (query, id, score) with keep_gap: up to the largest fall of the score from min_keep on, the first of equals; keep_ratio: at least ratio of the best."""
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     whole = Window.partitionBy("query")
+    floor = max(1, min_keep)
     rows = scores.withColumn("rank", F.row_number().over(w)).withColumn("gap", F.col("score") - F.lead("score").over(w))
-    best = F.max(F.struct("gap", -F.col("rank"))).over(whole)
-    rows = rows.withColumn("cut", F.when(best["gap"] > 0, -best["col2"]).otherwise(F.count("*").over(whole)))
-    return rows.select("query", "id", "score", "rank", (F.col("rank") <= F.greatest(F.col("cut"), F.lit(min_keep))).alias("keep_gap"), ((F.col("score") >= ratio * F.max("score").over(whole)) | (F.col("rank") <= min_keep)).alias("keep_ratio"))
+    best = F.max(F.when((F.col("rank") >= floor) & F.col("gap").isNotNull(), F.struct("gap", -F.col("rank")))).over(whole)
+    rows = rows.withColumn("cut", F.coalesce(-best["col2"], F.count("*").over(whole)))
+    return rows.select("query", "id", "score", "rank", (F.col("rank") <= F.col("cut")).alias("keep_gap"), ((F.col("score") >= ratio * F.max("score").over(whole)) | (F.col("rank") <= floor)).alias("keep_ratio"))
+
+
+def team_draft(runs: DataFrame, a: str, b: str) -> DataFrame:
+    """(query, id, source, place): two runs take turns, a first, each with its best that is not taken yet.
+
+    When a run has picked n, the other has picked as many or one less, so an id is a's if a comes to it first. Which of
+    two comes first depends on what was skipped before; each query's two lists, short as candidates are, are gone through.
+    """
+
+    def draft(pdf: pd.DataFrame) -> pd.DataFrame:
+        lists = [pdf[pdf["source"] == s].sort_values("rank1")["id"].tolist() for s in (a, b)]
+        at, seen, out, turn = [0, 0], set(), [], 0
+        while at[0] < len(lists[0]) or at[1] < len(lists[1]):
+            own = lists[turn]
+            while at[turn] < len(own) and own[at[turn]] in seen:
+                at[turn] += 1
+            if at[turn] < len(own):
+                seen.add(own[at[turn]])
+                out.append((own[at[turn]], (a, b)[turn]))
+            turn = 1 - turn
+        return pd.DataFrame({"query": pdf["query"].iloc[0], "id": [i for i, _ in out], "source": [s for _, s in out], "place": range(1, len(out) + 1)})
+
+    ranked = with_rank(runs.where(F.col("source").isin(a, b))).select("query", "source", "id", "rank1")
+    return ranked.groupBy("query").applyInPandas(draft, ranked.select("query", "id", "source").schema.add("place", "long"))
 
 
 def round_robin(runs: DataFrame) -> DataFrame:

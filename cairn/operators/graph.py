@@ -1,29 +1,21 @@
 """Graph patterns and algorithms over nodes (id) and edges (src, dst).
 
-Iterative algorithms keep one row per node and cut their lineage with checkpoint(), which writes to the folder
-that all executors share.
+Iterative algorithms keep one row per node and write it after each round to the folder that all executors share.
 """
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cairn-checkpoint-"))
-    return df.checkpoint()
+from ..functions.storage import cut
 
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Each link in both directions, once, without self-loops."""
-    e = edges.select("src", "dst").where("src <> dst")
-    return e.union(e.select("dst", "src")).distinct()
+    e = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
+    return e.union(e.select("dst", "src"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -58,44 +50,52 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     raise RuntimeError("components: no end was reached")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85, start: DataFrame | None = None) -> DataFrame:
-    """(id, rank) after a fixed number of rounds; rank of nodes without an out-edge is shared by all.
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, start: DataFrame | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """(id, rank); rank of nodes without an out-edge is shared by all. It ends when a round changes less than tolerance a node in all, or after rounds.
 
     start (id, weight summing to 1) makes it personalised: jumps and dangling rank go by weight.
     """
     links = edges.select("src", "dst").distinct()
     out = links.groupBy("src").agg(F.count("*").alias("out"))
+    n = nodes.count()
     if start is None:
-        n = nodes.count()
-        base = nodes.select("id", F.lit(1.0 / n).alias("weight"))
+        base = nodes.select("id", F.lit(1.0 / max(1, n)).alias("weight"))
     else:
         base = nodes.select("id").join(start, "id", "left").na.fill(0.0, ["weight"])
     base = cut(base.join(out, base.id == out.src, "left").select("id", "weight", "out"))
     share = cut(links.join(out, "src"))
-    rank = base.select("id", F.col("weight").alias("rank"))
+    rank = base.select("id", F.col("weight").alias("rank"), "weight", "out")
     for _ in range(rounds):
-        lost = rank.join(base, "id").where("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        got = share.join(rank, share.src == rank.id).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        new = base.join(got, base.id == got.dst, "left").crossJoin(F.broadcast(lost))
-        rank = cut(new.select("id", ((1 - damping) * F.col("weight") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("weight"))).alias("rank")))
-    return rank
-
-
-def hits(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, hub, authority), both of length 1 after each round."""
-    links = cut(edges.select("src", "dst").distinct())
-    score = nodes.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority"))
+        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
+        got = share.join(rank.select("id", "rank"), share.src == rank.id).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
+        new = rank.withColumnRenamed("rank", "was").join(got, F.col("id") == F.col("dst"), "left").crossJoin(F.broadcast(lost))
+        value = (1 - damping) * F.col("weight") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("weight"))
+        rank = cut(new.select("id", value.alias("rank"), "weight", "out", "was"))
+        if tolerance and (rank.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < tolerance * n:
+            break
+        rank = rank.drop("was")
+    return rank.select("id", "rank")
+
+
+def hits(nodes: DataFrame, edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-10) -> DataFrame:
+    """(id, hub, authority), each summing to 1, over directed links without loops, until hubs change less than tolerance in all."""
+    links = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    n = nodes.count()
+    score = nodes.select("id", F.lit(1.0 / max(1, n)).alias("hub"))
 
     def unit(df: DataFrame, c: str) -> DataFrame:
-        norm = df.agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias("norm"))
+        norm = df.agg(F.sum(c).alias("norm"))
         return df.crossJoin(F.broadcast(norm)).withColumn(c, F.coalesce(F.try_divide(c, "norm"), F.lit(0.0))).drop("norm")
 
     for _ in range(rounds):
-        a = links.join(score, links.src == score.id).groupBy("dst").agg(F.sum("hub").alias("a"))
-        score = unit(score.join(a, score.id == a.dst, "left").select("id", "hub", F.coalesce("a", F.lit(0.0)).alias("authority")), "authority")
-        h = links.join(score, links.dst == score.id).groupBy("src").agg(F.sum("authority").alias("h"))
-        score = cut(unit(score.join(h, score.id == h.src, "left").select("id", F.coalesce("h", F.lit(0.0)).alias("hub"), "authority"), "hub"))
-    return score
+        a = links.join(score.select("id", "hub"), links.src == score.id).groupBy("dst").agg(F.sum("hub").alias("a"))
+        score = unit(score.select("id", F.col("hub").alias("was")).join(a, F.col("id") == a.dst, "left").select("id", "was", F.coalesce("a", F.lit(0.0)).alias("authority")), "authority")
+        score = cut(score)
+        h = links.join(score.select("id", "authority"), links.dst == score.id).groupBy("src").agg(F.sum("authority").alias("h"))
+        score = cut(unit(score.join(h, score.id == h.src, "left").select("id", "was", F.coalesce("h", F.lit(0.0)).alias("hub"), "authority"), "hub"))
+        if tolerance and (score.agg(F.sum(F.abs(F.col("hub") - F.col("was")))).first()[0] or 0.0) < tolerance:
+            break
+    return score.select("id", "hub", "authority")
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -155,48 +155,148 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFra
     return a.join(b, keys, "full").withColumn("change", kind).where("change IS NOT NULL").select(*keys, "change", "old", "new")
 
 
-def shortest_paths(edges: DataFrame, start: str, most: int = 6) -> DataFrame:
-    """(id, hops) of all within most steps of one node: breadth first, each node at its first step."""
+def core_numbers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, core): the largest k for which a node is in a part where all have k neighbours or more.
+
+    Starting from the degrees, every node takes the largest h for which h neighbours have h or more, until nothing changes;
+    this ends at the core numbers. Neighbours are counted by their number before they are ranked, so a node
+    with very many costs as many rows as its neighbours have different numbers.
+    """
+    both = cut(undirected(edges))
+    core = cut(nodes.select("id").distinct().join(both.groupBy("src").agg(F.count("*").alias("core")), F.col("id") == F.col("src"), "left").select("id", F.coalesce("core", F.lit(0).cast("long")).alias("core")))
+    upto = Window.partitionBy("src").orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        counts = both.join(core.withColumnRenamed("id", "dst"), "dst").groupBy("src", "core").agg(F.count("*").alias("n"))
+        h = counts.withColumn("m", F.sum("n").over(upto)).groupBy("src").agg(F.max(F.least("core", "m")).alias("h"))
+        new = cut(core.join(h, F.col("id") == F.col("src"), "left").select("id", F.coalesce(F.least("h", "core"), F.lit(0).cast("long")).alias("core"), F.col("core").alias("was")))
+        core = new.select("id", "core")
+        if new.where("core <> was").isEmpty():
+            return core
+
+
+def clustering(edges: DataFrame) -> DataFrame:
+    """(id, neighbours, links, coefficient): how many of a node's pairs of neighbours are linked; 0 with fewer than two."""
+    both = cut(undirected(edges))
+    d = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("neighbours"))
+    t = d.join(triangles(both), "id", "left").select("id", "neighbours", F.coalesce("triangles", F.lit(0).cast("long")).alias("links"))
+    pairs = F.col("neighbours") * (F.col("neighbours") - 1) / 2
+    return t.withColumn("coefficient", F.when(F.col("neighbours") > 1, F.col("links") / pairs).otherwise(0.0))
+
+
+def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that no edge touches."""
+    return nodes.join(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_anti")
+
+
+def distances(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """(seed, id, hops) from each seed (id) of a stated set to all that it reaches, breadth first, as far as most steps."""
     both = cut(undirected(edges))
-    spark = edges.sparkSession
-    found = spark.createDataFrame([(start, 0)], "id string, hops int")
-    for step in range(1, most + 1):
-        front = found.where(F.col("hops") == step - 1).join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti")
-        found = cut(found.unionByName(front.withColumn("hops", F.lit(step))))
+    found = cut(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).cast("long").alias("hops")))
+    step = 0
+    while most is None or step < most:
+        front = found.where(F.col("hops") == step).join(both, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
+        front = cut(front.join(found.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hops", F.lit(step + 1).cast("long")))
+        if front.isEmpty():
+            break
+        found, step = cut(found.unionByName(front)), step + 1
     return found
 
 
-def k_core(edges: DataFrame, k: int, max_rounds: int = 100) -> DataFrame:
-    """Links among nodes that keep at least k neighbours once all with fewer are gone, again and again."""
-    left = cut(undirected(edges))
-    for _ in range(max_rounds):
-        weak = left.groupBy("src").agg(F.count("*").alias("d")).where(F.col("d") < k).select("src")
-        if weak.isEmpty():
-            return left
-        left = cut(left.join(weak, "src", "left_anti").join(weak.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
-    raise RuntimeError("k_core: no end was reached")
+def closeness(reached: DataFrame, n: int) -> DataFrame:
+    """distances() of each seed as closeness (n - 1) / sum, scaled by the share that is reached, harmonic mean and eccentricity."""
+    d = reached.where("hops > 0")
+    c = d.groupBy("seed").agg(F.count("*").alias("reached"), F.sum("hops").alias("total"), F.sum(1 / F.col("hops")).alias("h"), F.max("hops").alias("eccentricity"))
+    share = F.col("reached") / (n - 1)
+    return c.select("seed", "reached", (F.col("reached") / F.col("total") * share).alias("closeness"), (F.col("h") / (n - 1)).alias("harmonic"), "eccentricity")
+
+
+def shortest_path(edges: DataFrame, start: str, stop: str, most: int = 6) -> DataFrame:
+    """(place, id) of the first shortest path in the order of ids: breadth first from start, then back from stop."""
+    spark, both = edges.sparkSession, cut(undirected(edges))
+    found = cut(distances(edges, spark.createDataFrame([(start,)], "id string"), most).select("id", "hops"))
+    end = found.where(F.col("id") == stop).first()
+    path, at = [], stop if end else None
+    for hops in range(end["hops"] if end else -1, -1, -1):
+        path.append((hops, at))
+        if hops:
+            before = both.where(F.col("src") == at).join(found.where(F.col("hops") == hops - 1), F.col("dst") == F.col("id")).agg(F.min("id")).first()
+            at = before[0]
+    return spark.createDataFrame(path, "place long, id string")
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """(id, label): each round every node takes its neighbours' most frequent label, the least of equals."""
+def simple_paths(edges: DataFrame, seeds: DataFrame, most: int = 4, value: str | None = None, otherwise: float = 1.0) -> DataFrame:
+    """(nodes, hops, product) of all directed paths of at most so many steps from seeds (id) that meet no node twice.
+
+    product multiplies an edge's value (otherwise where it is null) along the path. What grows here are the paths
+    themselves, so edges should be few or steps short.
+    """
+    e = edges.select("src", "dst", (F.coalesce(F.col(value), F.lit(otherwise)) if value else F.lit(1.0)).alias("v"))
+    front = seeds.select(F.array("id").alias("nodes"), F.lit(0).cast("long").alias("hops"), F.lit(1.0).alias("product"))
+    out = None
+    for _ in range(most):
+        front = front.join(e, F.element_at("nodes", -1) == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
+        front = cut(front.select(F.array_append("nodes", F.col("dst")).alias("nodes"), (F.col("hops") + 1).alias("hops"), (F.col("product") * F.col("v")).alias("product")))
+        out = front if out is None else out.unionByName(front)
+    return out
+
+
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """(id, label): each round every node takes its neighbours' most frequent label, the least of equals, until none changes or after rounds."""
     both = cut(undirected(edges))
     label = nodes.select("id", F.col("id").alias("label"))
     for _ in range(rounds):
         votes = both.join(label, both.dst == label.id).groupBy("src", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select(F.col("src").alias("id"), F.col("b.label").alias("new"))
-        label = cut(label.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label")))
+        new = cut(label.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label"), F.col("label").alias("was")))
+        label = new.select("id", "label")
+        if new.where("label <> was").isEmpty():
+            break
     return label
 
 
+def _xml(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(mark), F.lit(name))
+    return c
+
+
 def lines(nodes: DataFrame, edges: DataFrame, form: str) -> DataFrame:
-    """Text lines of a graph: 'tgf', 'sif', 'dot' or 'ndjson'. Files are written from them with write.text."""
+    """(part, line): text lines of a graph. Written in the order of part they are a file of the form.
+
+    Forms: sif, tgf, dot, ndjson, graphml, nt (N-Triples), csv, cypher. Lines of one part may be in any order.
+    """
     quote = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
+    iri = lambda kind, c: F.concat(F.lit(f"<urn:{kind}:"), F.col(c), F.lit(">"))
+    field = lambda c: F.when(F.col(c).rlike('[",\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c))
+
+    def of(part: int, df: DataFrame, line: Column) -> DataFrame:
+        return df.select(F.lit(part).alias("part"), line.alias("line"))
+
+    def fixed(part: int, *text: str) -> DataFrame:
+        return edges.sparkSession.createDataFrame([(part, t) for t in text], "part int, line string")
+
     if form == "sif":
-        return edges.select(F.concat_ws("\t", "src", "type", "dst").alias("line"))
+        return of(1, edges, F.concat_ws("\t", "src", "type", "dst"))
     if form == "tgf":
-        return nodes.select(F.concat_ws(" ", "id", "label").alias("line")).unionByName(edges.select(F.concat_ws(" ", "src", "dst", "type").alias("line")))
+        return of(1, nodes, F.concat_ws(" ", "id", "label")).unionByName(fixed(2, "#")).unionByName(of(3, edges, F.concat_ws(" ", "src", "dst", "type")))
     if form == "dot":
-        return edges.select(F.concat(F.lit("  "), quote(F.col("src")), F.lit(" -> "), quote(F.col("dst")), F.lit(" [label="), quote(F.col("type")), F.lit("];")).alias("line"))
+        node = F.concat(F.lit("  "), quote(F.col("id")), F.lit(" [label="), quote(F.col("label")), F.lit("];"))
+        edge = F.concat(F.lit("  "), quote(F.col("src")), F.lit(" -> "), quote(F.col("dst")), F.lit(" [label="), quote(F.col("type")), F.lit("];"))
+        return fixed(0, "digraph G {").unionByName(of(1, nodes, node)).unionByName(of(2, edges, edge)).unionByName(fixed(3, "}"))
     if form == "ndjson":
-        return edges.select(F.to_json(F.struct("src", "dst", "type")).alias("line"))
+        return of(1, edges, F.to_json(F.struct("src", "dst", "type")))
+    if form == "graphml":
+        node = F.concat(F.lit('<node id="'), _xml("id"), F.lit('"><data key="label">'), _xml("label"), F.lit("</data></node>"))
+        edge = F.concat(F.lit('<edge source="'), _xml("src"), F.lit('" target="'), _xml("dst"), F.lit('"><data key="type">'), _xml("type"), F.lit("</data></edge>"))
+        head = '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="label" for="node" attr.name="label" attr.type="string"/><key id="type" for="edge" attr.name="type" attr.type="string"/><graph edgedefault="directed">'
+        return fixed(0, head).unionByName(of(1, nodes, node)).unionByName(of(2, edges, edge)).unionByName(fixed(3, "</graph></graphml>"))
+    if form == "nt":
+        return of(1, nodes, F.concat(iri("node", "id"), F.lit(" <urn:label> "), quote(F.col("label")), F.lit(" ."))).unionByName(of(2, edges, F.concat_ws(" ", iri("node", "src"), iri("type", "type"), iri("node", "dst"), F.lit("."))))
+    if form == "csv":
+        return fixed(0, "src,dst,type").unionByName(of(1, edges, F.concat_ws(",", field("src"), field("dst"), field("type"))))
+    if form == "cypher":
+        return of(1, nodes, F.concat(F.lit("MERGE (n {id: "), quote(F.col("id")), F.lit("}) SET n:"), F.col("label"), F.lit(";"))).unionByName(
+            of(2, edges, F.concat(F.lit("MATCH (a {id: "), quote(F.col("src")), F.lit("}), (b {id: "), quote(F.col("dst")), F.lit("}) MERGE (a)-[:"), F.upper("type"), F.lit("]->(b);")))
+        )
     raise ValueError(f"unknown form {form}")

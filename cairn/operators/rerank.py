@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import cut
+from ..functions.storage import cut
 
 
 def mmr(hits: DataFrame, lambda_: float = 0.7, k: int = 10, candidates: int = 100) -> DataFrame:
@@ -32,19 +32,34 @@ def mmr(hits: DataFrame, lambda_: float = 0.7, k: int = 10, candidates: int = 10
     return short.groupBy("query").applyInPandas(pick, "query long, id long, place long")
 
 
-def set_cover(offers: DataFrame, costs: dict[str, float] | None = None, rounds: int = 50) -> DataFrame:
-    """offers (candidate, gap): a greedy cover of all gaps: place, candidate, gained.
+def set_cover(offers: DataFrame, most: int | None = None) -> DataFrame:
+    """offers (candidate, gap; cost of the candidate and weight of the gap, 1 where they are missing): place, candidate, gained, cost, covered.
 
-    Each round is one aggregation over what is left; the plan is short, the offers may be many.
+    A greedy cover: the next candidate is the one whose newly covered weight is the most for its cost, of equals the
+    cheaper one and then the lesser name. It ends when nothing is left that a candidate offers, or after most
+    picks if that is given; covered is the share of all gaps' weight by then. Each pick is one aggregation over
+    what is left. A cost that is not positive, or a negative weight, is a ValueError.
     """
-    spark, left, plan = offers.sparkSession, offers.distinct(), []
-    left = cut(left)
-    cost = F.lit(1.0) if costs is None else F.coalesce(F.create_map(*(F.lit(x) for kv in costs.items() for x in kv))[F.col("candidate")], F.lit(1.0))
-    for place in range(1, rounds + 1):
-        top = left.groupBy("candidate").agg(F.count("*").alias("gained")).withColumn("cost", cost).orderBy(F.desc(F.col("gained") / F.col("cost")), "cost", "candidate").first()
+    spark = offers.sparkSession
+    for name in ("cost", "weight"):
+        if name not in offers.columns:
+            offers = offers.withColumn(name, F.lit(1.0))
+    left = cut(offers.groupBy("candidate", "gap").agg(F.min("cost").cast("double").alias("cost"), F.max("weight").cast("double").alias("weight")))
+    gaps = left.groupBy("gap").agg(F.max("weight").alias("w")).agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"), F.min("w").alias("low")).first()
+    if not left.where("cost <= 0").isEmpty() or (gaps["low"] or 0) < 0:
+        raise ValueError("costs must be positive and weights not negative")
+    plan, done = [], 0.0
+    while most is None or len(plan) < most:
+        top = left.groupBy("candidate", "cost").agg(F.sum("weight").alias("gained")).orderBy(F.desc(F.col("gained") / F.col("cost")), "cost", "candidate").first()
         if top is None:
             break
-        plan.append((place, top["candidate"], top["gained"]))
-        done = left.where(F.col("candidate") == top["candidate"]).select("gap")
-        left = cut(left.join(done, "gap", "left_anti"))
-    return spark.createDataFrame(plan, "place long, candidate string, gained long")
+        done += top["gained"]
+        plan.append((len(plan) + 1, top["candidate"], top["gained"], top["cost"], done / gaps["w"] if gaps["w"] else 1.0))
+        left = cut(left.join(left.where(F.col("candidate") == top["candidate"]).select("gap"), "gap", "left_anti"))
+    return spark.createDataFrame(plan, "place long, candidate string, gained double, cost double, covered double")
+
+
+def uncovered(offers: DataFrame, plan: DataFrame) -> DataFrame:
+    """The gaps of offers that no candidate of a set_cover() plan closes."""
+    closed = offers.join(plan.select("candidate"), "candidate", "left_semi").select("gap").distinct()
+    return offers.select("gap").distinct().join(closed, "gap", "left_anti")

@@ -25,12 +25,11 @@ def pairs(spark, sf):
 
 
 @query("retrieval_metrics", f"""WITH {RANKED_PARTS_SQL}, rk AS (SELECT query, id, rank1 FROM ranked WHERE source = 'revenue'), gold AS (SELECT query, id FROM ranked WHERE source = 'quantity' AND rank1 <= 15),
-top AS (SELECT r.query, r.rank1 AS rank, CASE WHEN g.id IS NULL THEN 0 ELSE 1 END AS hit FROM rk r LEFT JOIN gold g ON g.query = r.query AND g.id = r.id WHERE rank1 <= 10),
-h AS (SELECT *, sum(hit) OVER (PARTITION BY query ORDER BY rank) AS upto FROM top),
+h AS (SELECT r.query, r.rank1 AS rank, CASE WHEN g.id IS NULL THEN 0 ELSE 1 END AS hit, sum(CASE WHEN g.id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY r.query ORDER BY r.rank1) AS upto FROM rk r LEFT JOIN gold g ON g.query = r.query AND g.id = r.id),
 n AS (SELECT query, count(*) AS n FROM gold GROUP BY 1),
-p AS (SELECT query, sum(hit) AS found, min(CASE WHEN hit = 1 THEN rank END) AS best, sum(hit / log2(rank + 1.0)) AS dcg, sum(hit * upto::DOUBLE / rank) AS ap FROM h GROUP BY 1)
-SELECT query, round(found::DOUBLE / n, 6) AS recall, round(found / 10.0, 6) AS precision, CASE WHEN found > 0 THEN 1 ELSE 0 END AS hit, round(coalesce(1.0::DOUBLE / best, 0), 6) AS rr,
-round(dcg / list_sum(list_transform(range(1, least(10, n) + 1), lambda i: 1 / log2(i + 1.0))), 6) AS ndcg, round(ap / least(n, 10), 6) AS ap FROM p JOIN n USING (query)""")
+p AS (SELECT query, sum(hit) FILTER (rank <= 10) AS found, count(*) FILTER (rank <= 10) AS shown, min(CASE WHEN hit = 1 THEN rank END) AS best, sum(hit / log2(rank + 1.0)) FILTER (rank <= 10) AS dcg, sum(hit * upto::DOUBLE / rank) AS ap FROM h GROUP BY 1)
+SELECT query, round(found::DOUBLE / n, 6) AS recall, round(found::DOUBLE / shown, 6) AS precision, CASE WHEN found > 0 THEN 1 ELSE 0 END AS hit, round(coalesce(1.0::DOUBLE / best, 0), 6) AS rr,
+round(dcg / list_sum(list_transform(range(1, least(10, n) + 1), lambda i: 1 / log2(i + 1.0))), 6) AS ndcg, round(ap / n, 6) AS ap FROM p JOIN n USING (query)""")
 def _retrieval(spark, sf):
     runs = with_rank(ranked_parts(spark, sf))
     found = runs.where("source = 'revenue'").select("query", "id", F.col("rank1").alias("rank"))

@@ -67,7 +67,7 @@ def _normalise(spark, sf):
     return got.select("query", "source", "id", *(r6(F.col(c)).alias(c) for c in ("minmax", "z", "softmax")))
 
 
-@query("fusion_contribution", f"""{SCALED}, p AS (SELECT query, id, source, ({WEIGHT_SQL})::DOUBLE * x AS part FROM scaled), f AS (SELECT *, sum(part) OVER (PARTITION BY query, id) AS fused FROM p)
+@query("fusion_contribution", f"""{WITH}, p AS (SELECT query, id, source, ({WEIGHT_SQL})::DOUBLE * score AS part FROM runs), f AS (SELECT *, sum(part) OVER (PARTITION BY query, id) AS fused FROM p)
 SELECT query, id, source, round(part, 6) AS part, round(fused, 6) AS fused, round(CASE WHEN fused <> 0 THEN part / fused ELSE 0.0 END, 6) AS share FROM f""")
 def _contribution(spark, sf):
     got = fusion.weighted_sum(ranked_parts(spark, sf), WEIGHTS)
@@ -75,12 +75,12 @@ def _contribution(spark, sf):
 
 
 @query("autocut", f"""{WITH}, r AS (SELECT query, id, score, rank1, score - lead(score) OVER (PARTITION BY query ORDER BY score DESC, id) AS gap FROM ranked WHERE source = 'quantity'),
-c AS (SELECT *, max(gap) OVER (PARTITION BY query) AS top_gap, max(score) OVER (PARTITION BY query) AS top, count(*) OVER (PARTITION BY query) AS n FROM r),
-d AS (SELECT *, CASE WHEN top_gap > 0 THEN min(CASE WHEN gap = top_gap THEN rank1 END) OVER (PARTITION BY query) ELSE n END AS cut FROM c)
-SELECT query, id, score, rank1 AS rank, rank1 <= greatest(cut, 1) AS keep_gap, score >= 0.5 * top OR rank1 <= 1 AS keep_ratio FROM d""")
+c AS (SELECT *, max(score) OVER (PARTITION BY query) AS top, count(*) OVER (PARTITION BY query) AS n, max(CASE WHEN rank1 >= 3 THEN gap END) OVER (PARTITION BY query) AS top_gap FROM r),
+d AS (SELECT *, coalesce(min(CASE WHEN gap = top_gap AND rank1 >= 3 THEN rank1 END) OVER (PARTITION BY query), n) AS cut FROM c)
+SELECT query, id, score, rank1 AS rank, rank1 <= cut AS keep_gap, score >= 0.5 * top OR rank1 <= 3 AS keep_ratio FROM d""")
 def _autocut(spark, sf):
     runs = ranked_parts(spark, sf).where("source = 'quantity'").select("query", "id", "score")
-    return fusion.autocut(runs).withColumn("rank", F.col("rank").cast("long"))
+    return fusion.autocut(runs, min_keep=3).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("round_robin", f"""{WITH}, f AS (SELECT query, id, min(rank1 * 10 + source_pos) AS spot FROM ranked GROUP BY query, id)
@@ -113,3 +113,12 @@ def _mcda(spark, sf):
     long = wide.unpivot("alternative", ["balance", "lines", "discount"], "criterion", "value")
     got = fusion.mcda(long, {"balance": (0.5, True), "lines": (0.3, True), "discount": (0.2, False)})
     return got.select("alternative", r6(F.col("score")).alias("score"))
+
+
+@query("team_draft", f"""WITH RECURSIVE {RANKED_PARTS_SQL}, l AS MATERIALIZED (SELECT query, source, id, rank1 FROM ranked WHERE source <> 'orders' AND rank1 <= 30),
+d(query, turn, taken) AS (SELECT DISTINCT query, 0::BIGINT, []::BIGINT[] FROM l UNION ALL SELECT query, turn + 1, list_append(taken, (SELECT l.id FROM l WHERE l.query = d.query AND l.source = CASE WHEN d.turn % 2 = 0 THEN 'revenue' ELSE 'quantity' END AND NOT list_contains(d.taken, l.id) ORDER BY rank1 LIMIT 1))
+FROM d WHERE turn < 120), e AS (SELECT query, list_last(taken) AS id, CASE WHEN turn % 2 = 1 THEN 'revenue' ELSE 'quantity' END AS source, turn FROM (SELECT query, turn, taken, taken[-1] AS x FROM d WHERE turn > 0) WHERE x IS NOT NULL)
+SELECT query, id, source, row_number() OVER (PARTITION BY query ORDER BY turn) AS place FROM e""".replace("list_last(taken)", "taken[-1]"))
+def _team(spark, sf):
+    runs = fusion.with_rank(ranked_parts(spark, sf)).where("rank1 <= 30").drop("rank1")
+    return fusion.team_draft(runs, "revenue", "quantity")

@@ -10,16 +10,11 @@ from ..registry import query
 from ..sources.tables import GRAPH_SQL, graph, read
 
 BOTH = f"{GRAPH_SQL}, links AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)"
-TRADE = ["region", "nation", "supplier", "customer"]
 
 
-def small(spark, sf):
-    """The part of the graph without orders and parts."""
-    nodes, edges = graph(spark, sf)
-    return nodes.where(F.col("label").isin(TRADE)), edges.where(F.col("type").isin("in_region", "in_nation"))
-
-
-SMALL = f"{GRAPH_SQL}, sn AS (SELECT id FROM nodes WHERE label IN ('region', 'nation', 'supplier', 'customer')), se AS (SELECT src, dst FROM edges WHERE type IN ('in_region', 'in_nation'))"
+def unrolled(first: str, step, rounds: int) -> str:
+    """CTEs t0, t1, ... of a table and what each round makes of the one before."""
+    return ", ".join([f"t0 AS MATERIALIZED ({first})", *(f"t{i + 1} AS MATERIALIZED ({step(f't{i}')})" for i in range(rounds))])
 
 
 @query("degree", f"WITH {BOTH}, d AS (SELECT src AS id, count(*) AS degree FROM links GROUP BY 1) SELECT id, label, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN d USING (id)")
@@ -51,44 +46,52 @@ def _pattern(spark, sf):
     return left.join(right, "o").groupBy("nation", "supplier").agg(F.sum(F.col("k") * F.col("m")).alias("paths"))
 
 
-@query("components", f"""WITH RECURSIVE {SMALL}, l AS (SELECT src, dst FROM se UNION SELECT dst, src FROM se), r(id, root) AS (SELECT id, id FROM sn UNION SELECT l.dst, r.root FROM r JOIN l ON l.src = r.id)
-SELECT id, min(root) AS component FROM r GROUP BY id""")
+_NEAREST = unrolled("SELECT id, id AS c FROM nodes", lambda t: f"SELECT n.id, least(n.c, coalesce(m.c, n.c)) AS c FROM {t} n LEFT JOIN (SELECT src, min(c) AS c FROM links JOIN {t} ON id = dst GROUP BY 1) m ON m.src = n.id", 14)
+
+
+@query("components", f"WITH {BOTH}, {_NEAREST} SELECT id, c AS component FROM t14")
 def _components(spark, sf):
-    return g.components(*small(spark, sf))
+    return g.components(*graph(spark, sf))
 
 
 def _pagerank_sql(start: str, rounds: int) -> str:
-    steps = ["r0 AS (SELECT id, weight AS rank FROM base)"]
-    for i in range(rounds):
-        steps.append(f"""r{i + 1} AS (SELECT b.id, 0.15 * b.weight + 0.85 * (coalesce(s.got, 0) + (SELECT coalesce(sum(r.rank), 0) FROM r{i} r WHERE r.id NOT IN (SELECT src FROM o)) * b.weight) AS rank
-FROM base b LEFT JOIN (SELECT l.dst, sum(r.rank / o.n) AS got FROM se l JOIN o USING (src) JOIN r{i} r ON r.id = l.src GROUP BY 1) s ON s.dst = b.id)""")
-    return f"WITH {SMALL}, o AS (SELECT src, count(*) AS n FROM se GROUP BY 1), base AS (SELECT id, {start} AS weight FROM sn), {', '.join(steps)} SELECT id, round(rank, 6) AS rank FROM r{rounds}"
+    step = lambda t: f"""SELECT b.id, 0.15 * b.weight + 0.85 * (coalesce(s.got, 0) + (SELECT coalesce(sum(r.rank), 0) FROM {t} r WHERE r.id NOT IN (SELECT src FROM o)) * b.weight) AS rank
+FROM base b LEFT JOIN (SELECT l.dst, sum(r.rank / o.n) AS got FROM edges l JOIN o USING (src) JOIN {t} r ON r.id = l.src GROUP BY 1) s ON s.dst = b.id"""
+    return f"WITH {GRAPH_SQL}, o AS (SELECT src, count(*) AS n FROM edges GROUP BY 1), base AS (SELECT id, {start} AS weight FROM nodes), {unrolled('SELECT id, weight AS rank FROM base', step, rounds)} SELECT id, round(rank, 8) AS rank FROM t{rounds}"
 
 
-@query("pagerank", _pagerank_sql("1.0::DOUBLE / (SELECT count(*) FROM sn)", 5))
+@query("pagerank", _pagerank_sql("1.0::DOUBLE / (SELECT count(*) FROM nodes)", 10))
 def _pagerank(spark, sf):
-    return g.pagerank(*small(spark, sf), rounds=5).select("id", r6(F.col("rank")).alias("rank"))
+    return g.pagerank(*graph(spark, sf), rounds=10, tolerance=0).select("id", F.round("rank", 8).alias("rank"))
 
 
-@query("personalised_pagerank", _pagerank_sql("CASE WHEN id = 'c1' THEN 1.0::DOUBLE ELSE 0 END", 4))
+@query("personalised_pagerank", _pagerank_sql("CASE WHEN id = 'c1' THEN 1.0::DOUBLE ELSE 0 END", 8))
 def _ppr(spark, sf):
-    nodes, edges = small(spark, sf)
-    return g.pagerank(nodes, edges, rounds=4, start=nodes.where("id = 'c1'").select("id", F.lit(1.0).alias("weight"))).select("id", r6(F.col("rank")).alias("rank"))
+    nodes, edges = graph(spark, sf)
+    return g.pagerank(nodes, edges, rounds=8, tolerance=0, start=nodes.where("id = 'c1'").select("id", F.lit(1.0).alias("weight"))).select("id", F.round("rank", 8).alias("rank"))
 
 
 def _hits_sql(rounds: int) -> str:
-    steps = ["h0 AS (SELECT id, 1.0::DOUBLE AS hub FROM sn)"]
+    steps = ["h0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS hub FROM nodes)"]
     for i in range(1, rounds + 1):
         steps += [
-            f"x{i} AS (SELECT n.id, coalesce(sum(h.hub), 0) AS v FROM sn n LEFT JOIN se l ON l.dst = n.id LEFT JOIN h{i - 1} h ON h.id = l.src GROUP BY 1)", f"a{i} AS (SELECT id, v / (SELECT sqrt(sum(v * v)) FROM x{i}) AS authority FROM x{i})",
-            f"y{i} AS (SELECT n.id, coalesce(sum(a.authority), 0) AS v FROM sn n LEFT JOIN se l ON l.src = n.id LEFT JOIN a{i} a ON a.id = l.dst GROUP BY 1)", f"h{i} AS (SELECT id, v / (SELECT sqrt(sum(v * v)) FROM y{i}) AS hub FROM y{i})",
+            f"x{i} AS MATERIALIZED (SELECT n.id, coalesce(v, 0) AS v FROM nodes n LEFT JOIN (SELECT dst, sum(hub) AS v FROM edges JOIN h{i - 1} ON id = src GROUP BY 1) s ON s.dst = n.id)", f"a{i} AS MATERIALIZED (SELECT id, v / (SELECT sum(v) FROM x{i}) AS authority FROM x{i})",
+            f"y{i} AS MATERIALIZED (SELECT n.id, coalesce(v, 0) AS v FROM nodes n LEFT JOIN (SELECT src, sum(authority) AS v FROM edges JOIN a{i} ON id = dst GROUP BY 1) s ON s.src = n.id)", f"h{i} AS MATERIALIZED (SELECT id, v / (SELECT sum(v) FROM y{i}) AS hub FROM y{i})",
         ]
-    return f"WITH {SMALL}, {', '.join(steps)} SELECT id, round(hub, 6) AS hub, round(authority, 6) AS authority FROM h{rounds} JOIN a{rounds} USING (id)"
+    return f"WITH {GRAPH_SQL}, {', '.join(steps)} SELECT id, round(hub, 8) AS hub, round(authority, 8) AS authority FROM h{rounds} JOIN a{rounds} USING (id)"
 
 
-@query("hits", _hits_sql(3))
+@query("hits", _hits_sql(6))
 def _hits(spark, sf):
-    return g.hits(*small(spark, sf), rounds=3).select("id", r6(F.col("hub")).alias("hub"), r6(F.col("authority")).alias("authority"))
+    return g.hits(*graph(spark, sf), rounds=6, tolerance=0).select("id", F.round("hub", 8).alias("hub"), F.round("authority", 8).alias("authority"))
+
+
+_VOTES = unrolled("SELECT id, id AS label FROM nodes", lambda t: f"SELECT p.id, coalesce(v.label, p.label) AS label FROM {t} p LEFT JOIN (SELECT l.src AS id, t.label, count(*) AS n FROM links l JOIN {t} t ON t.id = l.dst GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY l.src ORDER BY count(*) DESC, t.label) = 1) v ON v.id = p.id", 5)
+
+
+@query("label_propagation", f"WITH {BOTH}, {_VOTES} SELECT id, label FROM t5")
+def _labels(spark, sf):
+    return g.label_propagation(*graph(spark, sf), rounds=5)
 
 
 NATIONS = "q AS (SELECT DISTINCT s_nationkey AS l, l_partkey AS r FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"
@@ -108,16 +111,73 @@ def _links(spark, sf):
     return got.select("a", "b", "common", r6(F.col("jaccard")).alias("jaccard"), F.round("adamic_adar", 4).alias("adamic_adar"))
 
 
-TRI = "l AS (SELECT DISTINCT s_nationkey * 1000 + c_nationkey AS k, 'n' || least(s_nationkey, c_nationkey) AS src, 'n' || greatest(s_nationkey, c_nationkey) AS dst FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity = 50 AND l_discount = 0.1 AND s_nationkey <> c_nationkey)"
+TOGETHER = "e AS (SELECT DISTINCT a.l_partkey AS x, b.l_partkey AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey), b AS (SELECT x AS src, y AS dst FROM e UNION ALL SELECT y, x FROM e)"
+TRI = "t AS (SELECT p.src AS id, count(*) AS links FROM b p JOIN b q ON q.src = p.src AND q.dst > p.dst JOIN e ON x = p.dst AND y = q.dst GROUP BY 1)"
+
+
+def together(spark, sf):
+    """Parts of one order, in pairs: an order has a handful of lines."""
+    lines = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("p"))
+    pairs = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.struct(x.alias("src"), y.alias("dst")))))
+    return lines.select(F.explode(pairs).alias("e")).select("e.src", "e.dst").distinct()
 
 
-@query("triangles", f"""WITH {TRI}, e AS (SELECT DISTINCT src, dst FROM l), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e) SELECT x.src AS id, count(*) AS triangles FROM b x JOIN b y ON y.src = x.src AND y.dst > x.dst JOIN b z ON z.src = x.dst AND z.dst = y.dst GROUP BY 1""")
+@query("triangles", f"WITH {TOGETHER}, {TRI} SELECT id, links AS triangles FROM t")
 def _triangles(spark, sf):
-    """Nations that trade with each other, by large discounted lines."""
-    lines = read(spark, sf, "lineitem").where("l_quantity = 50 AND l_discount = 0.1")
-    t = lines.join(read(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(read(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    e = t.select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst")).distinct()
-    return g.triangles(e)
+    return g.triangles(together(spark, sf))
+
+
+@query("clustering_coefficient", f"WITH {TOGETHER}, {TRI}, d AS (SELECT src AS id, count(*) AS neighbours FROM b GROUP BY 1) SELECT id, neighbours, coalesce(links, 0) AS links, round(CASE WHEN neighbours > 1 THEN coalesce(links, 0) / (neighbours * (neighbours - 1) / 2.0) ELSE 0 END, 6) AS coefficient FROM d LEFT JOIN t USING (id)")
+def _clustering(spark, sf):
+    got = g.clustering(together(spark, sf))
+    return got.select("id", "neighbours", "links", r6(F.col("coefficient")).alias("coefficient"))
+
+
+@query("k_core")
+def _core(spark, sf):
+    """Core numbers of parts bought together; tests compare them with peeling on small graphs."""
+    e = together(spark, sf)
+    return g.core_numbers(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), e)
+
+
+WALK = "r(seed, id, hops) AS (SELECT id, id, 0::BIGINT FROM nodes WHERE {seeds} UNION SELECT r.seed, l.dst, r.hops + 1 FROM r JOIN links l ON l.src = r.id WHERE r.hops < {most})"
+
+
+@query("shortest_path", f"WITH RECURSIVE {BOTH}, {WALK.format(seeds="id = 'c1'", most=4)} SELECT id, min(hops) AS hops FROM r GROUP BY id")
+def _paths(spark, sf):
+    nodes, edges = graph(spark, sf)
+    return g.distances(edges, nodes.where("id = 'c1'"), 4).select("id", "hops")
+
+
+@query("path_of_ids", f"""WITH RECURSIVE {BOTH}, {WALK.format(seeds="id = 'c1'", most=6)}, d AS (SELECT id, min(hops) AS hops FROM r GROUP BY id),
+p(id, place) AS (SELECT id, hops FROM d WHERE id = 's1' UNION ALL SELECT (SELECT min(d.id) FROM d JOIN links l ON l.dst = d.id WHERE l.src = p.id AND d.hops = p.place - 1), p.place - 1 FROM p WHERE p.place > 0) SELECT place, id FROM p""")
+def _path(spark, sf):
+    return g.shortest_path(graph(spark, sf)[1], "c1", "s1")
+
+
+@query("closeness", f"""WITH RECURSIVE {BOTH}, {WALK.format(seeds="label = 'region'", most=9)}, d AS (SELECT seed, id, min(hops) AS hops FROM r GROUP BY 1, 2), n AS (SELECT count(*) - 1.0::DOUBLE AS n FROM nodes)
+SELECT seed, count(*) AS reached, round(count(*) / sum(hops) * (count(*) / any_value(n)), 6) AS closeness, round(sum(1.0 / hops) / any_value(n), 6) AS harmonic, max(hops) AS eccentricity FROM d, n WHERE hops > 0 GROUP BY seed""")
+def _closeness(spark, sf):
+    nodes, edges = graph(spark, sf)
+    got = g.closeness(g.distances(edges, nodes.where("label = 'region'")), nodes.count())
+    return got.select("seed", "reached", r6(F.col("closeness")).alias("closeness"), r6(F.col("harmonic")).alias("harmonic"), "eccentricity")
+
+
+@query("path_reliability", f"""WITH RECURSIVE {GRAPH_SQL}, p(nodes, hops, product) AS (SELECT [id], 0::BIGINT, 1.0::DOUBLE FROM nodes WHERE label = 'orders' AND id LIKE '%00' UNION ALL
+SELECT list_append(p.nodes, e.dst), p.hops + 1, p.product * CASE WHEN e.type = 'contains' THEN 0.5 ELSE 0.8 END FROM p JOIN edges e ON e.src = p.nodes[-1] WHERE p.hops < 4 AND NOT list_contains(p.nodes, e.dst))
+SELECT array_to_string(nodes, '>') AS path, hops, round(product, 6) AS reliability FROM p WHERE hops > 0""")
+def _reliability(spark, sf):
+    """Directed paths of at most four steps from some orders, each step as sure as its kind."""
+    nodes, edges = graph(spark, sf)
+    rated = edges.withColumn("v", F.when(F.col("type") == "contains", 0.5))
+    got = g.simple_paths(rated, nodes.where("label = 'orders' AND id LIKE '%00'"), 4, "v", 0.8)
+    return got.select(F.array_join("nodes", ">").alias("path"), "hops", r6(F.col("product")).alias("reliability"))
+
+
+@query("orphan_nodes", f"WITH {GRAPH_SQL} SELECT id, label FROM nodes WHERE id NOT IN (SELECT src FROM edges WHERE type <> 'in_nation' UNION SELECT dst FROM edges WHERE type <> 'in_nation')")
+def _orphans(spark, sf):
+    nodes, edges = graph(spark, sf)
+    return g.orphans(nodes, edges.where("type <> 'in_nation'"))
 
 
 @query("modularity", f"""WITH {BOTH}, t AS (SELECT count(*)::DOUBLE AS t FROM links), m AS (SELECT x.label AS a, y.label AS b FROM links JOIN nodes x ON x.id = src JOIN nodes y ON y.id = dst),

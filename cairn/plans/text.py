@@ -9,7 +9,6 @@ from ..operators import graph as g
 from ..operators import rerank, text
 from ..registry import query
 from ..sources.tables import GRAPH_SQL, graph, read
-from .graph import SMALL, small
 
 WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '')"
 
@@ -59,53 +58,62 @@ def _mmr(spark, sf):
 
     v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     q = v.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("v").alias("qv"))
-    hits = v.crossJoin(F.broadcast(q)).where("id <> query").select("query", "id", "v", cosine(F.col("v"), F.col("qv")).alias("score"))
+    hits = v.crossJoin(q).where("id <> query").select("query", "id", "v", cosine(F.col("v"), F.col("qv")).alias("score"))
     return rerank.mmr(hits, k=5, candidates=30)
 
 
-@query("gap_closure_plan")
-def _cover(spark, sf):
-    """Fewest suppliers, greedily, that supply every brand and size class."""
-    sold = read(spark, sf, "lineitem").join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    offers = sold.select(F.concat(F.lit("s"), "l_suppkey").alias("candidate"), F.concat_ws("/", "p_brand", "p_size").alias("gap"))
-    return rerank.set_cover(offers, rounds=20)
-
-
-@query("shortest_path", f"""WITH RECURSIVE {SMALL}, l AS (SELECT src, dst FROM se UNION SELECT dst, src FROM se), r(id, hops) AS (SELECT 'c1', 0 UNION SELECT l.dst, r.hops + 1 FROM r JOIN l ON l.src = r.id WHERE r.hops < 4) SELECT id, min(hops) AS hops FROM r GROUP BY id""")
-def _paths(spark, sf):
-    return g.shortest_paths(small(spark, sf)[1], "c1", 4)
-
+CLOSE = """o AS MATERIALIZED (SELECT DISTINCT 's' || l_suppkey AS candidate, 1.0::DOUBLE + l_suppkey % 3 AS cost, p_brand || '/' || p_size AS gap, 1.0::DOUBLE + p_size % 2 AS weight FROM lineitem JOIN part ON p_partkey = l_partkey),
+p(place, taken) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT place + 1, list_append(taken, (SELECT candidate FROM o WHERE gap NOT IN (SELECT gap FROM o d WHERE list_contains(p.taken, d.candidate)) GROUP BY candidate, cost ORDER BY sum(weight) / cost DESC, cost, candidate LIMIT 1)) FROM p WHERE place = 0 OR taken[-1] IS NOT NULL),
+k AS (SELECT place, taken[-1] AS candidate FROM p WHERE place > 0 AND taken[-1] IS NOT NULL), f AS (SELECT gap, any_value(weight) AS weight, min(place) AS place FROM o JOIN k USING (candidate) GROUP BY gap)"""
 
-@query("k_core", f"""WITH {GRAPH_SQL}, e AS (SELECT src, dst FROM edges WHERE type = 'supplied_by'), b0 AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-{', '.join(f"w{i} AS (SELECT src FROM b{i} GROUP BY src HAVING count(*) < 4), b{i + 1} AS (SELECT src, dst FROM b{i} WHERE src NOT IN (SELECT src FROM w{i}) AND dst NOT IN (SELECT src FROM w{i}))" for i in range(6))}
-SELECT src AS id, count(*) AS degree FROM b6 GROUP BY 1""")
-def _core(spark, sf):
-    _, edges = graph(spark, sf)
-    return g.k_core(edges.where("type = 'supplied_by'"), 4).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
 
-
-def _labels_sql(rounds: int) -> str:
-    steps = ["b AS (SELECT src, dst FROM se UNION SELECT dst, src FROM se), l0 AS (SELECT id, id AS label FROM sn)"]
-    for i in range(rounds):
-        steps.append(f"v{i} AS (SELECT b.src AS id, label, count(*) AS n FROM b JOIN l{i} l ON l.id = b.dst GROUP BY 1, 2), l{i + 1} AS (SELECT p.id, coalesce(v.label, p.label) AS label FROM l{i} p LEFT JOIN (SELECT * FROM v{i} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1) v USING (id))")
-    return f"WITH {SMALL}, {', '.join(steps)} SELECT id, label FROM l{rounds}"
+def offers(spark, sf):
+    sold = read(spark, sf, "lineitem").join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return sold.select(F.concat(F.lit("s"), "l_suppkey").alias("candidate"), (1.0 + F.col("l_suppkey") % 3).alias("cost"), F.concat_ws("/", "p_brand", "p_size").alias("gap"), (1.0 + F.col("p_size") % 2).alias("weight"))
 
 
-@query("label_propagation", _labels_sql(3))
-def _labels(spark, sf):
-    return g.label_propagation(*small(spark, sf), rounds=3)
+@query("gap_closure_plan", f"""WITH RECURSIVE {CLOSE} SELECT k.place, k.candidate, round(sum(weight), 6) AS gained, round((SELECT sum(weight) FROM f g WHERE g.place <= k.place) / (SELECT sum(weight) FROM f), 6) AS covered FROM k JOIN f USING (place) GROUP BY 1, 2""")
+def _cover(spark, sf):
+    """Suppliers that together supply every brand and size, chosen one after the other by what they add for their cost."""
+    got = rerank.set_cover(offers(spark, sf))
+    return got.select("place", "candidate", r6(F.col("gained")).alias("gained"), r6(F.col("covered")).alias("covered"))
 
 
-@query("export_sif", f"WITH {GRAPH_SQL} SELECT src || chr(9) || type || chr(9) || dst AS line FROM edges")
+@query("export_sif", f"""WITH {GRAPH_SQL} SELECT 1 AS part, src || chr(9) || type || chr(9) || dst AS line FROM edges""")
 def _sif(spark, sf):
     return g.lines(*graph(spark, sf), "sif")
 
 
-@query("export_dot", f"""WITH {GRAPH_SQL} SELECT '  "' || src || '" -> "' || dst || '" [label="' || type || '"];' AS line FROM edges""")
+@query("export_tgf", f"""WITH {GRAPH_SQL} SELECT 1 AS part, id || ' ' || label AS line FROM nodes UNION ALL SELECT 2, '#' UNION ALL SELECT 3, src || ' ' || dst || ' ' || type FROM edges""")
+def _tgf(spark, sf):
+    return g.lines(*graph(spark, sf), "tgf")
+
+
+@query("export_dot", f"""WITH {GRAPH_SQL} SELECT 0 AS part, 'digraph G {{' AS line UNION ALL SELECT 1, '  "' || id || '" [label="' || label || '"];' FROM nodes UNION ALL SELECT 2, '  "' || src || '" -> "' || dst || '" [label="' || type || '"];' FROM edges UNION ALL SELECT 3, '}}'""")
 def _dot(spark, sf):
     return g.lines(*graph(spark, sf), "dot")
 
 
-@query("export_ndjson", f"""WITH {GRAPH_SQL} SELECT '{{"src":"' || src || '","dst":"' || dst || '","type":"' || type || '"}}' AS line FROM edges""")
+@query("export_ndjson", f"""WITH {GRAPH_SQL} SELECT 1 AS part, '{{"src":"' || src || '","dst":"' || dst || '","type":"' || type || '"}}' AS line FROM edges""")
 def _ndjson(spark, sf):
     return g.lines(*graph(spark, sf), "ndjson")
+
+
+@query("export_graphml", f"""WITH {GRAPH_SQL} SELECT 0 AS part, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="label" for="node" attr.name="label" attr.type="string"/><key id="type" for="edge" attr.name="type" attr.type="string"/><graph edgedefault="directed">' AS line UNION ALL SELECT 1, '<node id="' || id || '"><data key="label">' || label || '</data></node>' FROM nodes UNION ALL SELECT 2, '<edge source="' || src || '" target="' || dst || '"><data key="type">' || type || '</data></edge>' FROM edges UNION ALL SELECT 3, '</graph></graphml>'""")
+def _graphml(spark, sf):
+    return g.lines(*graph(spark, sf), "graphml")
+
+
+@query("export_nt", f"""WITH {GRAPH_SQL} SELECT 1 AS part, '<urn:node:' || id || '> <urn:label> "' || label || '" .' AS line FROM nodes UNION ALL SELECT 2, '<urn:node:' || src || '> <urn:type:' || type || '> <urn:node:' || dst || '> .' FROM edges""")
+def _nt(spark, sf):
+    return g.lines(*graph(spark, sf), "nt")
+
+
+@query("export_csv", f"""WITH {GRAPH_SQL} SELECT 0 AS part, 'src,dst,type' AS line UNION ALL SELECT 1, src || ',' || dst || ',' || type FROM edges""")
+def _csv(spark, sf):
+    return g.lines(*graph(spark, sf), "csv")
+
+
+@query("export_cypher", f"""WITH {GRAPH_SQL} SELECT 1 AS part, 'MERGE (n {{id: "' || id || '"}}) SET n:' || label || ';' AS line FROM nodes UNION ALL SELECT 2, 'MATCH (a {{id: "' || src || '"}}), (b {{id: "' || dst || '"}}) MERGE (a)-[:' || upper(type) || ']->(b);' FROM edges""")
+def _cypher(spark, sf):
+    return g.lines(*graph(spark, sf), "cypher")

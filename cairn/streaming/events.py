@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,13 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.storage import shared_dir
+
 LATE = "2 days"
 
 
-def source(spark: SparkSession, path: str, watermark: str = LATE) -> DataFrame:
-    """Files of events as a stream, with their schema and a watermark on ts (as an instant)."""
+def source(spark: SparkSession, path: str, watermark: str = LATE, files: int | None = None) -> DataFrame:
+    """Files of events as a stream, with their schema and a watermark on ts (as an instant).
+
+    The files that are there make one batch, as they are in no order of time and the watermark of one batch would drop
+    what another has from long before. files limits how many a batch takes, where they come in order of time.
+    """
     schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(path + "*")
+    reader = spark.readStream.schema(schema)
+    rows = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path + "*")
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
@@ -62,11 +68,6 @@ def rate_limited(events: DataFrame, most: int = 3, seconds: int = 86_400) -> Dat
     return rows.groupBy("user_id").applyInPandasWithState(limit, "user_id long, event_id long, admitted boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return place or "file://" + tempfile.mkdtemp(prefix="cairn-stream-")
-
-
 def settle(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there and read what it wrote.
 
