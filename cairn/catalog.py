@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from .plans import absence, evaluation, fusion, graph, records, retrieval, streams, text  # noqa: F401
+from .plans import absence, evaluation, fusion, gaps, graph, records, retrieval, streams, structure, text  # noqa: F401
