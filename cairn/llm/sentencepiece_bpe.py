@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 MOST_PAIRS = 2_000_000  # whose compatibility a worker keeps
 LONGEST = 48  # characters of words that are encoded together
+GAP = "\U0010ffff"  # between them; a word with it is encoded alone
 CACHED = 250_000  # words whose encoding a worker keeps, in each of two generations
 
 
@@ -246,7 +247,7 @@ class Pieces:
         """both() of each text. What the texts have of words that are not known yet is encoded at once."""
         split = [[] if not t or self.across or "  " in t or SPACE in t or t[0] == " " or t[-1] == " " else t.split(" ") for t in texts]
         words = self.words
-        new = {w for own in split for w in own if w not in words and w not in words.older and len(w) <= LONGEST}
+        new = {w for own in split for w in own if w not in words and w not in words.older and len(w) <= LONGEST and GAP not in w}
         if len(new) > 64:
             self.together.fill(sorted(new), words)
         bos, eos, out = self.bos.to_bytes(4, "little"), self.eos.to_bytes(4, "little"), []
@@ -267,21 +268,22 @@ class Pieces:
 class Together:
     """backtrack() for many words at once: every step is taken by all words that are not done.
 
-    The automaton's matches in all words become a table of piece numbers by place and length, and failed places are
-    one field of bits over all words. Pairs of pieces that have been held against each other are kept as a sorted
-    table.
+    The Aho-Corasick automaton is a table here, of states by characters, which all words go through together. From the
+    longest match at each place follow the shorter ones, and all become a table of piece numbers by place and
+    length. Failed places are one field of bits over all words. Pairs of pieces that have been held against each
+    other are kept as a sorted table.
     """
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        own = [p for p in pieces.automaton.keys() if not p.startswith(SPACE * 2)]  # runs of spaces never get here
+        chars = sorted(c for c in set(chain.from_iterable(pieces.id)) if ord(c) < 0x250 or c == SPACE)
+        self.kind = np.zeros(0x110000, dtype=np.int16)  # 0: any other character
+        self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        own = [p for p in pieces.automaton.keys() if not p.startswith(SPACE * 2) and all(self.kind[ord(c)] for c in p)]  # runs of spaces never get here
         self.longest = max(map(len, own))
         if self.longest > 31:
             raise ValueError("pieces of at most 31 characters are needed")
-        self.automaton = ahocorasick.Automaton()
-        for p in own:
-            self.automaton.add_word(p, len(p) << 20 | pieces.id[p])
-        self.automaton.make_automaton()
+        self._automaton(own, len(chars) + 1)
         self.lone = np.full(128, -1, dtype=np.int32)  # ASCII characters of no piece are encoded as their byte
         for b in range(128):
             if chr(b) not in pieces.id:
@@ -298,6 +300,55 @@ class Together:
         self.loose = np.array([ord(c) for c in sorted(pieces.loose)], dtype=np.uint32)
         self.pairs, self.fits = np.array([-1], dtype=np.int64), np.array([False])
 
+    def _automaton(self, own: list[str], kinds: int) -> None:
+        """step: next state by state and kind of character; last: the state of the longest piece that ends in a state, 0 if none does; shorter: that of the next shorter one."""
+        at: dict[tuple[int, int], int] = {}
+        ends: dict[int, int] = {}
+        for p in own:
+            node = 0
+            for c in p:
+                node = at.setdefault((node, int(self.kind[ord(c)])), len(at) + 1)
+            ends[node] = self.pieces.id[p]
+        n = len(at) + 1
+        parent, kind = (np.array(x, dtype=np.int64) for x in zip(*at, strict=True))
+        self.depth = np.zeros(n, dtype=np.int64)
+        for node, above in enumerate(parent.tolist(), 1):
+            self.depth[node] = self.depth[above] + 1
+        self.piece = np.full(n, -1, dtype=np.int32)
+        self.piece[list(ends)] = list(ends.values())
+        self.step, fail = np.zeros((n, kinds), dtype=np.int32), np.zeros(n, dtype=np.int64)
+        self.last, self.shorter = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+        child = np.zeros((n, kinds), dtype=np.int32)
+        child[parent, kind] = np.arange(1, n)
+        self.step[0] = child[0]
+        for depth in range(1, self.longest + 1):
+            level = np.nonzero(self.depth == depth)[0]
+            above, by = parent[level - 1], kind[level - 1]
+            fail[level] = self.step[fail[above], by] if depth > 1 else 0
+            self.step[level] = np.where(child[level] > 0, child[level], self.step[fail[level]])
+            self.shorter[level] = self.last[fail[level]]
+            self.last[level] = np.where(self.piece[level] >= 0, level, self.shorter[level])
+
+    def _matches(self, kind: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids (place x length) of all pieces, -1 where there is none, and which lengths there are as bits."""
+        ids, mask = np.full((len(kind), self.longest), -1, dtype=np.int32), np.zeros(len(kind), dtype=np.int32)
+        order = np.argsort(-size, kind="stable")
+        start, size = start[order], size[order]
+        state, found = np.zeros(len(start), dtype=np.int32), np.zeros(len(kind), dtype=np.int32)
+        for t in range(int(size[0])):
+            here = start[: np.searchsorted(-size, -t)] + t  # words longer than t
+            state = self.step[state[: len(here)], kind[here]]
+            found[here] = self.last[state]
+        place = np.nonzero(found)[0]
+        node = found[place]
+        while len(place):
+            length = self.depth[node]
+            ids[place + 1 - length, length - 1] = self.piece[node]
+            np.bitwise_or.at(mask, place + 1 - length, np.left_shift(1, length - 1).astype(np.int32))
+            node = self.shorter[node]
+            place, node = place[node > 0], node[node > 0]
+        return ids, mask
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging each two pieces' characters anew gives just these two."""
         pair = a.astype(np.int64) << 20 | b
@@ -319,22 +370,16 @@ class Together:
             self._fill(words[at : at + 20_000], known)
 
     def _fill(self, words: list[str], known: Kept) -> None:
-        gap = chr(0x10FFFF)
-        joined = gap.join(SPACE + w for w in words) + gap * (self.longest + 1)
-        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        n = len(code) - self.longest
-        ids = np.full((n, self.longest), -1, dtype=np.int32)
-        end, match = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), dtype=np.int64).reshape(-1, 2).T
-        size = match >> 20
-        ids[end + 1 - size, size - 1] = match & 0xFFFFF
-        mask = (ids >= 0) @ (1 << np.arange(self.longest)).astype(np.int32)
-        low = np.nonzero((code[:n] < 128) & (mask == 0))[0]
+        code = np.frombuffer((GAP.join(SPACE + w for w in words) + GAP).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        n = len(code)
+        stop = np.nonzero(code == ord(GAP))[0]
+        start = np.concatenate([[0], stop[:-1] + 1])
+        ids, mask = self._matches(self.kind[code], start, stop - start)
+        low = np.nonzero((code < 128) & (mask == 0))[0]
         ids[low, 0] = self.lone[code[low]]
         mask[low] = 1
-        stop = np.nonzero(code == 0x10FFFF)[0][: len(words)]
-        start = np.concatenate([[0], stop[:-1] + 1])
         open_ = np.zeros(n + 1, dtype=np.int64)
-        np.cumsum((mask == 0) | np.isin(code[:n], self.loose), out=open_[1:])
+        np.cumsum((mask == 0) | np.isin(code, self.loose), out=open_[1:])
         fine = open_[stop] == open_[start]  # each character starts some piece, and is one
         start, stop = start[fine], stop[fine]
         words = [w for w, f in zip(words, fine.tolist(), strict=True) if f]

@@ -382,7 +382,7 @@ def test_encoding_many_words_together(monkeypatch):
     path = queries.tokenizer_model()
     model, mine = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_bpe.Pieces(path)
     rnd = random.Random(3)
-    parts = [*"\n\tabcetinro.,!éß😀Ａ日<0x41>s/*$-_\x00\x7f", "the", "ing", *(p.replace("▁", "") for p in rnd.sample(sorted(mine.id), 400))]
+    parts = [*"\n\tabcetinro.,!éß😀Ａ日<0x41>s/*$-_\x00\x7f\U0010ffff", "the", "ing", *(p.replace("▁", "") for p in rnd.sample(sorted(mine.id), 400))]
     for turn in range(12):
         texts = [" ".join("".join(rnd.choices(parts, k=rnd.randint(1, 7))) for _ in range(60)) for _ in range(40)]
         for text, (ids, decoded) in zip(texts, mine.both_of(texts), strict=True):
