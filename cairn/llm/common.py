@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut, shared_dir  # noqa: F401
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="cairn-checkpoint-")
-        spark.sparkContext.setCheckpointDir(place)
-        place = spark.sparkContext.getCheckpointDir()
-    return place
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: short lineage, and a result that outlives its executors."""
-    path = f"{shared_dir(df.sparkSession)}/cairn-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
