@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import mid_rank, ratio
+from ..functions.order import cumulative
 
 
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
@@ -49,10 +50,9 @@ def calibration(pairs: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def by_score(pairs: DataFrame) -> DataFrame:
-    """score with the counts of true and false labels at it and above it: a table of different scores, not of rows."""
-    per = pairs.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"))
-    return per.select("score", "pos", (F.col("n") - F.col("pos")).alias("neg"), F.sum("pos").over(w).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(w).alias("fp"))
+    """score with the counts of true and false labels at it and above it: a row for each different score."""
+    per = pairs.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count("*").alias("n")).select("score", "pos", (F.col("n") - F.col("pos")).alias("neg"))
+    return cumulative(per, "score", ["pos", "neg"], descending=True).withColumnsRenamed({"upto_pos": "tp", "upto_neg": "fp"})
 
 
 def auc(pairs: DataFrame) -> DataFrame:
@@ -71,11 +71,10 @@ def threshold_sweep(pairs: DataFrame, beta: float = 1.0) -> DataFrame:
 
 
 def risk_coverage(records: DataFrame) -> DataFrame:
-    """records (confidence, correct), confidences that differ: coverage and risk of answering down to each."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("confidence"))
+    """records (confidence, correct): coverage and risk of answering down to each confidence."""
     per = records.groupBy("confidence").agg(F.count("*").alias("n"), F.count_if(~F.col("correct")).alias("wrong"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return per.select("confidence", (F.sum("n").over(w) / total).alias("coverage"), (F.sum("wrong").over(w) / F.sum("n").over(w)).alias("risk"))
+    both = cumulative(per, "confidence", ["n", "wrong"], descending=True).crossJoin(F.broadcast(per.agg(F.sum("n").alias("total"))))
+    return both.select("confidence", (F.col("upto_n") / F.col("total")).alias("coverage"), (F.col("upto_wrong") / F.col("upto_n")).alias("risk"))
 
 
 def confusion(pairs: DataFrame) -> DataFrame:
@@ -131,19 +130,15 @@ def kendall(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def effect_sizes(pairs: DataFrame) -> DataFrame:
-    """pairs (side 'a' or 'b', value): Cohen's d (pooled) and Cliff's delta, from ranks and not from all pairs of values."""
-    ranked = pairs.withColumn("r", _rank_over("value"))
-    s = ranked.groupBy().agg(*(f(F.when(F.col("side") == k, F.col(c))).alias(f"{n}_{k}") for k in ("a", "b") for n, f, c in (("n", F.count, "value"), ("mean", F.avg, "value"), ("var", F.var_samp, "value"), ("r", F.sum, "r"))))
+    """pairs (side 'a' or 'b', value): Cohen's d (pooled) and Cliff's delta, from counts by value and not from all pairs of values."""
+    of = lambda k: F.col("side") == k
+    s = pairs.agg(*(f(F.when(of(k), F.col("value"))).alias(f"{n}_{k}") for k in ("a", "b") for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))))
+    per = pairs.groupBy("value").agg(F.count_if(of("a")).alias("a"), F.count_if(of("b")).alias("b"))
+    over = cumulative(per, "value", ["b"]).agg(F.sum(F.col("a") * (2 * F.col("upto_b") - F.col("b"))).alias("u"))  # twice how often a is over b, ties half
     pooled = F.sqrt(((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / (F.col("n_a") + F.col("n_b") - 2))
-    u = F.col("r_a") - F.col("n_a") * (F.col("n_a") + 1) / 2
-    delta = 2 * u / (F.col("n_a") * F.col("n_b")) - 1
+    delta = F.col("u") / (F.col("n_a") * F.col("n_b")) - 1
     size = F.abs(delta)
-    return s.select(((F.col("mean_a") - F.col("mean_b")) / pooled).alias("cohen_d"), delta.alias("cliffs_delta"), F.when(size < 0.147, "negligible").when(size < 0.33, "small").when(size < 0.474, "medium").otherwise("large").alias("band"))
-
-
-def _rank_over(x: str) -> Column:
-    w = Window.partitionBy(F.lit(0)).orderBy(x)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(x)) - 1) / 2
+    return s.crossJoin(over).select(((F.col("mean_a") - F.col("mean_b")) / pooled).alias("cohen_d"), delta.alias("cliffs_delta"), F.when(size < 0.147, "negligible").when(size < 0.33, "small").when(size < 0.474, "medium").otherwise("large").alias("band"))
 
 
 def adjusted(pvalues: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.order import folded
+from ..functions.storage import cut
+
 
 def as_of(facts: DataFrame, key: list[str], time: str, at: Column) -> DataFrame:
     """The last version of every key up to a moment, by one aggregation."""
@@ -37,35 +42,41 @@ def upsert(base: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     return b.join(c, key, "full").select(*key, *(F.coalesce(f"_c_{x}", f"_b_{x}").alias(x) for x in rest))
 
 
-def hash_chain(events: DataFrame, key: list[str], order: list[str], payload: Column) -> DataFrame:
-    """(key, place, hash): each hash covers the one before it; a chain is one key's bounded log."""
-    rows = events.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, payload.alias("payload")))).alias("rows"))
+def hash_chain(events: DataFrame, key: str, order: str, payload: Column) -> DataFrame:
+    """(key, order, place, hash): each hash covers the one before it and the row's payload. Rows go one by one, whatever a key has."""
+
+    def step(state: tuple[int, str], row: tuple) -> tuple[tuple[int, str], tuple]:
+        place, last = state
+        made = hashlib.sha256((last + row[2]).encode()).hexdigest()
+        return (place + 1, made), (row[0], row[1], place + 1, made)
 
-    def step(chain: Column, row: Column) -> Column:
-        last = F.coalesce(F.element_at(chain, -1), F.lit("0" * 64))
-        return F.concat(chain, F.array(F.sha2(F.concat(last, row["payload"]).cast("binary"), 256)))
+    rows = events.select(F.col(key).cast("long").alias(key), F.col(order).cast("long").alias(order), payload.alias("payload"))
+    return folded(rows, [key], [order], f"{key} long, {order} long, place long, hash string", lambda: (0, "0" * 64), step)
 
-    start = F.array(F.lit("0" * 64))
-    chain = rows.select(*key, F.aggregate("rows", start, step).alias("chain"))
-    return chain.select(*key, F.posexplode("chain").alias("place", "hash")).where("place > 0")
 
+def broken_links(chain: DataFrame, key: str, payload: str) -> DataFrame:
+    """Rows of a chain (key, place, payload, hash) whose hash is not that of the one before and the payload, or whose place is not the next."""
+    w = Window.partitionBy(key).orderBy("place")
+    before, place = F.coalesce(F.lag("hash").over(w), F.lit("0" * 64)), F.row_number().over(w)
+    own = F.sha2(F.concat(before, F.col(payload)).cast("binary"), 256)
+    return chain.withColumn("_ok", (own == F.col("hash")) & (place == F.col("place"))).where("NOT _ok").drop("_ok")
 
-def decision_groups(events: DataFrame, key: list[str], time: str, order: str, action: str, seconds: int) -> DataFrame:
-    """Events of a key with the first of their group: consecutive events of one action within a span of its first.
+
+def decision_groups(events: DataFrame, key: str, time: str, order: str, action: str, seconds: int) -> DataFrame:
+    """(key, order, group_first): events of a key with the first of their group: consecutive events of one action within a span of its first.
 
     The span is that of the group's first event, so groups follow from each other and a session window would not
-    do; a fold over each key's log, sorted, keeps the state.
+    do; each key's sorted log is gone through once.
     """
-    rows = events.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(order).alias("id"), F.col(action).alias("action")))).alias("rows"))
-    kind = "array<struct<id:bigint,first:bigint>>"
-    zero = F.struct(F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("action"), F.array().cast(kind).alias("out"))
 
-    def step(s: Column, e: Column) -> Column:
-        same = F.coalesce((s["action"] == e["action"]) & (e["t"] - s["t"] <= seconds * 1_000_000), F.lit(False))
-        first = F.when(same, s["id"]).otherwise(e["id"])
-        return F.struct(F.when(same, s["t"]).otherwise(e["t"]).alias("t"), first.alias("id"), e["action"].alias("action"), F.concat(s["out"], F.array(F.struct(e["id"].alias("id"), first.alias("first")))).alias("out"))
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        _, t, number, kind = row
+        same = state is not None and state[2] == kind and t - state[0] <= seconds * 1_000_000
+        state = state if same else (t, number, kind)
+        return state, (row[0], number, state[1])
 
-    return rows.select(*key, F.explode(F.aggregate("rows", zero, step)["out"]).alias("g")).select(*key, F.col("g.id").alias(order), F.col("g.first").alias("group_first"))
+    rows = events.select(F.col(key).cast("long").alias(key), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(order).cast("long").alias(order), F.col(action).alias("action"))
+    return folded(rows, [key], ["t", order], f"{key} long, {order} long, group_first long", lambda: None, step)
 
 
 def page(rows: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
@@ -73,13 +84,19 @@ def page(rows: DataFrame, order: list[Column], offset: int, size: int) -> DataFr
 
 
 def pack(hits: DataFrame, budget: int) -> DataFrame:
-    """hits (query, id, score, tokens): best first, each taken if it still fits; one that does not is passed over."""
-    rows = hits.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("order"), "id", "tokens"))).alias("rows"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("ids"))
+    """hits (query, id, score, tokens): best first, each taken if it still fits; one that does not is passed over: query, id, tokens, place, used.
 
-    def step(s: Column, h: Column) -> Column:
-        fits = s["used"] + h["tokens"] <= budget
-        return F.struct(F.when(fits, s["used"] + h["tokens"]).otherwise(s["used"]).alias("used"), F.when(fits, F.concat(s["ids"], F.array(h["id"]))).otherwise(s["ids"]).alias("ids"))
+    What is over the whole budget never fits and goes first; a query's other hits are gone through one by one.
+    """
 
-    packed = rows.select("query", F.aggregate("rows", zero, step).alias("p"))
-    return packed.select("query", "p.used", F.posexplode("p.ids").alias("place", "id"))
+    def step(state: tuple[int, int], row: tuple) -> tuple[tuple[int, int], tuple | None]:
+        used, place = state
+        if used + row[3] > budget:
+            return state, None
+        return (used + row[3], place + 1), (row[0], row[1], row[3], place)
+
+    rows = hits.where(F.col("tokens") <= budget).select("query", F.col("id").cast("long").alias("id"), F.col("score").cast("double").alias("score"), F.col("tokens").cast("long").alias("tokens"))
+    kind = rows.schema["query"].dataType.simpleString()
+    kept = folded(rows, ["query"], [F.desc("score"), "id"], f"query {kind}, id long, tokens long, place long", lambda: (0, 0), step)
+    kept = cut(kept)
+    return kept.join(kept.groupBy("query").agg(F.sum("tokens").alias("used")), "query")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.storage import cut
+
 #: Letters and digits of the languages that the corpus has (the same class in every engine).
 TOKEN = r"[0-9a-zA-Zà-ÿÀ-ÿ]+"
 
@@ -26,35 +30,129 @@ def idf(terms: DataFrame, n_docs: Column) -> DataFrame:
     return df.withColumn("idf", F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
+def okapi_idf(df: DataFrame, n: int, epsilon: float = 0.25) -> DataFrame:
+    """df (term, df) with idf: ln((n - df + .5) / (df + .5)), where that is negative epsilon of the mean over all terms."""
+    raw = df.withColumn("_raw", F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("_raw").alias("_mean"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("_raw") < 0, epsilon * F.col("_mean")).otherwise(F.col("_raw")).alias("idf"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, id_: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, top: int = 10) -> DataFrame:
-    """queries (query, text): the best documents of each by BM25: query, id, score, rank.
+    """queries (query, text): the best documents of each by Okapi BM25, with a score over 0: query, id, score, rank.
+
+    A query's term counts as often as the query has it. Documents are tokenised once. A query's rare terms come
+    first and give a score that its best documents reach at least. Terms whose most possible scores together stay
+    below it can't bring in a document alone, so only documents with another term of the query are scored in full:
+    frequent words meet no document that has nothing else.
+    """
+    tok = cut(docs.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("t")).withColumn("length", F.size("t")))
+    n, mean = tok.agg(F.count("*"), F.avg("length")).first()
+    idf = okapi_idf(cut(tok.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))), n)
+    asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+    asked = cut(asked.join(idf, "term").select("query", "term", "df", (F.col("times") * F.col("idf") * (k1 + 1)).alias("weight")).where("weight > 0"))
+    words = tok.select("id", "length", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (mean or 1.0)))
+    post = cut(words.groupBy("id", "length", "term").agg(F.count("*").alias("tf")).select("id", "term", tf.alias("part")))
+    rare = Window.partitionBy("query").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
+    first = asked.withColumn("_seen", F.sum("df").over(rare)).where(F.col("_seen") <= 50 * top)
+    partial = first.join(post, "term").groupBy("query", "id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+    place = Window.partitionBy("query").orderBy(F.desc("score"))
+    reached = partial.withColumn("_k", F.row_number().over(place)).where(F.col("_k") == top).select("query", F.col("score").alias("reached"))
+    least = Window.partitionBy("query").orderBy("weight", "term").rowsBetween(Window.unboundedPreceding, 0)
+    bound = asked.withColumn("_upto", F.sum("weight").over(least)).join(reached, "query", "left")
+    strong = bound.where(F.col("reached").isNull() | (F.col("_upto") >= F.col("reached") - 1e-5)).select("query", "term")
+    candidates = strong.join(post.select("id", "term"), "term").select("query", "id").distinct()
+    weights = asked.groupBy("query").agg(F.collect_list(F.struct("term", "weight")).alias("w"))
+    parts = post.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "part"))).alias("m"))
+    score = F.aggregate("w", F.lit(0.0), lambda s, x: s + x["weight"] * F.coalesce(F.col("m")[x["term"]], F.lit(0.0)))
+    scored = candidates.join(parts, "id").join(weights, "query").select("query", "id", score.alias("score")).where("score > 0")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 6)), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= top)
+
 
-    Only postings of terms that queries have are scored, found by a join on the term; the scores are summed
-    before they are ranked.
+def bm25f(fields: DataFrame, queries: DataFrame, config: dict[str, tuple[float, float]], k1: float = 1.2, top: int = 10) -> DataFrame:
+    """fields (id, field, text), queries (query, text): BM25F with (boost, b) for each field: query, id, score, rank.
+
+    Frequencies are weighted and summed over fields before they saturate; a query's terms count once.
     """
-    terms, length = postings(docs, id_, text)
-    asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    terms = terms.join(asked.select("term").distinct(), "term", "left_semi")
-    stats = length.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    rows = terms.join(length, "id").join(terms.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(stats))
-    weight = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = rows.select("id", "term", weight.alias("w")).join(asked, "term").groupBy("query", "id").agg(F.sum("w").alias("score"))
+    tok = cut(fields.where(F.col("field").isin(list(config))).select("id", "field", tokens(F.col("text")).alias("t")).withColumn("length", F.size("t")))
+    boost, b = (F.create_map(*(F.lit(x) for f, v in config.items() for x in (f, v[i])))[F.col("field")] for i in (0, 1))
+    mean = tok.groupBy("field").agg(F.avg("length").alias("mean"))
+    asked = cut(queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
+    words = tok.select("id", "field", "length", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").join(mean, "field")
+    tf = words.groupBy("id", "field", "term", "length", "mean").agg(F.count("*").alias("tf"))
+    post = cut(tf.groupBy("id", "term").agg(F.sum(boost * F.col("tf") / (1 - b + b * F.col("length") / F.col("mean"))).alias("tf")))
+    n = tok.select("id").distinct().count()
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.withColumn("idf", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    scored = asked.join(idf, "term").join(post, "term").groupBy("query", "id").agg(F.sum(F.col("idf") * F.col("tf") / (k1 + F.col("tf"))).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 6)), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
+def rocchio(query: DataFrame, relevant: DataFrame, other: DataFrame, alpha: float = 1.0, beta: float = 0.75, gamma: float = 0.15, top: int = 10) -> DataFrame:
+    """query (query, term, weight), relevant and other (query, id, term, weight): the query moved towards what is relevant: query, term, weight, rank."""
+    docs = lambda d: d.groupBy("query").agg(F.count_distinct("id").alias("n"))
+    mean = lambda d, k: d.join(docs(d), "query").select("query", "term", (F.lit(k) * F.col("weight") / F.col("n")).alias("weight"))
+    moved = query.select("query", "term", (F.lit(alpha) * F.col("weight")).alias("weight")).unionByName(mean(relevant, beta)).unionByName(mean(other, -gamma))
+    s = moved.groupBy("query", "term").agg(F.sum("weight").alias("weight")).where("weight > 0")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("weight", 9)), "term"))
+    return s.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def performance_prediction(scores: DataFrame, top: int = 10) -> DataFrame:
+    """scores (query, score): NQC (deviation over mean of the best), WIG (mean of the best less that of all) and the gap between the first two."""
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
+    s = scores.withColumn("k", place)
+    best = lambda x, k: F.when(F.col("k") <= k, F.col(x))
+    return s.groupBy("query").agg(
+        F.coalesce(F.try_divide(F.stddev_pop(best("score", top)), F.avg(best("score", top))), F.lit(0.0)).alias("nqc"), (F.avg(best("score", top)) - F.avg("score")).alias("wig"),
+        F.coalesce(F.max("score") - F.max(F.when(F.col("k") == 2, F.col("score"))), F.lit(0.0)).alias("top_gap"),
+    )
+
+
+def maxsim(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """queries (query, vs), docs (query, id, vs; the candidates of each): sum over the query's vectors of the best cosine with one of the document's."""
+    best = lambda q, vs: F.array_max(F.transform(vs, lambda d: cosine(q, d)))
+    score = F.aggregate(F.transform("_q", lambda q: F.coalesce(best(q, F.col("vs")), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    return docs.join(queries.select("query", F.col("vs").alias("_q")), "query").select("query", "id", score.alias("score"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, in double precision; 0 where either is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
-    """vectors (id, v), queries (query, v; a stated, bounded set): the nearest of each by cosine."""
-    both = vectors.crossJoin(F.broadcast(queries.withColumnRenamed("v", "_q"))).where(F.col("id") != F.col("query"))
-    scored = both.select("query", "id", cosine(F.col("v"), F.col("_q")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 6)), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top)
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, digits: int = 6, block: int = 4096) -> DataFrame:
+    """vectors (id, v), queries (query, v; a stated set): the nearest of each by cosine, itself left out: query, id, score, rank.
+
+    Both sides are dealt into blocks of bounded size, each two of which meet once; a query keeps its best of every
+    block, and these are merged.
+    """
+    n, m = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() // block))
+    of = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k))
+    right = vectors.select(of("id", n).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("j"), F.col("id").alias("rid"), F.col("v").alias("rv"))
+    left = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"), of("query", m).alias("j"), F.col("query").alias("lid"), F.col("v").alias("lv"))
+
+    def unit(v: pd.Series) -> np.ndarray:
+        a = np.stack(v.to_numpy()).astype(float)
+        size = np.linalg.norm(a, axis=1, keepdims=True)
+        return np.divide(a, size, out=np.zeros_like(a), where=size > 0)
+
+    def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(d):
+            ids = d["rid"].to_numpy()
+            for name, row in zip(q["lid"].to_numpy(), unit(q["lv"]) @ unit(d["rv"]).T, strict=True):
+                row[ids == name] = -np.inf
+                best = np.lexsort((ids, -np.round(row, digits)))[:top]
+                out += [(name, ids[k], row[k]) for k in best if row[k] > -np.inf]
+        return pd.DataFrame(out, columns=["query", "id", "score"])
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, "query long, id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", digits)), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
 def normal_form(text: Column) -> Column:

@@ -12,7 +12,7 @@ from ..sources.tables import read
 
 #: Share of a flag's lines that were found to be final, smoothed: the recall of the type's extractor here.
 GRID = """brands AS (SELECT DISTINCT p_brand AS material FROM part), kinds AS (SELECT DISTINCT p_type || '/' || p_size AS property FROM part),
-obs AS (SELECT p_brand AS material, p_type || '/' || p_size AS property, count(*) AS n FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 49 GROUP BY 1, 2),
+obs AS (SELECT p_brand AS material, p_type || '/' || p_size AS property, count(*) AS n FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2),
 grid AS (SELECT material, property, coalesce(n, 0) AS evidence_count, (length(property) % 10) / 10.0::DOUBLE AS recall FROM brands CROSS JOIN kinds LEFT JOIN obs USING (material, property)),
 post AS (SELECT *, 0.5 / (0.5 + 0.5 * (1 - recall)) AS p FROM grid),
 cells AS (SELECT material, property, evidence_count, recall, CASE WHEN evidence_count > 0 THEN 0.0 WHEN recall < 0.4 THEN NULL ELSE p END AS confidence,
@@ -21,7 +21,7 @@ cells AS (SELECT material, property, evidence_count, recall, CASE WHEN evidence_
 
 def cells(spark, sf):
     part = read(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("material"), F.concat_ws("/", "p_type", "p_size").alias("property"))
-    lines = read(spark, sf, "lineitem").where("l_quantity > 49").select("l_partkey")
+    lines = read(spark, sf, "lineitem").select("l_partkey")
     seen = part.join(lines, F.col("l_partkey") == F.col("p_partkey"))
     grid = absence.coverage_grid(part.select("material").distinct(), part.select("property").distinct(), seen, ["material", "property"])
     grid = grid.withColumn("recall", (F.length("property") % 10) / 10.0)
@@ -75,11 +75,11 @@ def _heat(spark, sf):
 
 
 @query("coverage_3d", """WITH b AS (SELECT DISTINCT p_brand FROM part), f AS (SELECT DISTINCT l_returnflag FROM lineitem), s AS (SELECT DISTINCT l_linestatus FROM lineitem),
-o AS (SELECT p_brand, l_returnflag, l_linestatus, count(*) AS n FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_discount >= 0.05 GROUP BY ALL)
+o AS (SELECT p_brand, l_returnflag, l_linestatus, count(*) AS n FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL)
 SELECT p_brand, l_returnflag, l_linestatus, coalesce(n, 0) AS evidence_count FROM b CROSS JOIN f CROSS JOIN s LEFT JOIN o USING (p_brand, l_returnflag, l_linestatus)""")
 def _grid3(spark, sf):
     part, lines = read(spark, sf, "part"), read(spark, sf, "lineitem")
-    seen = part.join(lines.where("l_discount >= 0.05"), F.col("l_partkey") == F.col("p_partkey"))
+    seen = part.join(lines, F.col("l_partkey") == F.col("p_partkey"))
     regimes = lines.select("l_returnflag").distinct().crossJoin(lines.select("l_linestatus").distinct())
     return absence.coverage_grid(part.select("p_brand").distinct(), regimes, seen, ["p_brand", "l_returnflag", "l_linestatus"])
 

@@ -119,10 +119,12 @@ def _fleiss(spark, sf):
     return rounded(ev.fleiss_kappa(ratings(spark, sf)))
 
 
-@query("krippendorff_alpha", f"""WITH {RATINGS}, c AS (SELECT item, label, count(*) AS n FROM s GROUP BY 1, 2), m AS (SELECT *, sum(n) OVER (PARTITION BY item) AS m FROM c), o AS (SELECT sum(n * (m - n) / (m - 1.0)) AS d, sum(n) AS t FROM m WHERE m > 1),
+@query("krippendorff_alpha", f"""WITH c AS (SELECT user_id AS item, {VERDICT} AS label, count(*) AS n FROM events GROUP BY 1, 2), m AS (SELECT *, sum(n) OVER (PARTITION BY item) AS m FROM c), o AS (SELECT sum(n * (m - n) / (m - 1.0)) AS d, sum(n) AS t FROM m WHERE m > 1),
 e AS (SELECT sum(n) * sum(n) - sum(n * n) AS d FROM (SELECT sum(n) AS n FROM m WHERE m > 1 GROUP BY label)) SELECT round(1 - o.d * (o.t - 1) / e.d, 6) AS alpha FROM o, e""")
 def _krippendorff(spark, sf):
-    return rounded(ev.krippendorff(ratings(spark, sf)))
+    """All events of every user, however many they have."""
+    e = read(spark, sf, "events").select(F.col("user_id").alias("item"), F.when(F.col("value") < 25, "low").when(F.col("value") < 75, "mid").otherwise("high").alias("label"))
+    return rounded(ev.krippendorff(e))
 
 
 SUPPLY = "p AS (SELECT s_nationkey AS g, s_suppkey AS id, round(s_acctbal, 0) AS x, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey)::DOUBLE AS y FROM supplier)"

@@ -44,18 +44,33 @@ def _upsert(spark, sf):
     return rec.upsert(o.where("o_orderkey % 3 <> 0"), changes, ["o_orderkey"])
 
 
-@query("audit_hash_chain", """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place, event_id || ':' || event_type AS payload FROM events),
-c(user_id, place, hash) AS (SELECT user_id, place, sha256(repeat('0', 64) || payload) FROM e WHERE place = 1 UNION ALL SELECT e.user_id, e.place, sha256(c.hash || e.payload) FROM c JOIN e ON e.user_id = c.user_id AND e.place = c.place + 1) SELECT user_id, place, hash FROM c""")
+CHAIN = """e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}' AS payload FROM events),
+c(user_id, event_id, place, hash) AS (SELECT user_id, event_id, place, sha256(repeat('0', 64) || payload) FROM e WHERE place = 1 UNION ALL SELECT e.user_id, e.event_id, e.place, sha256(c.hash || e.payload) FROM c JOIN e ON e.user_id = c.user_id AND e.place = c.place + 1)"""
+
+
+def payload():
+    """A row as JSON, keys in order."""
+    return F.to_json(F.struct("event_id", "event_type", "user_id"))
+
+
+@query("audit_hash_chain", f"WITH RECURSIVE {CHAIN} SELECT user_id, event_id, place, hash FROM c")
 def _chain(spark, sf):
-    got = rec.hash_chain(events(spark, sf), ["user_id"], ["event_id"], F.concat_ws(":", "event_id", "event_type"))
-    return got.withColumn("place", F.col("place").cast("long"))
+    return rec.hash_chain(events(spark, sf), "user_id", "event_id", payload())
+
+
+@query("audit_chain_verify", f"WITH RECURSIVE {CHAIN} SELECT user_id, place FROM c WHERE event_id % 97 = 0")
+def _verify(spark, sf):
+    """Rows of the chain that were changed after it was made."""
+    chain = rec.hash_chain(events(spark, sf), "user_id", "event_id", payload()).join(events(spark, sf).select("event_id", payload().alias("payload")), "event_id")
+    changed = chain.withColumn("payload", F.when(F.col("event_id") % 97 == 0, F.concat("payload", F.lit(" "))).otherwise(F.col("payload")))
+    return rec.broken_links(changed, "user_id", "payload").select("user_id", "place")
 
 
 @query("decision_groups", """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 g(user_id, k, event_id, event_type, first, t0) AS (SELECT user_id, k, event_id, event_type, event_id, t FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.event_id, e.event_type, CASE WHEN e.event_type = g.event_type AND e.t - g.t0 <= 86400000000 THEN g.first ELSE e.event_id END,
 CASE WHEN e.event_type = g.event_type AND e.t - g.t0 <= 86400000000 THEN g.t0 ELSE e.t END FROM g JOIN e ON e.user_id = g.user_id AND e.k = g.k + 1) SELECT user_id, event_id, first AS group_first FROM g""")
 def _decisions(spark, sf):
-    return rec.decision_groups(events(spark, sf), ["user_id"], "ts", "event_id", "event_type", 86_400)
+    return rec.decision_groups(events(spark, sf), "user_id", "ts", "event_id", "event_type", 86_400)
 
 
 @query("cursor_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
@@ -74,7 +89,7 @@ p(query, k, used, id, kept) AS (SELECT DISTINCT query, 0::BIGINT, 0::BIGINT, -1:
 SELECT query, (max(used) OVER (PARTITION BY query))::BIGINT AS used, row_number() OVER (PARTITION BY query ORDER BY k) - 1 AS place, id FROM p WHERE kept""")
 def _pack(spark, sf):
     hits = read(spark, sf, "documents").select(F.col("source").alias("query"), F.col("doc_id").alias("id"), (F.col("n_chars") % 997).alias("score"), F.floor(F.col("n_chars") / 4).alias("tokens"))
-    return rec.pack(hits, 4000).withColumn("place", F.col("place").cast("long"))
+    return rec.pack(hits, 4000).select("query", "used", "place", "id")
 
 
 @query("rate_summary", "SELECT CAST(date_trunc('day', ts) AS DATE)::VARCHAR AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")

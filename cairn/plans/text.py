@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import r6
 from ..operators import graph as g
 from ..operators import rerank, text
+from ..operators.retrieval import nearest
 from ..registry import query
 from ..sources.tables import GRAPH_SQL, graph, read
 
@@ -54,11 +55,9 @@ p(query, place, taken) AS (SELECT query, 0::BIGINT, []::BIGINT[] FROM q UNION AL
 SELECT query, place + 1, list_append(taken, (SELECT s.id FROM s WHERE s.query = p.query AND NOT list_contains(p.taken, s.id) ORDER BY round(0.7 * s.score - 0.3 * coalesce((SELECT max(greatest(0, list_cosine_similarity(s.v, t.v))) FROM s t WHERE t.query = p.query AND list_contains(p.taken, t.id)), 0), 9) DESC, s.score DESC, s.id LIMIT 1)) FROM p WHERE place < 5)
 SELECT query, taken[place] AS id, place FROM p WHERE place > 0""")
 def _mmr(spark, sf):
-    from ..operators.retrieval import cosine
-
     v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    q = v.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("v").alias("qv"))
-    hits = v.crossJoin(q).where("id <> query").select("query", "id", "v", cosine(F.col("v"), F.col("qv")).alias("score"))
+    q = v.where("id % 100 = 0").select(F.col("id").alias("query"), "v")
+    hits = nearest(v, q, top=30, digits=12).select("query", "id", "score").join(v, "id")
     return rerank.mmr(hits, k=5, candidates=30)
 
 
