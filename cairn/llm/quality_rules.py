@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 STATS = BASE + ["n_upper", "n_bang", "n_bar", "n_digits", "n_distinct"]
 SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
@@ -141,7 +143,7 @@ def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
         out = out.add(name, "long")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             got = np.array([text_stats(t) for t in batch.column(len(carry)).to_pylist()], dtype=np.int64).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *(pa.array(c) for c in got.T)], names=[*carry, *names])
 
@@ -178,7 +180,7 @@ def verdicts(docs: DataFrame, trees: Trees, carry: list[str], least: float = 0.5
     at_text = n_carry
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             stats = np.array([text_stats(t) for t in batch.column(at_text).to_pylist()], dtype=np.int64).reshape(-1, len(STATS))
             quality = 1 / (1 + np.exp(-trees.score(features(stats))))
             failed = (stats[:, 0] < 50) | (100 * stats[:, 4] > 50 * stats[:, 0])

@@ -25,10 +25,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-MOST_PAIRS = 2_000_000  # whose compatibility a worker keeps
+MOST_PAIRS = 1_000_000  # whose compatibility a worker keeps
 LONGEST = 48  # characters of words that are encoded together
 GAP = "\U0010ffff"  # between them; a word with it is encoded alone
-CACHED = 250_000  # words whose encoding a worker keeps, in each of two generations
+CACHED = 180_000  # words whose encoding a worker keeps, in each of two generations
 
 
 class Kept(dict):
@@ -316,9 +316,9 @@ class Together:
             self.depth[node] = self.depth[above] + 1
         self.piece = np.full(n, -1, dtype=np.int32)
         self.piece[list(ends)] = list(ends.values())
-        self.step, fail = np.zeros((n, kinds), dtype=np.int32), np.zeros(n, dtype=np.int64)
+        self.step, fail = np.zeros((n, kinds), dtype=np.uint16 if n < 1 << 16 else np.int32), np.zeros(n, dtype=np.int64)
         self.last, self.shorter = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
-        child = np.zeros((n, kinds), dtype=np.int32)
+        child = np.zeros((n, kinds), dtype=self.step.dtype)
         child[parent, kind] = np.arange(1, n)
         self.step[0] = child[0]
         for depth in range(1, self.longest + 1):
@@ -334,7 +334,7 @@ class Together:
         ids, mask = np.full((len(kind), self.longest), -1, dtype=np.int32), np.zeros(len(kind), dtype=np.int32)
         order = np.argsort(-size, kind="stable")
         start, size = start[order], size[order]
-        state, found = np.zeros(len(start), dtype=np.int32), np.zeros(len(kind), dtype=np.int32)
+        state, found = np.zeros(len(start), dtype=self.step.dtype), np.zeros(len(kind), dtype=np.int32)
         for t in range(int(size[0])):
             here = start[: np.searchsorted(-size, -t)] + t  # words longer than t
             state = self.step[state[: len(here)], kind[here]]

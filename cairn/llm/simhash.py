@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sliced
 from .components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -112,7 +112,7 @@ def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataF
     """The columns carry and fp, a signed long, of every document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.array([fingerprint(t) for t in batch.column(len(carry)).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(fps)], names=[*carry, "fp"])
 
