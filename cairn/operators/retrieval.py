@@ -49,17 +49,19 @@ def bm25(docs: DataFrame, queries: DataFrame, id_: str = "doc_id", text: str = "
     n, mean = tok.agg(F.count("*"), F.avg("length")).first()
     idf = okapi_idf(cut(tok.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))), n)
     asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    asked = cut(asked.join(idf, "term").select("query", "term", "df", (F.col("times") * F.col("idf") * (k1 + 1)).alias("weight")).where("weight > 0"))
+    asked = cut(asked.join(idf, "term").select("query", "term", "df", (F.col("times") * F.col("idf") * (k1 + 1)).alias("weight")))
     words = tok.select("id", "length", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (mean or 1.0)))
     post = cut(words.groupBy("id", "length", "term").agg(F.count("*").alias("tf")).select("id", "term", tf.alias("part")))
     rare = Window.partitionBy("query").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
-    first = asked.withColumn("_seen", F.sum("df").over(rare)).where(F.col("_seen") <= 50 * top)
+    helps = asked.where("weight > 0")  # where most words are frequent, their part may be negative
+    loss = asked.groupBy("query").agg(F.sum(F.least(F.col("weight"), F.lit(0.0))).alias("loss"))
+    first = helps.withColumn("_seen", F.sum("df").over(rare)).where(F.col("_seen") <= 50 * top)
     partial = first.join(post, "term").groupBy("query", "id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
     place = Window.partitionBy("query").orderBy(F.desc("score"))
-    reached = partial.withColumn("_k", F.row_number().over(place)).where(F.col("_k") == top).select("query", F.col("score").alias("reached"))
+    reached = partial.withColumn("_k", F.row_number().over(place)).where(F.col("_k") == top).join(loss, "query").select("query", (F.col("score") + F.col("loss")).alias("reached"))
     least = Window.partitionBy("query").orderBy("weight", "term").rowsBetween(Window.unboundedPreceding, 0)
-    bound = asked.withColumn("_upto", F.sum("weight").over(least)).join(reached, "query", "left")
+    bound = helps.withColumn("_upto", F.sum("weight").over(least)).join(reached, "query", "left")
     strong = bound.where(F.col("reached").isNull() | (F.col("_upto") >= F.col("reached") - 1e-5)).select("query", "term")
     candidates = strong.join(post.select("id", "term"), "term").select("query", "id").distinct()
     weights = asked.groupBy("query").agg(F.collect_list(F.struct("term", "weight")).alias("w"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import absence, evaluation, fusion, graph, records, retrieval
+from cairn.functions import order
+from cairn.operators import absence, evaluation, fusion, gaps, graph, judging, records, rerank, retrieval, structure
+from cairn.streaming import events as stream_events
 
 RUNS = "query string, source string, source_pos int, id long, score double"
 
@@ -70,3 +76,127 @@ def test_upsert_keeps_old_where_null(spark):
 def test_cosine_of_zero(spark):
     row = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
     assert row.select(retrieval.cosine(F.col("a"), F.col("b"))).first()[0] == 0.0
+
+
+def plain_cores(n, links):
+    near = {i: {b for a, b in links if a == i} | {a for a, b in links if b == i} for i in range(n)}
+    core = {}
+    for k in itertools.count():
+        while low := [i for i in near if len(near[i]) <= k]:
+            for i in low:
+                core[i] = k
+                for j in near.pop(i):
+                    if j in near:
+                        near[j].discard(i)
+        if not near:
+            return core
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_core_numbers_equal_peeling(spark, seed):
+    rnd = random.Random(seed)
+    links = [(a, b) for a in range(30) for b in range(a) if rnd.random() < (0.5 if a < 12 else 0.08)] + [(31, 30), (32, 31), (33, 32)]
+    nodes = spark.createDataFrame([(i,) for i in range(36)], "id long")
+    got = {r.id: r.core for r in graph.core_numbers(nodes, spark.createDataFrame(links, "src long, dst long")).collect()}
+    assert got == plain_cores(36, links)
+
+
+def test_autocut_of_flat_and_short_lists(spark):
+    rows = [("flat", i, 1.0) for i in range(4)] + [("two", i, 9.0 - i) for i in range(2)] + [("late", i, s) for i, s in enumerate([10.0, 4.0, 3.9, 3.8, 1.0])]
+    df = spark.createDataFrame(rows, "query string, id long, score double")
+    kept = lambda k: {q: sum(r.keep_gap for r in fusion.autocut(df, min_keep=k).collect() if r["query"] == q) for q in ("flat", "two", "late")}
+    assert kept(1) == {"flat": 1, "two": 1, "late": 1}
+    assert kept(2) == {"flat": 2, "two": 2, "late": 4}
+
+
+def test_linear_weights_must_sum_to_one(spark):
+    with pytest.raises(ValueError):
+        fusion.weighted_sum(spark.createDataFrame([("q", "a", 0, 1, 2.0)], RUNS), {"a": 0.5})
+
+
+def test_frequent_words_count_a_little(spark):
+    docs = spark.createDataFrame([(i, f"the cat x{i} y{i}" if i else "the dog ran") for i in range(6)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "the dog"), (2, "the"), (3, "zebra")], "query long, text string")
+    got = {(r["query"], r.id): r.score for r in retrieval.bm25(docs, asked).collect()}
+    assert set(got) == {(1, i) for i in range(6)} | {(2, i) for i in range(6)} and max(got, key=lambda k: got[k] * (k[0] == 1)) == (1, 0)
+
+
+def test_bm25_equals_a_plain_sum(spark):
+    import math
+
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choices([f"w{int(rnd.paretovariate(0.6))}" for _ in range(30)], k=rnd.randint(1, 40))) for _ in range(300)]
+    queries = {q: " ".join(rnd.choices(texts[q].split() + ["w1", "w1", "w2"], k=12)) for q in range(20)}
+    tok = [t.split() for t in texts]
+    df = {}
+    for t in tok:
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    raw = {w: math.log(300 - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    idf = {w: r if r >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, r in raw.items()}
+    mean = sum(map(len, tok)) / 300
+    want = {}
+    for q, text in queries.items():
+        s = [(-round(sum(idf.get(w, 0) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in text.split()), 6), i) for i, t in enumerate(tok)]
+        want[q] = [i for x, i in sorted(s)[:5] if x < 0]
+    got = retrieval.bm25(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(queries.items()), "query long, text string"), top=5).collect()
+    assert {q: [r.id for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] for q in queries} == want
+
+
+def test_nearest_in_blocks(spark):
+    rnd = random.Random(5)
+    v = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(60, [0.0] * 4)]
+    df = spark.createDataFrame(v, "id long, v array<double>")
+    q = df.where("id % 10 = 0").select(F.col("id").alias("query"), "v")
+    one, many = (sorted(map(tuple, retrieval.nearest(df, q, top=3, block=b).select("query", "id", "rank").collect())) for b in (4096, 7))
+    assert one == many and len(one) == 21
+
+
+def test_cover_has_no_silent_end(spark):
+    offers = spark.createDataFrame([("a", 1, 1.0, 5.0), ("a", 2, 1.0, 5.0), ("b", 2, 0.1, 5.0), ("c", 3, 9.0, 1.0)] + [(f"z{i}", 10 + i, 1.0, 1.0) for i in range(8)], "candidate string, gap long, cost double, weight double")
+    plan = rerank.set_cover(offers).orderBy("place").collect()
+    assert [r.candidate for r in plan] == ["b", "a", *(f"z{i}" for i in range(8)), "c"] and plan[-1].covered == 1.0
+    part = rerank.set_cover(offers, most=2)
+    assert sorted(r.gap for r in rerank.uncovered(offers, part).collect()) == [3, *range(10, 18)]
+    assert rerank.set_cover(offers.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        rerank.set_cover(offers.withColumn("cost", F.lit(0.0)))
+
+
+def test_sums_over_an_order(spark):
+    rows = [(float(i * 7 % 101), i) for i in range(101)]
+    got = {r.v: r.upto_n for r in order.cumulative(spark.createDataFrame(rows, "v double, n long").repartition(5), "v", ["n"]).collect()}
+    total, want = 0, {}
+    for v, n in sorted(rows):
+        total += n
+        want[v] = total
+    assert got == want
+
+
+def test_closure_of_cycles(spark):
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 12)], "id long, parent long")
+    assert structure.closure(chain).count() == 66
+    with pytest.raises(ValueError):
+        structure.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id long, parent long"))
+
+
+def test_verdicts_in_order(spark):
+    cells = spark.createDataFrame([(1, 1, 0, True), (1, 0, 0, False), (0, 0, 2, True), (0, 0, 0, True), (0, 0, 0, False)], "active long, valued long, retracted long, mentioned boolean")
+    assert [r.verdict for r in gaps.verdicts(cells).collect()] == ["present", "covered", "retracted", "possible_miss", "abstain"]
+
+
+def test_signed_rank_without_differences(spark):
+    same = spark.createDataFrame([(1.0, 1.0)], "a double, b double")
+    assert judging.signed_rank(same).first()["positive"] == 0
+
+
+def test_streams_of_many_files_lose_nothing(spark, tmp_path):
+    """Files in no order of time, more than a batch would once take."""
+    rows = [(i, f"2024-01-{1 + i * 7 % 28:02d} 0{i % 10}:00:00", i % 3, "view", 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df.repartition(40).write.parquet(f"{tmp_path}/events.parquet")
+    source = stream_events.source(spark, f"{tmp_path}/events.parquet")
+    got = stream_events.settle(stream_events.first_seen(source.select("user_id", "event_type", "ts"), ["user_id", "event_type"]), "append")
+    assert got.count() == df.select("user_id", "event_type", "ts").distinct().count()
+    admitted = stream_events.settle(stream_events.rate_limited(stream_events.source(spark, f"{tmp_path}/events.parquet")), "append")
+    assert admitted.count() == 200
