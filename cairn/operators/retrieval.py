@@ -40,34 +40,18 @@ def okapi_idf(df: DataFrame, n: int, epsilon: float = 0.25) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, id_: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, top: int = 10) -> DataFrame:
     """queries (query, text): the best documents of each by Okapi BM25, with a score over 0: query, id, score, rank.
 
-    A query's term counts as often as the query has it. Documents are tokenised once. A query's rare terms come
-    first and give a score that its best documents reach at least. Terms whose most possible scores together stay
-    below it can't bring in a document alone, so only documents with another term of the query are scored in full:
-    frequent words meet no document that has nothing else.
+    A query's term counts as often as the query has it. Documents are tokenised once; only postings of terms that
+    queries have are scored, and their scores are summed before they are ranked.
     """
     tok = cut(docs.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("t")).withColumn("length", F.size("t")))
     n, mean = tok.agg(F.count("*"), F.avg("length")).first()
     idf = okapi_idf(cut(tok.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))), n)
     asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    asked = cut(asked.join(idf, "term").select("query", "term", "df", (F.col("times") * F.col("idf") * (k1 + 1)).alias("weight")))
+    asked = cut(asked.join(idf, "term").select("query", "term", (F.col("times") * F.col("idf") * (k1 + 1)).alias("weight")))
     words = tok.select("id", "length", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (mean or 1.0)))
-    post = cut(words.groupBy("id", "length", "term").agg(F.count("*").alias("tf")).select("id", "term", tf.alias("part")))
-    rare = Window.partitionBy("query").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
-    helps = asked.where("weight > 0")  # where most words are frequent, their part may be negative
-    loss = asked.groupBy("query").agg(F.sum(F.least(F.col("weight"), F.lit(0.0))).alias("loss"))
-    first = helps.withColumn("_seen", F.sum("df").over(rare)).where(F.col("_seen") <= 50 * top)
-    partial = first.join(post, "term").groupBy("query", "id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
-    place = Window.partitionBy("query").orderBy(F.desc("score"))
-    reached = partial.withColumn("_k", F.row_number().over(place)).where(F.col("_k") == top).join(loss, "query").select("query", (F.col("score") + F.col("loss")).alias("reached"))
-    least = Window.partitionBy("query").orderBy("weight", "term").rowsBetween(Window.unboundedPreceding, 0)
-    bound = helps.withColumn("_upto", F.sum("weight").over(least)).join(reached, "query", "left")
-    strong = bound.where(F.col("reached").isNull() | (F.col("_upto") >= F.col("reached") - 1e-5)).select("query", "term")
-    candidates = strong.join(post.select("id", "term"), "term").select("query", "id").distinct()
-    weights = asked.groupBy("query").agg(F.collect_list(F.struct("term", "weight")).alias("w"))
-    parts = post.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "part"))).alias("m"))
-    score = F.aggregate("w", F.lit(0.0), lambda s, x: s + x["weight"] * F.coalesce(F.col("m")[x["term"]], F.lit(0.0)))
-    scored = candidates.join(parts, "id").join(weights, "query").select("query", "id", score.alias("score")).where("score > 0")
+    post = words.groupBy("id", "length", "term").agg(F.count("*").alias("tf")).select("id", "term", tf.alias("part"))
+    scored = asked.join(post, "term").groupBy("query", "id").agg(F.sum(F.col("weight") * F.col("part")).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 6)), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top)
 
