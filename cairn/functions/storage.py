@@ -20,14 +20,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{place}/cairn-{context.applicationId}"
 
 
+#: Where cut() wrote, in order.
+written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df and read it back: short lineage, computed once, and a result that outlives its executors."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(spark: SparkSession) -> None:
-    """Delete what this application's cut() wrote, once its results are written elsewhere."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all that this application's cut() wrote, once its results are written elsewhere."""
+    delete(spark, shared_dir(spark))
+    written.clear()
