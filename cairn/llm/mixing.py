@@ -133,12 +133,13 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), word_count(F.col("text")).alias("_words"))
     same = F.col("d.doc_id").eqNullSafe(F.col("_doc")) & F.col("d.source").eqNullSafe(F.col("_src")) & (F.col("_words") == F.col("_size"))
     times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
-    out = sized.join(got.where("copies_in = 1"), same).withColumn("_", times(F.col("whole") + F.col("extra"))).select(*columns)
+    # there are about as many units as rows, so both sides are sorted, whatever a small table's size says
+    out = sized.join(got.where("copies_in = 1").hint("merge"), same).withColumn("_", times(F.col("whole") + F.col("extra"))).select(*columns)
     several = got.where("copies_in > 1")
     if several.isEmpty():
         return out
     unit = ["_doc", "_src", "_size"]
-    counted = sized.join(several, same).groupBy(*unit, "whole", "extra", "d").agg(F.count("*").alias("k"))
+    counted = sized.join(several.hint("merge"), same).groupBy(*unit, "whole", "extra", "d").agg(F.count("*").alias("k"))
     before = Window.partitionBy(*unit).orderBy(F.xxhash64("d"), "d").rowsBetween(Window.unboundedPreceding, -1)
     more = F.greatest(F.lit(0).cast("long"), F.least(F.col("k"), F.col("extra") - F.coalesce(F.sum("k").over(before), F.lit(0).cast("long"))))
     counted = counted.withColumn("_n", F.col("k") * F.col("whole") + more).where("_n > 0")
