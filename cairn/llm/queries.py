@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, pii, quality_rules, repeats, sentencepiece_bpe, sharding, simhash, weak_labels
+from . import chat, fingerprints, manifest, mixing, pii, quality_rules, repeats, sentencepiece_bpe, sharding, simhash, weak_labels
 from .common import table
 
 
@@ -83,6 +83,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), max_epochs=3.0).drop("times", "source")
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_labels": op1_weak_labels,
     "op2_fingerprints": op2_fingerprints,
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_repeats": op9_repeats,
     "op10_mixing": op10_mixing,
+    "op12_manifest": op12_manifest,
 }
 
 #: What the formatted texts give when they are read back, said of the table itself.
@@ -104,4 +109,4 @@ t AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
   coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss, sum(n + length('<|im_start|>') + 1 + length('<|im_end|>') + 1) AS formatted FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM t"""
 
-ORACLES: dict[str, str] = {"op7_chat": CHAT_SQL}
+ORACLES: dict[str, str] = {"op7_chat": CHAT_SQL, "op12_manifest": manifest.oracle()}
