@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, manifest, mixing, pii, quality_rules, repeats, sentencepiece_bpe, sharding, simhash, weak_labels
+from . import chat, fingerprints, manifest, mixing, pii, quality_rules, repeats, sentencepiece_bpe, sharding, simhash, vector_codes, weak_labels
 from .common import table
 
 
@@ -87,6 +87,12 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    named = F.lit(books.sha256() if books else "").alias("codebooks_sha256")
+    return vector_codes.with_label_error(coded).select("vec_id", vector_codes.hex_code(F.col("code")).alias("code"), "error", "label_error", named)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_labels": op1_weak_labels,
     "op2_fingerprints": op2_fingerprints,
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeats": op9_repeats,
     "op10_mixing": op10_mixing,
     "op12_manifest": op12_manifest,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: What the formatted texts give when they are read back, said of the table itself.
@@ -109,4 +116,4 @@ t AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
   coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss, sum(n + length('<|im_start|>') + 1 + length('<|im_end|>') + 1) AS formatted FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM t"""
 
-ORACLES: dict[str, str] = {"op7_chat": CHAT_SQL, "op12_manifest": manifest.oracle()}
+ORACLES: dict[str, str] = {"op7_chat": CHAT_SQL, "op12_manifest": manifest.oracle(), "op13_vector_codes": vector_codes.oracle()}
