@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, manifest, mixing, pii, quality_rules, repeats, sentencepiece_bpe, sharding, simhash, vector_codes, weak_labels
+from . import byte_cnn, chat, fingerprints, manifest, mixing, pii, quality_rules, repeats, sentencepiece_bpe, sharding, simhash, vector_codes, weak_labels
 from .common import table
 
 
@@ -83,6 +83,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), max_epochs=3.0).drop("times", "source")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = byte_cnn.language_id(table(spark, sf_dir, "documents"))
+    return got.withColumn("score", F.round("score", 6))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_repeats": op9_repeats,
     "op10_mixing": op10_mixing,
+    "op11_language": op11_language,
     "op12_manifest": op12_manifest,
     "op13_vector_codes": op13_vector_codes,
 }
