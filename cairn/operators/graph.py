@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.components import components as linked
 from ..functions.storage import cut
 
 
@@ -35,19 +36,10 @@ def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return found
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component): smallest reachable id; labels are passed on and then followed, so rounds grow with the logarithm."""
-    both = cut(undirected(edges))
-    label = nodes.select("id", F.col("id").alias("component"))
-    for _ in range(max_rounds):
-        near = both.join(label, both.dst == label.id).groupBy("src").agg(F.min("component").alias("n"))
-        least = cut(label.join(near, label.id == near.src, "left").select("id", F.least("component", "n").alias("component"), F.col("component").alias("was")))
-        jump = least.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        new = cut(least.join(jump, "component").select("id", F.least("component", "root").alias("component"), "was"))
-        label = new.select("id", "component")
-        if new.where("component <> was").isEmpty():
-            return label
-    raise RuntimeError("components: no end was reached")
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): smallest reachable id, that of itself for a node without links."""
+    own = linked(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("node", "id")
+    return nodes.select("id").join(own, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, start: DataFrame | None = None, tolerance: float = 1e-6) -> DataFrame:
