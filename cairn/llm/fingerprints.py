@@ -1,7 +1,7 @@
 """Document fingerprints: threshold-scaled sketches. All of it is DataFrame operations.
 
 A sketch is the set of a document's shingle hashes below a fixed fraction of the range. Every document is held
-to the same threshold, so the sketch of a union is the union of sketches, and the share of a small document's
+to the same threshold (a quarter of the range), so the sketch of a union is the union of sketches, and the share of a small document's
 sketch that a large one has estimates containment however unequal they are. A short text may have no hash below
 the threshold. Its sketch stays empty then, and its least hash stands beside it: of two empty sketches it tells
 whether the texts are alike, as a MinHash of one slot does, and the least of a union is the lesser of the two.
@@ -29,9 +29,10 @@ def hashes(text: Column, width: int = WIDTH) -> tuple[Column, Column]:
 
 
 def retained(all_hashes: Column, fraction: float) -> Column:
-    """The hashes below the threshold, sorted, and the least of all (null of an empty text)."""
+    """The hashes below the threshold, by their lower 32 bits, sorted, and the least of all (null of an empty text)."""
     limit = int(-(2**63) + fraction * 2**64)
-    low = F.array_sort(F.array_distinct(F.filter(all_hashes, lambda h: h < F.lit(limit))))
+    lower = lambda h: F.shiftright(F.shiftleft(h, 32), 32).cast("int")
+    low = F.array_sort(F.array_distinct(F.transform(F.filter(all_hashes, lambda h: h < F.lit(limit)), lower)))
     return F.struct(low.alias("low"), F.array_min(all_hashes).alias("least"))
 
 
@@ -60,8 +61,9 @@ def containment(a: Column, b: Column) -> Column:
 
 def as_text(sketch: Column) -> Column:
     """The hashes in hexadecimal; of an empty sketch "~" and the least hash, or nothing for a text without words."""
-    digits = lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))
-    return F.when(F.size(sketch["low"]) > 0, F.array_join(F.transform(sketch["low"], digits), "")).otherwise(F.coalesce(F.concat(F.lit("~"), digits(sketch["least"])), F.lit("")))
+    digits = lambda h, n: F.lower(F.lpad(F.right(F.hex(h), F.lit(n)), n, "0"))
+    low = F.array_join(F.transform(sketch["low"], lambda h: digits(h, 8)), "")
+    return F.when(F.size(sketch["low"]) > 0, low).otherwise(F.coalesce(F.concat(F.lit("~"), digits(sketch["least"], 16)), F.lit("")))
 
 
 def followers(ids: DataFrame) -> DataFrame:
@@ -79,12 +81,12 @@ def followers(ids: DataFrame) -> DataFrame:
     return dealt.join(link, "part").select("o.doc_id", "o.h", "o.n", before.alias("b")).select("doc_id", "h", "n", F.col("b.doc_id").alias("before_id"), F.col("b.h").alias("before_h"), F.col("b.n").alias("before_n"))
 
 
-def fingerprint(docs: DataFrame, fraction: float = 1 / 32) -> DataFrame:
+def fingerprint(docs: DataFrame, fraction: float = 1 / 4) -> DataFrame:
     """One row per document: doc_id, text, sketch. Null texts are empty; rows that repeat stay."""
     return with_sketch(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sketch", fraction)
 
 
-def compare_edited(docs: DataFrame, fraction: float = 1 / 32) -> DataFrame:
+def compare_edited(docs: DataFrame, fraction: float = 1 / 4) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_text, sketch, edited_sketch, next_sketch.
 
     The edited text has the last third of the code points replaced by as many (or all) of the first of the next

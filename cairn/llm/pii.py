@@ -39,9 +39,11 @@ SYLLABLES = {
 #: Syllables that each try adds to a name.
 MORE = (0, 1, 2, 4, 8, 16)
 WORD = r"\p{Lu}[\p{L}'-]{1,40}"
-#: Patterns of entities that no letter or digit precedes. Each is linear in the text: what it repeats without bound is possessive or can start only where the run does.
+#: Patterns of entities that no letter or digit precedes. Each is linear in the text: what it repeats without bound is a possessive run of single
+#: characters, which starts only where the run does; groups repeat a bounded number of times (a domain name has at most 127 labels), as the matcher
+#: goes one level deeper for each.
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+'-])[\p{L}\p{N}._%+'-]++@[\p{L}\p{N}][\p{L}\p{N}-]{0,62}(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?)+",
+    "email": r"(?<![\p{L}\p{N}._%+'-])[\p{L}\p{N}._%+'-]++@[\p{L}\p{N}][\p{L}\p{N}-]{0,62}(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?){1,126}+",
     "secret": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}+|(?=[a-fA-F]{0,99}[0-9])[0-9a-fA-F]{32,}+|(?<=[=:\s\"'])(?<=[=:]\s{0,3}[\"']?)(?<=(?i:token|secret|api_key|apikey|api-key|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"']{6,}+)",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ipv6": r"(?<![:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",

@@ -171,8 +171,8 @@ def ranked(groups: DataFrame) -> DataFrame:
 def _place(groups: DataFrame, pack) -> DataFrame:
     """(gid, size, shard) of every group, with pack a function of sizes and counts to what best_fit_decreasing() gives."""
     rows = cut(ranked(groups))
-    table = rows.groupBy("cls").count().toPandas().sort_values("cls")  # a row for each rounded size
-    sizes, counts = table["cls"].to_numpy(np.int64), table["count"].to_numpy(np.int64)
+    table = rows.groupBy("cls").agg(F.count("*").alias("count"), F.max("size").alias("most")).toPandas().sort_values("cls")  # a row for each rounded size
+    classes, sizes, counts = (table[c].to_numpy(np.int64) for c in ("cls", "most", "count"))  # a class is packed by the largest size that it really has
     made = sorted(pack(sizes, counts), key=lambda x: x[0]) if len(sizes) else []
     at = np.array([i for i, _, _ in made], dtype=np.int64)
     n = np.array([m for _, _, m in made], dtype=np.int64)
@@ -180,13 +180,13 @@ def _place(groups: DataFrame, pack) -> DataFrame:
     first = np.cumsum(counts) - counts
     bins = np.array([b for _, b, _ in made], dtype=np.int32)
     assert len(at) == 0 or (np.diff(at) >= 0).all()
-    shared = groups.sparkSession.sparkContext.broadcast((sizes, first, starts, bins))  # a row for each size and each bin that it enters
+    shared = groups.sparkSession.sparkContext.broadcast((classes, first, starts, bins))  # a row for each size and each bin that it enters
 
     def find(batches):
-        sizes, first, starts, bins = shared.value
+        classes, first, starts, bins = shared.value
         for batch in batches:
             if batch.num_rows:
-                place = first[np.searchsorted(sizes, batch.column(2).to_numpy())] + batch.column(3).to_numpy()
+                place = first[np.searchsorted(classes, batch.column(2).to_numpy())] + batch.column(3).to_numpy()
                 shard = bins[np.searchsorted(starts, place, side="right") - 1]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard)], names=["gid", "size", "shard"])
 
@@ -201,7 +201,8 @@ def assign(groups: DataFrame, n_shards: int) -> DataFrame:
 def fewest_shards(groups: DataFrame, capacity: int) -> DataFrame:
     """(gid, size, shard) of every group, in as few shards of a fixed capacity as best fit decreasing opens.
 
-    A group over the capacity has to overfill a shard; ValueError says so.
+    A group over the capacity has to overfill a shard; ValueError says so. Sizes from 65,536 up count as the largest of
+    their class, 3e-5 more than their own at most, so that a group of just the capacity fits.
     """
     return _place(groups, lambda sizes, counts: best_fit_decreasing(sizes, counts, capacity)[0])
 

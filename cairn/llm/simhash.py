@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, sliced
-from .components import components
+from ..functions.components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 #: Generator polynomial of the binary Golay code of length 23 (fixed value).
