@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from .storage import cut
@@ -30,20 +32,25 @@ def cumulative(rows: DataFrame, by: str, sums: list[str], descending: bool = Fal
 def folded(rows: DataFrame, keys: list[str], order: list, schema: str, start: Callable[[], object], step: Callable[[object, tuple], tuple[object, tuple | None]]) -> DataFrame:
     """Each key's rows in order through step(state, row) -> (state, row of schema or None), from start() on.
 
-    A key's rows are read one after the other from a sorted partition; only the state is kept.
+    A key's rows are read one after the other from a sorted partition; only the state is kept. Null is a key like any other, and
+    nulls reach step as None. All rows of a key go to one task, since each waits for the one before it: more machines serve more keys.
     """
+    at = [rows.columns.index(k) for k in keys]
+    out = T._parse_datatype_string(schema)
+    kinds = to_arrow_schema(out)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
-        for pdf in batches:
-            out, own = [], list(zip(*(pdf[k] for k in keys), strict=True))
-            for k, row in zip(own, pdf.itertuples(index=False), strict=True):
-                if k != key:
-                    key, state = k, start()
-                state, made = step(state, row)
-                if made is not None:
-                    out.append(made)
-            yield pd.DataFrame(out, columns=names)
-
-    names = [part.split()[0] for part in schema.split(", ")]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+        for batch in batches:
+            made = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = tuple(row[i] for i in at)
+                if own != key:
+                    key, state = own, start()
+                state, said = step(state, row)
+                if said is not None:
+                    made.append(said)
+            columns = list(zip(*made, strict=True)) if made else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)

@@ -10,10 +10,24 @@ from ..functions.expr import clamp01, ratio
 
 #: Recall of extraction, prior that a fact exists (of what is mentioned: the second), and the bands of the verdict.
 RECALL, EXISTS, EXISTS_IF_MENTIONED, MISSED_FROM, GAP_UP_TO = 0.7, 0.55, 0.9, 0.6, 0.25
-#: What to do about each status.
-ACTIONS = {"COVERED": "none", "CONFIDENT_ABSENCE": "INVESTIGATE", "POSSIBLE_ABSENCE": "EXTRACT_MORE", "UNKNOWN": "CALIBRATE"}
-#: How much a recall prior counts for by how it was found; a calibrated one comes before all that are not.
-METHODS = {"gold": 3, "empirical": 2, "heuristic": 1}
+#: What to do about each status; about any other, SKIP.
+ACTIONS = {
+    "CONFIDENT_ABSENCE": "INVESTIGATE",
+    "POSSIBLE_ABSENCE": "EXTRACT_MORE",
+    "RETRACTED": "REVIEW_RETRACTION",
+    "COVERED": "SKIP",
+    "UNKNOWN": "SKIP",
+}
+#: The actions in order, and those that a shortlist is made of.
+ACTION_ORDER = ("INVESTIGATE", "EXTRACT_MORE", "REVIEW_RETRACTION", "SKIP")
+SHORTLISTED = ("INVESTIGATE", "EXTRACT_MORE")
+#: How much a recall prior counts for by how it was found, and how much more if it is calibrated.
+METHODS = {
+    "gold_calibrated": 3,
+    "heuristic_modality_prior_derived": 2,
+    "heuristic": 1,
+    "unknown": 0,
+}
 CALIBRATED = 10
 
 
@@ -51,9 +65,22 @@ def map_delta(before: DataFrame, after: DataFrame, keys: list[str], covered: str
 
 
 def triage(cells: DataFrame) -> DataFrame:
-    """cells with the action for their status, in any case; REVIEW for a status that is not known."""
+    """cells with the action for their status, or for their verdict where they have none, in any case and without blanks at the ends."""
     known = F.create_map(*(F.lit(x) for kv in ACTIONS.items() for x in kv))
-    return cells.withColumn("action", F.coalesce(known[F.upper("status")], F.lit("REVIEW")))
+    said = [F.nullif(F.col(c), F.lit("")) for c in ("status", "verdict") if c in cells.columns]
+    return cells.withColumn("action", F.coalesce(known[F.upper(F.trim(F.coalesce(*said, F.lit(""))))], F.lit("SKIP")))
+
+
+def triage_board(cells: DataFrame) -> DataFrame:
+    """(action, n) of every action, those without a cell too."""
+    every = cells.sparkSession.createDataFrame([(a,) for a in ACTION_ORDER], "action string")
+    return every.join(triage(cells).groupBy("action").agg(F.count("*").alias("n")), "action", "left").na.fill(0, ["n"])
+
+
+def triage_shortlist(cells: DataFrame, order: list[str], top: int = 5) -> DataFrame:
+    """The first cells to look at: those to investigate, then those to extract again, each by order."""
+    first = F.when(F.col("action") == SHORTLISTED[0], 0).otherwise(1)
+    return triage(cells).where(F.col("action").isin(*SHORTLISTED)).orderBy(first, *order).limit(max(0, top))
 
 
 def expected_missed(cells: DataFrame, key: str) -> DataFrame:
@@ -62,12 +89,14 @@ def expected_missed(cells: DataFrame, key: str) -> DataFrame:
 
 
 def fuse_priors(priors: DataFrame, delta: float = 0.2) -> DataFrame:
-    """priors (context, recall, method, calibrated, source): the prior that comes first for each context, and whether they differ by more than delta."""
-    rank = F.coalesce(F.create_map(*(F.lit(x) for kv in METHODS.items() for x in kv))[F.col("method")], F.lit(0)) + F.when(F.col("calibrated"), CALIBRATED).otherwise(0)
-    rows = priors.withColumn("_rank", rank)
-    best = F.max_by(F.struct("recall", "method", "calibrated", "source"), F.struct("_rank", -F.xxhash64("source"), "source"))
-    out = rows.groupBy("context").agg(best.alias("b"), (F.max("recall") - F.min("recall") > delta).alias("conflict"), F.max("_rank").alias("rank"))
-    return out.select("context", F.col("b.recall").alias("recall"), F.col("b.method").alias("method"), F.col("b.calibrated").alias("calibrated"), "conflict", "rank")
+    """priors (context, recall, method, calibrated, at: order of arrival): for each context the prior of highest rank, of equals the one
+    that came first, and whether recalls differ by more than delta. A method that is null is unknown, a null in calibrated is false."""
+    known = F.create_map(*(F.lit(x) for kv in METHODS.items() for x in kv))
+    rows = priors.select("context", "recall", F.coalesce("method", F.lit("unknown")).alias("source"), F.coalesce("calibrated", F.lit(False)).alias("calibrated"), "at")
+    rows = rows.withColumn("rank", F.coalesce(known[F.col("source")], F.lit(METHODS["unknown"])) + F.when(F.col("calibrated"), CALIBRATED).otherwise(0))
+    best = F.min_by(F.struct("recall", "source", "calibrated", "rank"), F.struct(-F.col("rank"), F.col("at")))
+    out = rows.groupBy("context").agg(best.alias("b"), (F.max("recall") - F.min("recall") > delta).alias("conflict"))
+    return out.select("context", "b.recall", "b.source", "b.calibrated", "conflict", "b.rank")
 
 
 def cluster_gaps(gaps: DataFrame) -> DataFrame:
@@ -77,7 +106,7 @@ def cluster_gaps(gaps: DataFrame) -> DataFrame:
     key = F.when((text("material") != "") | (text("property") != ""), both).when(text("domain") != "", F.concat(F.lit("domain="), text("domain"))).when(text("type") != "", F.concat(F.lit("type="), text("type"))).otherwise("unclustered")
     rows = gaps.withColumn("key", key).withColumn("type", text("type"))
     kinds = rows.groupBy("key", "type").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    best = F.max_by("type", F.struct(F.when(F.col("type") != "", F.col("n")).otherwise(0), -F.col("first")))
+    best = F.min_by("type", F.struct(-F.when(F.col("type") != "", F.col("n")).otherwise(0), F.col("first")))
     return kinds.groupBy("key").agg(F.sum("n").alias("size"), F.nullif(best, F.lit("")).alias("dominant_type"), F.min("first").alias("first"))
 
 
@@ -89,7 +118,7 @@ def dedup_key(kind: Column, ids: Column) -> Column:
 def best_per_key(rows: DataFrame, key: str, score: str, order: str) -> DataFrame:
     """The row of highest score for each key, of equals the first by order."""
     rest = [c for c in rows.columns if c != key]
-    best = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(score, -F.col(order))).alias("v"))
+    best = rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(F.col(score).isNull(), -F.col(score), F.col(order))).alias("v"))
     return best.select(key, *(F.col(f"v.{c}").alias(c) for c in rest))
 
 

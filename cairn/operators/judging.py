@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.expr import ratio
 from ..functions.order import cumulative
 
 
+@F.pandas_udf(T.DoubleType())
+def sign_p(positive: pd.Series, negative: pd.Series) -> pd.Series:
+    """Exact two-sided binomial p of a split that even chances would make; 1 without any. For rows of results, one for each test."""
+
+    def p(pos: int, neg: int) -> float:
+        n, k = pos + neg, min(pos, neg)
+        term = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k, max(-1, k - 100_000), -1)]  # terms fall off long before
+        return min(1.0, 2 * math.fsum(map(math.exp, term))) if n else 1.0
+
+    return pd.Series([p(int(a), int(b)) for a, b in zip(positive, negative, strict=True)], dtype="float64")
+
+
 def signed_rank(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b): Wilcoxon's W+ and W- (zero differences left out, ties share their middle rank), their lesser, and how many differ each way."""
+    """pairs (a, b): Wilcoxon's W+ and W- (zero differences left out, ties share their middle rank), their lesser, how many differ each way, and the sign test's p."""
     d = pairs.select((F.col("a") - F.col("b")).alias("d")).where("d <> 0")
     per = d.groupBy(F.abs("d").alias("size")).agg(F.count_if(F.col("d") > 0).alias("plus"), F.count_if(F.col("d") < 0).alias("minus"), F.count("*").alias("n"))
     rank = F.col("upto_n") - (F.col("n") - 1) / 2
     s = cumulative(per, "size", ["n"]).agg(F.sum(rank * F.col("plus")).alias("w_plus"), F.sum(rank * F.col("minus")).alias("w_minus"), F.sum("plus").alias("positive"), F.sum("minus").alias("negative"))
-    return s.na.fill(0).withColumn("statistic", F.least("w_plus", "w_minus"))
+    return s.na.fill(0).withColumn("statistic", F.least("w_plus", "w_minus")).withColumn("sign_p", sign_p("positive", "negative"))
 
 
 def edit_scores(pairs: DataFrame) -> DataFrame:

