@@ -24,6 +24,8 @@ from cairn.llm.common import cut, table
 from cairn.llm.queries import tokenizer_model
 
 
+#: Documents go to Python workers and back in batches of so many rows at most: texts have no bound, and a batch is held whole on either side.
+BATCH, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _tables: dict[str, list[str]] = {}
 
 
@@ -41,6 +43,8 @@ def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[S
                     for paths in _tables.values():
                         if path in paths:
                             paths.remove(path)
+        if int(spark.conf.get(BATCH, "10000")) > MOST_ROWS:
+            spark.conf.set(BATCH, str(MOST_ROWS))
         before = len(storage.written)
         out = f(spark, docs, sf_dir)
         _tables.setdefault(f.__name__, []).extend(storage.written[before:])
