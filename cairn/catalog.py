@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from .plans import absence, evaluation, fusion, gaps, graph, judging, linkage, records, retrieval, streams, structure, text  # noqa: F401
+from .plans import absence, evaluation, fusion, gaps, graph, judging, linkage, records, retrieval, streams, structure, structures, text  # noqa: F401
