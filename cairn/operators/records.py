@@ -79,6 +79,26 @@ def decision_groups(events: DataFrame, key: str, time: str, order: str, action:
     return folded(rows, [key], ["t", order], f"{key} long, {order} long, group_first long", lambda: None, step)
 
 
+def token_bucket(events: DataFrame, key: str, time: str, order: str, capacity: float, per_second: float) -> DataFrame:
+    """(key, order, admitted, left): each key has a bucket that begins full and fills with time; an event takes a token, or is turned away if there is less than one.
+
+    Events go by their time and then by order; events without a time are left out, those without a key share a bucket.
+    """
+    if capacity <= 0 or per_second < 0:
+        raise ValueError("a bucket holds something and doesn't leak")
+
+    def step(state: tuple[float, int] | None, row: tuple) -> tuple[tuple[float, int], tuple]:
+        own, t, number = row
+        tokens, before = state or (capacity, t)
+        tokens = min(capacity, tokens + (t - before) / 1_000_000 * per_second)
+        ok = tokens >= 1.0
+        tokens = tokens - 1.0 if ok else tokens
+        return (tokens, t), (own, number, ok, tokens)
+
+    rows = events.select(F.col(key).cast("long").alias(key), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(order).cast("long").alias(order)).where("t IS NOT NULL")
+    return folded(rows, [key], ["t", order], f"{key} long, {order} long, admitted boolean, left double", lambda: None, step)
+
+
 def page(rows: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(size)
 

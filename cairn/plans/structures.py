@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.expr import r6
 from ..operators import betweenness as bw
-from ..operators import blocks, calibrators, clusters, lineage, louvain, resampling
+from ..operators import aliases, blocks, calibrators, clusters, lineage, louvain, records, resampling
 from ..registry import query
 from ..sources.tables import graph, read
 from .evaluation import PAIRS, pairs
@@ -116,3 +116,39 @@ def _inverted(spark, sf):
     v = _vectors(spark, sf)
     got = clusters.inverted_file_search(v, v.where("id % 100 = 0").withColumnRenamed("id", "query"), lists=16, probes=13)
     return got.select("query", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_NAMES = """k AS (SELECT min(p_partkey) AS entity, key FROM (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_brand), '[^0-9a-z]+', '_', 'g'), '^_+|_+$', '', 'g') AS key FROM part) GROUP BY key),
+q AS (SELECT p_partkey AS query, regexp_replace(regexp_replace(lower(substr(p_name, 1 + p_size % 3) || ' ' || p_brand), '[^0-9a-z]+', '_', 'g'), '^_+|_+$', '', 'g') AS text FROM part WHERE p_partkey % 100 = 0)"""
+
+
+def _names(spark, sf):
+    """Parts' names with their brands, and every hundredth of them without its first letters."""
+    part = read(spark, sf, "part")
+    name = lambda n: F.concat(n, F.lit(" "), F.col("p_brand"))
+    asked = part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query"), name(F.expr("substr(p_name, 1 + p_size % 3)")).alias("text"))
+    return aliases.index(part.select(F.col("p_partkey").alias("entity"), name(F.col("p_name")).alias("surface"))), asked
+
+
+@query("alias_within", f"WITH {_NAMES} SELECT query, key, entity, levenshtein(text, key) AS distance FROM q JOIN k ON levenshtein(text, key) <= 2")
+def _within(spark, sf):
+    return aliases.within(*_names(spark, sf))
+
+
+@query("alias_resolved", f"WITH {_NAMES} SELECT query, key, entity, levenshtein(text, key) AS distance FROM q JOIN k ON levenshtein(text, key) <= 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY levenshtein(text, key), key) = 1")
+def _resolved(spark, sf):
+    return aliases.resolved(*_names(spark, sf))
+
+
+@query("alias_prefix", f"WITH {_NAMES} SELECT query, key, entity FROM (SELECT query, substr(text, 1, 1 + query % 6) AS text FROM q) JOIN k ON starts_with(key, text)")
+def _prefix(spark, sf):
+    known, asked = _names(spark, sf)
+    short = F.substring(aliases.canonical_key(F.col("text")), F.lit(1), (1 + F.col("query") % 6).cast("int"))
+    return aliases.beginning_with(known, asked.withColumn("text", short))
+
+
+@query("token_bucket", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), r(user_id, k, event_id, t, has) AS (SELECT user_id, k, event_id, t, 2.0::DOUBLE FROM e WHERE k = 1 UNION ALL
+SELECT e.user_id, e.k, e.event_id, e.t, least(2.0, r.has - CASE WHEN r.has >= 1 THEN 1 ELSE 0 END + (e.t - r.t) / 1000000.0::DOUBLE * 0.00001::DOUBLE) FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id, has >= 1 AS admitted, round(has - CASE WHEN has >= 1 THEN 1 ELSE 0 END, 6) AS "left" FROM r""")
+def _bucket(spark, sf):
+    return records.token_bucket(read(spark, sf, "events"), "user_id", "ts", "event_id", 2.0, 0.00001).withColumn("left", r6(F.col("left")))

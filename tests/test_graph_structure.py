@@ -116,3 +116,45 @@ def test_chains_of_replacements(spark):
     assert found == {99: (100, 99, False), 201: (3, None, False), 203: (1, 203, False), 204: (1, 204, False), 302: (5, 302, True)}
     places, chains = lineage.supersedence(spark.createDataFrame([], "id string, superseded_by string, retracted boolean"))
     assert places.count() == 0 and chains.count() == 0
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_aliases_within_edits_lose_nothing(spark):
+    from cairn.operators import aliases
+
+    rnd = random.Random(12)
+    keys = {"".join(rnd.choices("ab1", k=rnd.randint(1, 14))) for _ in range(250)} | {"a", "b" * 40}
+    names = spark.createDataFrame([(i, k) for i, k in enumerate(sorted(keys))] + [(999, " A "), (7, None), (None, "x"), (8, "--")], "entity long, surface string")
+    texts = sorted({k[:i] + rnd.choice(["", "a", "c"]) + k[i + rnd.randint(0, 1) :] for k in sorted(keys)[::3] for i in (0, len(k) // 2, len(k))} | {""})
+    asked = spark.createDataFrame([*enumerate(texts), (10_000, texts[-1]), (10_001, None)], "query long, text string")
+    known = aliases.index(names)
+    for edits in (1, 2):
+        got = {(r["query"], r.key): r.distance for r in aliases.within(known, asked, edits).collect()}
+        want = {(q, k): d for q, t in [*enumerate(texts), (10_000, texts[-1])] for k in keys if (d := edit_distance(t, k)) <= edits}
+        assert got == want
+    best = {r["query"]: (r.distance, r.key) for r in aliases.resolved(known, asked).collect()}
+    assert best == {q: min((d, k) for (p, k), d in want.items() if p == q) for q in {q for q, _ in want}}
+    begin = {(r["query"], r.key) for r in aliases.beginning_with(known, asked).collect()}
+    assert begin == {(q, k) for q, t in [*enumerate(texts), (10_000, texts[-1])] for k in keys if t and k.startswith(t)}
+    assert {(r.key, r.entity) for r in known.where("key = 'a'").collect()} == {("a", sorted(keys).index("a"))}
+
+
+def test_token_bucket(spark):
+    from cairn.operators import records
+
+    rows = [(u, i, t) for u in (1, None) for i, t in ((1, 0), (2, 0), (3, 1), (4, 20), (5, 21))] + [(1, 9, None)]
+    df = spark.createDataFrame(rows, "u long, i long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = sorted((str(r.u), r.i, r.admitted, round(r.left, 6)) for r in records.token_bucket(df, "u", "ts", "i", 2.0, 0.1).collect())
+    one = [(1, True, 1.0), (2, True, 0.0), (3, False, 0.1), (4, True, 1.0), (5, True, 0.1)]
+    assert got == sorted((u, *r) for u in ("1", "None") for r in one)
+    with pytest.raises(ValueError):
+        records.token_bucket(df, "u", "ts", "i", 0, 1)
