@@ -30,6 +30,14 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def counted_out(df: DataFrame, n: str, to: str, block: int = 10_000) -> DataFrame:
+    """Each row as often as n says, with to counting from 1. A row is given out in blocks, so that no array is as long as the count."""
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / block)))
+    rows = df.where(F.col(n) > 0).withColumn("_block", parts)
+    left = F.least(F.lit(block).cast("long"), F.col(n) - F.col("_block") * block)
+    return rows.withColumn(to, F.explode(F.sequence(F.lit(1).cast("long"), left))).withColumn(to, F.col(to) + F.col("_block") * block).drop("_block")
+
+
 def word_count(text: Column) -> Column:
     """How many words a text has; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

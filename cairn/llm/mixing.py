@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, let, word_count
+from .common import counted_out, cut, let, word_count
 
 
 def fill(sources: DataFrame, weights: list[float], max_epochs: float = 3.0, budget: float | None = None) -> DataFrame:
@@ -116,7 +116,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     rows each have their own draw and keep their row; an empty table gives an empty table.
     """
     got = mix(docs, **options)
-    rows = got.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "copies_in")))
+    rows = counted_out(got, "copies_in", "_i")
     times = F.col("whole") + (F.col("_i") <= F.col("extra")).cast("long")
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), "source", times.alias("times"))
 

@@ -89,3 +89,11 @@ def test_manifest_equals_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({queries.ORACLES['op12_manifest']})").fetchall()
     assert taken(queries.op12_manifest(spark, sf)) == sorted(want, key=repr)
+
+
+def test_rows_are_given_out_in_blocks(spark):
+    from cairn.llm.common import counted_out
+
+    df = spark.createDataFrame([(1, 0), (2, 1), (3, 7), (4, 8), (5, 9), (6, 30)], "id long, n long")
+    got = sorted((r.id, r.i) for r in counted_out(df, "n", "i", block=8).collect())
+    assert got == [(i, k) for i, n in ((2, 1), (3, 7), (4, 8), (5, 9), (6, 30)) for k in range(1, n + 1)]
