@@ -7,9 +7,9 @@ from pyspark.sql.window import Window
 
 from ..functions.expr import r6
 from ..operators import betweenness as bw
-from ..operators import aliases, blocks, calibrators, clusters, lineage, louvain, records, resampling
+from ..operators import aliases, blocks, calibrators, clusters, flow, lineage, louvain, records, resampling
 from ..registry import query
-from ..sources.tables import graph, read
+from ..sources.tables import GRAPH_SQL, graph, read
 from .evaluation import PAIRS, pairs
 from .graph import BOTH
 
@@ -152,3 +152,16 @@ SELECT e.user_id, e.k, e.event_id, e.t, least(2.0, r.has - CASE WHEN r.has >= 1
 SELECT user_id, event_id, has >= 1 AS admitted, round(has - CASE WHEN has >= 1 THEN 1 ELSE 0 END, 6) AS "left" FROM r""")
 def _bucket(spark, sf):
     return records.token_bucket(read(spark, sf, "events"), "user_id", "ts", "event_id", 2.0, 0.00001).withColumn("left", r6(F.col("left")))
+
+
+@query("path_flow", f"""WITH RECURSIVE {GRAPH_SQL}, e AS (SELECT src, dst, type, CASE WHEN type = 'contains' THEN 0.5::DOUBLE ELSE 0.8 END * 0.8 AS w FROM edges), p(source, nodes, types, flow) AS (SELECT id, [id], CAST([] AS VARCHAR[]), 1.0::DOUBLE FROM nodes WHERE id IN (SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 100 = 0) UNION ALL
+SELECT source, list_append(nodes, dst), list_append(types, type), flow * w FROM p JOIN e ON src = nodes[-1] WHERE len(types) < 4 AND NOT list_contains(nodes, dst)), k AS (SELECT p.*, h.target, row_number() OVER (PARTITION BY source, h.target ORDER BY round(flow, 12) DESC, len(nodes), nodes, types) AS rank FROM p JOIN (SELECT 'o' || o_orderkey AS source, 'r' || n_regionkey AS target FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) h USING (source) WHERE nodes[-1] = h.target)
+SELECT source, target, rank, nodes[1] || array_to_string(list_transform(range(1, len(types) + 1), lambda i: ' -[' || types[i] || ']-> ' || nodes[i + 1]), '') AS path, round(flow, 6) AS flow FROM k WHERE rank <= 3""")
+def _flow(spark, sf):
+    """The three best paths from every hundredth order to its customer's region."""
+    _, edges = graph(spark, sf)
+    rated = edges.withColumn("confidence", F.when(F.col("type") == "contains", 0.5))
+    home = read(spark, sf, "orders").where("o_orderkey % 100 = 0").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    pairs_ = home.select(F.concat(F.lit("o"), "o_orderkey").alias("source"), F.concat(F.lit("r"), "n_regionkey").alias("target"))
+    got = flow.best_paths(rated, pairs_, most=4, top=3)
+    return got.select("source", "target", F.col("rank").cast("long").alias("rank"), flow.linear(F.col("nodes"), F.col("types")).alias("path"), r6(F.col("flow")).alias("flow"))

@@ -158,3 +158,31 @@ def test_token_bucket(spark):
     assert got == sorted((u, *r) for u in ("1", "None") for r in one)
     with pytest.raises(ValueError):
         records.token_bucket(df, "u", "ts", "i", 0, 1)
+
+
+def test_best_paths_equal_all_paths(spark):
+    from cairn.operators import flow
+
+    rnd = random.Random(21)
+    edges = [(a, b, rnd.choice("xy"), rnd.choice([None, 0.2, 0.5, 0.9, 1.0])) for a, b in random_graph(22, 14, 60)] + [(1, 1, "x", 1.0)]
+    pairs = [(rnd.randrange(14), rnd.randrange(14)) for _ in range(12)] + [(3, 3), (1, 77), (2, 5), (2, 5)]
+
+    def walk(path, types, f, target):
+        if path[-1] == target:
+            yield f, path, types
+        elif len(types) < 4:
+            for a, b, t, c in edges:
+                if a == path[-1] and b not in path:
+                    yield from walk([*path, b], [*types, t], f * 0.8 * (0.8 if c is None else c), target)
+
+    want = []
+    for s, t in set(pairs):
+        if s != t:
+            best = sorted(walk([s], [], 1.0, t), key=lambda p: (-round(p[0], 12), len(p[1]), p[1], p[2]))[:3]
+            want += [(s, t, i, p, k, pytest.approx(f)) for i, (f, p, k) in enumerate(best, 1)]
+    df, asked = spark.createDataFrame(edges, "src long, dst long, type string, confidence double"), spark.createDataFrame(pairs, "source long, target long")
+    got = flow.best_paths(df, asked, top=3, beam=1)
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[:3]) == sorted(want, key=lambda r: r[:3]) and len(want) > 10
+    one = spark.createDataFrame([(["a", "b"], ["T"])], "n array<string>, t array<string>").select(flow.linear(F.col("n"), F.col("t"))).first()[0]
+    assert one == "a -[T]-> b"
+    assert flow.best_paths(df.where("src < 0"), asked).count() == 0
