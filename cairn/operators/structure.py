@@ -146,19 +146,22 @@ def path_score(hops: Column, evidence: Column) -> Column:
     return 0.5 / (1 + hops) + 0.5 * evidence / (1 + evidence)
 
 
-def closure(parents: DataFrame, most: int = 32) -> DataFrame:
-    """parents (id, parent): (id, ancestor, hops) of all ancestors, by doubling; ValueError where parents form a cycle."""
+def closure(parents: DataFrame) -> DataFrame:
+    """parents (id, parent): (id, ancestor, hops) of all ancestors, by doubling.
+
+    Where parents form a circle, all on it and all that lead into it have each node of it as an ancestor once, by the least hops, and
+    none is its own; other trees are not touched by that. Each round doubles the hops, and there are no more of them than the logarithm of the
+    longest chain, or of a circle's length.
+    """
     from ..functions.storage import cut
 
-    jump = cut(parents.where("parent IS NOT NULL").select("id", F.col("parent").alias("to"), F.lit(1).cast("long").alias("hops")))
-    found = jump
-    for _ in range(most):
+    jump = cut(parents.where("parent IS NOT NULL").select("id", F.col("parent").alias("to"), F.lit(1).cast("long").alias("hops")).distinct())
+    found, many = jump.where("id <> to"), -1
+    while True:
         again = jump.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("hops").alias("more"))
-        longer = cut(found.join(again, "to").select("id", F.col("far").alias("to"), (F.col("hops") + F.col("more")).alias("hops")))
-        if not longer.where("id = to").isEmpty():
-            raise ValueError("parents form a cycle")
-        found = cut(found.unionByName(longer).distinct())
-        jump = cut(jump.join(again, "to").select("id", F.col("far").alias("to"), (F.col("hops") + F.col("more")).alias("hops")))
-        if jump.isEmpty():
+        longer = found.join(again, "to").where("id <> far").select("id", F.col("far").alias("to"), (F.col("hops") + F.col("more")).alias("hops"))
+        found = cut(found.unionByName(longer).groupBy("id", "to").agg(F.min("hops").alias("hops")))
+        jump = cut(jump.join(again, "to").select("id", F.col("far").alias("to"), (F.col("hops") + F.col("more")).alias("hops")).distinct())
+        before, many = many, found.count()
+        if jump.isEmpty() or many == before:
             return found.select("id", F.col("to").alias("ancestor"), "hops")
-    raise ValueError("parents form a cycle")
