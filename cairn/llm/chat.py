@@ -48,14 +48,17 @@ def ancestors(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     known = messages.select(F.col("id").alias("at"))
     at = messages.join(known, messages.parent == known["at"], "left").select("id", F.col("at").alias("to"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length"))
     at, most, jumps = cut(at), None, []
-    while not (jump := at.where("to IS NOT NULL").select("id", "to")).isEmpty():
+    # only messages whose pointers still lead on are joined again, so that one long tree makes no work for the others
+    live, done = at.where("to IS NOT NULL"), at.where("to IS NULL")
+    while not live.isEmpty():
         most = at.count() if most is None else most
         if 1 << len(jumps) > most:
             raise ValueError("parents form a cycle")
-        jumps.append(jump)
-        above = at.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("total").alias("more"), F.col("length").alias("longer"))
-        at = cut(at.join(above, "to", "left").select("id", F.col("far").alias("to"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("longer", F.lit(0).cast("long"))).alias("length")))
-    return jumps, at.select("id", "total", "length")
+        jumps.append(live.select("id", "to"))
+        above = live.unionByName(done).select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("total").alias("more"), F.col("length").alias("longer"))
+        new = cut(live.join(above, "to").select("id", F.col("far").alias("to"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("longer")).alias("length")))
+        live, done = new.where("to IS NOT NULL"), done.unionByName(new.where("to IS NULL"))
+    return jumps, done.select("id", "total", "length")
 
 
 def leaves(messages: DataFrame) -> DataFrame:
