@@ -487,7 +487,7 @@ def test_chat_ranks_equal_plain_ones(spark):
 
 def test_queries_match_their_sql(spark):
     sql = duckdb.connect()
-    for name in ("documents", "conversations"):
+    for name in ("documents", "conversations", "embeddings"):
         sql.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, text in queries.ORACLES.items():
         got = queries.QUERIES[name](spark, SF)
