@@ -7,7 +7,6 @@ from itertools import product
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from cairn.operators import calibrators, clusters, louvain, resampling
 
