@@ -18,7 +18,7 @@ UNITS = {
 def sentences(docs: DataFrame, id_: str, text: str) -> DataFrame:
     """(id, place, sentence): text cut after ., ! or ? before white space; nothing empty."""
     marked = F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\u0001"), "\u0001")
-    rows = docs.select(F.col(id_).alias("id"), F.posexplode(F.filter(F.transform(marked, F.trim), lambda s: s != "")).alias("place", "sentence"))
+    rows = docs.select(F.col(id_).alias("id"), F.posexplode(F.filter(F.transform(marked, lambda s: F.trim(s)), lambda s: s != "")).alias("place", "sentence"))
     return rows.withColumn("place", F.col("place").cast("long"))
 
 
