@@ -29,6 +29,17 @@ def cumulative(rows: DataFrame, by: str, sums: list[str], descending: bool = Fal
     return out.select(*rows.columns, *((F.col(f"_o_{s}") + F.sum(s).over(within)).alias(f"upto_{s}") for s in sums))
 
 
+def sums_in_order(rows: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """(keys, total, n): each key's sum of value, added one row after the other in an order that has no ties, and how many there are.
+
+    A sum of doubles hangs on the order of its terms. In a fixed order it comes out the same in any run, however the rows are dealt; rows are sorted within
+    a key and read one by one, so a large key is never held as an array.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = rows.select(*keys, F.col(value).alias("_one"), F.struct(*order).alias("_at"), F.sum(value).over(w).alias("_upto"))
+    return upto.groupBy(*keys).agg(F.max_by("_upto", "_at").alias("total"), F.count("_one").alias("n"))
+
+
 def folded(rows: DataFrame, keys: list[str], order: list, schema: str, start: Callable[[], object], step: Callable[[object, tuple], tuple[object, tuple | None]]) -> DataFrame:
     """Each key's rows in order through step(state, row) -> (state, row of schema or None), from start() on.
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import r6
+from ..functions.expr import half_up, r6
+from ..functions.order import sums_in_order
 from ..operators import evaluation as ev
 from ..registry import query
-from ..sources.tables import RANKED_PARTS_SQL, ranked_parts, read
+from ..sources.tables import PLACE, RANKED_PARTS_SQL, placed, ranked_parts, read
 from ..operators.fusion import with_rank
 
 
@@ -171,7 +172,8 @@ def _pareto(spark, sf):
 @query("win_rate_matrix", """WITH s AS (SELECT event_type AS system, user_id AS item, round(avg(value), 1) AS score FROM events GROUP BY 1, 2)
 SELECT a.system, b.system AS opponent, count(*) AS n, round(avg(CASE WHEN a.score > b.score THEN 1.0 ELSE 0.0 END), 6) AS win_rate, count(*) FILTER (a.score = b.score) AS ties FROM s a JOIN s b ON a.item = b.item AND a.system <> b.system GROUP BY 1, 2""")
 def _wins(spark, sf):
-    s = read(spark, sf, "events").groupBy(F.col("event_type").alias("system"), F.col("user_id").alias("item")).agg(F.round(F.avg("value"), 1).alias("score"))
+    rows = placed(spark, sf, "events").select(F.col("event_type").alias("system"), F.col("user_id").alias("item"), "value", *PLACE)
+    s = sums_in_order(rows, ["system", "item"], "value", PLACE).select("system", "item", half_up(F.col("total") / F.col("n"), 1).alias("score"))
     return rounded(ev.win_rates(s), "system", "opponent", "n", "ties")
 
 
