@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.expr import ratio
-from ..functions.order import cumulative
+from ..functions.order import cumulative, sums_in_order
 
 
 @F.pandas_udf(T.DoubleType())
@@ -118,9 +118,9 @@ def to_label(rows: DataFrame, group: str, quota: int) -> DataFrame:
     return rows.withColumn("place", place).where(F.col("place") <= quota)
 
 
-def costs(steps: DataFrame, budget: float) -> DataFrame:
-    """steps (query, cost): one row of queries, mean, percentiles and how many are over a budget."""
-    per = steps.groupBy("query").agg(F.sum("cost").alias("cost"))
+def costs(steps: DataFrame, budget: float, order: list[str]) -> DataFrame:
+    """steps (query, cost, order): one row of queries, mean, percentiles and how many are over a budget. Costs are added up in an order without ties, as a sum near the budget hangs on it."""
+    per = sums_in_order(steps, ["query"], "cost", order).select("query", F.col("total").alias("cost"))
     q = F.percentile("cost", F.array(F.lit(0.5), F.lit(0.95)))
     return per.agg(F.count("*").alias("queries"), F.avg("cost").alias("mean"), q.alias("q"), F.count_if(F.col("cost") > budget).alias("over")).select("queries", "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "over")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import r6
 from ..operators import judging as jd
 from ..registry import query
-from ..sources.tables import RANKED_PARTS_SQL, ranked_parts, read
+from ..sources.tables import PLACE, RANKED_PARTS_SQL, placed, ranked_parts, read
 from .evaluation import rounded
 
 
@@ -113,7 +113,8 @@ def _sample(spark, sf):
 
 @query("cost_per_query", "WITH c AS (SELECT l_orderkey AS query, sum(l_tax * l_quantity) AS cost FROM lineitem GROUP BY 1) SELECT count(*) AS queries, round(avg(cost), 6) AS mean, round(quantile_cont(cost, 0.5), 6) AS p50, round(quantile_cont(cost, 0.95), 6) AS p95, count(*) FILTER (cost > 5) AS over FROM c")
 def _costs(spark, sf):
-    return rounded(jd.costs(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query"), (F.col("l_tax") * F.col("l_quantity")).alias("cost")), 5.0), "queries", "over")
+    steps = placed(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query"), (F.col("l_tax") * F.col("l_quantity")).alias("cost"), *PLACE)
+    return rounded(jd.costs(steps, 5.0, PLACE), "queries", "over")
 
 
 @query("abstention_score", """WITH a AS (SELECT user_id, value > 40 AS answered, event_type = 'view' AS correct FROM events), g AS (SELECT user_id, count(*)::DOUBLE AS n, count(*) FILTER (answered) AS a, count(*) FILTER (answered AND correct) AS c FROM a GROUP BY 1)
