@@ -5,12 +5,16 @@ Runs are (query, source, source_pos, id, score). All ranking is within a query,
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.expr import minmax, zscore
+from ..functions.storage import cut
 
 RUN = ["query", "source"]
 
@@ -35,16 +39,48 @@ def borda(runs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
     return with_rank(runs).withColumn("points", weight * points).groupBy("query", "id").agg(F.sum("points").alias("fused"))
 
 
-def condorcet(runs: DataFrame) -> DataFrame:
-    """(query, id, wins, losses): majority comparisons of each two ids of a query.
+def condorcet(runs: DataFrame, block: int = 4096, spread: int = 8) -> DataFrame:
+    """(query, id, wins, losses): majority comparisons of each two ids of a query over the sources that rank both.
 
-    Ids meet only within a query and a list that is short by nature (candidates after retrieval).
+    A query's ids are dealt into blocks, and each block meets each of its query as arrays of ranks: comparisons are counted in numpy and no pair becomes a
+    row. They grow with the square of a query's ids; a task holds two blocks, and what it hands on is a row for each id and `spread` part of the other blocks.
     """
-    ranks = with_rank(runs).select("query", "source", "id", "rank1")
-    a, b = ranks.alias("a"), ranks.alias("b")
-    met = a.join(b, (F.col("a.query") == F.col("b.query")) & (F.col("a.source") == F.col("b.source")) & (F.col("a.id") != F.col("b.id")))
-    votes = met.groupBy(F.col("a.query").alias("query"), F.col("a.id").alias("id"), F.col("b.id").alias("other")).agg(F.sum(F.when(F.col("a.rank1") < F.col("b.rank1"), 1).otherwise(-1)).alias("margin"))
-    return votes.groupBy("query", "id").agg(F.count_if(F.col("margin") > 0).alias("wins"), F.count_if(F.col("margin") < 0).alias("losses"))
+    ranks = with_rank(runs).withColumn("_n", F.count("*").over(Window.partitionBy(*RUN)))
+    names = [r[0] for r in runs.select("source").distinct().orderBy("source").collect()]  # as many as there are signals
+    if not names:
+        return ranks.select("query", "id", F.lit(0).cast("long").alias("wins"), F.lit(0).cast("long").alias("losses"))
+    own = [F.coalesce(F.max(F.when(F.col("source").eqNullSafe(F.lit(n)), F.col("rank1"))), F.lit(0)).alias(f"r{i}") for i, n in enumerate(names)]
+    ids = ranks.groupBy("query", "id").agg(*own, F.max("_n").alias("_n")).where("_n > 1")  # ids that meet another one
+    size = ids.groupBy("query").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
+    dealt = ids.join(size, "query").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    packed = cut(dealt.groupBy("query", "block").agg(F.collect_list(F.struct("id", *(f"r{i}" for i in range(len(names))))).alias("rows")))
+    packed = packed.select("query", "block", F.col("rows.id").alias("ids"), F.flatten(F.array(*(F.col(f"rows.r{i}") for i in range(len(names))))).alias("ranks"))
+    left = packed.select("query", F.col("block").alias("a"), "ids", F.col("ranks").alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"))
+    right = packed.select("query", F.pmod("block", F.lit(spread)).alias("part"), F.col("ranks").alias("others"))
+    met = left.join(right, ["query", "part"]).select("query", "ids", "mine", "others")
+    k = len(names)
+
+    def count(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                query, ids = batch.column("query")[at : at + 1], batch.column("ids")[at].values
+                mine, others = (batch.column(c)[at].values.to_numpy().astype(np.int32).reshape(k, -1) for c in ("mine", "others"))
+                wins, losses = (np.zeros(len(ids), np.int64) for _ in range(2))
+                for lo in range(0, len(ids), 128):
+                    some = mine[:, lo : lo + 128, None]
+                    margin = np.zeros((some.shape[1], others.shape[1]), np.int16)
+                    for i in range(k):
+                        a, b = some[i], others[i][None, :]
+                        sign = (a < b).view(np.int8) - (a > b).view(np.int8)
+                        if not (mine[i].all() and others[i].all()):  # 0: the source doesn't rank it
+                            sign *= ((a > 0) & (b > 0)).view(np.int8)
+                        margin += sign
+                    wins[lo : lo + 128], losses[lo : lo + 128] = np.count_nonzero(margin > 0, 1), np.count_nonzero(margin < 0, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(query.to_pylist() * len(ids), query.type), ids, pa.array(wins), pa.array(losses)], ["query", "id", "wins", "losses"])
+
+    schema = T.StructType([runs.schema["query"], runs.schema["id"], T.StructField("wins", T.LongType()), T.StructField("losses", T.LongType())])
+    votes = met.mapInArrow(count, schema)
+    return votes.groupBy("query", "id").agg(F.sum("wins").alias("wins"), F.sum("losses").alias("losses"))
 
 
 def comb(runs: DataFrame) -> DataFrame:
