@@ -179,11 +179,11 @@ def prove(m: Manifest, most_broadcast: int = 50_000) -> DataFrame:
         siblings = found.groupBy(F.col("of_tree").alias("tree"), F.col("of_idx").alias("idx")).agg(sib.alias("sib"))
         siblings = siblings.withColumn("sib", F.transform("sib", lambda x: F.struct(x["ord"].alias("ord"), F.lower(F.hex(x["digest"])).alias("hex"))))
     # `#` holds the leaf's own place on each level, and `/` ends a level
-    marks = F.flatten(F.transform(way, lambda s: F.array(
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<ord: INT, hex: STRING>>)")
+    marks = none if m.depth + height(m.trees, fan) == 0 else F.flatten(F.transform(way, lambda s: F.array(
         F.struct((s["step"] * (fan + 1) + s["pos"]).cast("int").alias("ord"), F.lit("#").alias("hex")),
         F.struct((s["step"] * (fan + 1) + fan).cast("int").alias("ord"), F.lit("/").alias("hex")),
     )))
-    none = F.expr("CAST(array() AS ARRAY<STRUCT<ord: INT, hex: STRING>>)")
     body = F.array_join(F.transform(F.array_sort(F.concat(F.coalesce("sib", none), marks)), lambda x: x["hex"]), "")
     rows = m.leaves.join(siblings, ["tree", "idx"], "left").withColumn("body", body)
     rows = rows.join(m.subroots(), "tree")
