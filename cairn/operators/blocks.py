@@ -1,6 +1,7 @@
-"""Bridges, articulation points and blocks (biconnected components) by Tarjan and Vishkin's method, as joins.
+"""Bridges, articulation points and blocks (biconnected components) as joins.
 
-A spanning forest is found by Boruvka's rounds, walked along as one list of edge sides (an Euler tour) whose places come from
+Where a breadth-first forest is shallow, each node keeps its path from the root, and a link outside the forest says at once, by the paths of
+its ends, which tree edges it goes around: `shallow`. Else they come by Tarjan and Vishkin's method: a spanning forest is found by Boruvka's rounds, walked along as one list of edge sides (an Euler tour) whose places come from
 pointer doubling, and numbered in preorder. What a subtree's links reach is a least and greatest over a range of numbers, from tables of
 doubling width. Two tree edges are of one block if a link goes around where they meet, and blocks are connected components
 of tree edges. Every step is a join or an aggregation over rows of nodes or edges, and their number grows with the logarithm.
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.components import components
 from ..functions.order import cumulative
 from ..functions.storage import cut
+from .graph import adjacency
+
+#: Levels of a breadth-first forest up to which nodes keep their paths.
+LEVELS = 16
 
 
 def spanning_forest(pairs: DataFrame) -> DataFrame:
@@ -122,9 +127,59 @@ def blocks(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named, links
 
 
-def bridges(edges: DataFrame) -> DataFrame:
+def breadth_first(both: DataFrame, most: int) -> DataFrame | None:
+    """(id, path) of the nodes of both (see adjacency), path leading from the least node of the part to id itself; None if one has more than most levels."""
+    roots = components(both.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))).where("node = component")
+    front = cut(roots.select(F.col("node").alias("id"), F.array("node").alias("path")))
+    before, out = None, front
+    for _ in range(most):
+        met = both.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("up"))
+        # a node's neighbours are at most one level from it
+        seen = front.select("id") if before is None else front.select("id").unionByName(before.select("id"))
+        new = met.join(seen, "id", "left_anti").join(front.select(F.col("id").alias("up"), "path"), "up")
+        before, front = front, cut(new.select("id", F.array_append("path", F.col("id")).alias("path")))
+        if front.isEmpty():
+            return out
+        out = out.unionByName(front)
+    return None
+
+
+def shallow(both: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a breadth-first forest: covered (id, common) and tops (a, b).
+
+    No link outside the forest leads to an ancestor, so it closes a circle through the last node that its ends' paths have in common: through all tree
+    edges below that, of which those next to it are the tops. covered has the nodes whose edge to the parent is on a circle,
+    with the least number of nodes in common of all circles there. Nodes without are ends of bridges.
+    """
+    own = lambda end: paths.select(F.col("id").alias(end), F.col("path").alias(f"path_{end}"))
+    met = both.where("src < dst").join(own("src"), "src").join(own("dst"), "dst")
+    up = lambda end: F.coalesce(F.try_element_at(f"path_{end}", F.lit(-2)), F.col(end))
+    common = F.size(F.array_intersect("path_src", "path_dst"))
+    met = met.where((up("src") != F.col("dst")) & (up("dst") != F.col("src"))).select("src", "dst", common.alias("common"), *(F.try_element_at(f"path_{e}", common + 1).alias(f"top_{e}") for e in ("src", "dst")))
+    met = cut(met)
+    ends = met.select(F.col("src").alias("id"), "common").unionByName(met.select(F.col("dst").alias("id"), "common")).groupBy("id").agg(F.min("common").alias("common"))
+    above = ends.join(paths, "id").select("common", F.posexplode("path").alias("at", "id")).where("at >= common")
+    covered = cut(above.groupBy("id").agg(F.min("common").alias("common")))
+    return covered, met.select(F.least("top_src", "top_dst").alias("a"), F.greatest("top_src", "top_dst").alias("b")).distinct()
+
+
+def blocks_of_shallow(both: DataFrame, paths: DataFrame) -> DataFrame:
+    """(id, parent, block) as blocks() has them: a tree edge and the one above it are of one block if a circle holds both, and so are a circle's tops."""
+    covered, tops = shallow(both, paths)
+    below = covered.join(paths, "id").where(F.col("common") < F.size("path") - 1).select(F.col("id").alias("a"), F.try_element_at("path", F.lit(-2)).alias("b"))
+    same = components(below.unionByName(tops))
+    parent = F.try_element_at("path", F.lit(-2))
+    return paths.join(same, F.col("id") == F.col("node"), "left").select("id", parent.alias("parent"), F.when(parent.isNotNull(), F.coalesce("component", "id")).alias("block"))
+
+
+def bridges(edges: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(a, b), a < b: links without which their ends fall apart. Loops and repeated links are none and change nothing."""
-    return bridges_of(blocks(edges)[0])
+    both = adjacency(edges)
+    paths = breadth_first(both, levels)
+    if paths is None:
+        return bridges_of(blocks(edges)[0])
+    alone = paths.where(F.size("path") > 1).join(shallow(both, paths)[0], "id", "left_anti").select("id", F.try_element_at("path", F.lit(-2)).alias("up"))
+    return alone.select(F.least("id", "up").alias("a"), F.greatest("id", "up").alias("b"))
 
 
 def bridges_of(named: DataFrame) -> DataFrame:
@@ -138,6 +193,8 @@ def cut_points_of(named: DataFrame) -> DataFrame:
     return ends.select("id", "block").unionByName(ends.select(F.col("parent").alias("id"), "block")).groupBy("id").agg(F.min("block").alias("x"), F.max("block").alias("y")).where("x <> y").select("id")
 
 
-def cut_points(edges: DataFrame) -> DataFrame:
+def cut_points(edges: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(id): nodes without which some of their neighbours fall apart."""
-    return cut_points_of(blocks(edges)[0])
+    both = adjacency(edges)
+    paths = breadth_first(both, levels)
+    return cut_points_of(cut(blocks_of_shallow(both, paths)) if paths is not None else blocks(edges)[0])
