@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import ratio
+from ..functions.storage import spread
 from .graph import undirected
 
 
@@ -98,13 +99,13 @@ def relink(edges: DataFrame, merged: DataFrame) -> DataFrame:
     a, b = merged.select(F.col("id").alias("src"), F.col("canonical").alias("_a")), merged.select(F.col("id").alias("dst"), F.col("canonical").alias("_b"))
     e = edges.join(a, "src", "left").join(b, "dst", "left")
     src, dst = F.coalesce("_a", "src"), F.coalesce("_b", "dst")
-    return e.where((src != dst) | (F.col("src") == F.col("dst"))).select(src.alias("src"), dst.alias("dst"), "type").distinct()
+    return spread(e.where((src != dst) | (F.col("src") == F.col("dst"))).select(src.alias("src"), dst.alias("dst"), "type"), "src", "dst").distinct()
 
 
 def symmetric(edges: DataFrame, kinds: list[str]) -> DataFrame:
     """edges, those of symmetric kinds once per pair, from the lesser to the greater id."""
     turn = F.col("type").isin(kinds)
-    return edges.select(F.when(turn, F.least("src", "dst")).otherwise(F.col("src")).alias("src"), F.when(turn, F.greatest("src", "dst")).otherwise(F.col("dst")).alias("dst"), "type").distinct()
+    return spread(edges.select(F.when(turn, F.least("src", "dst")).otherwise(F.col("src")).alias("src"), F.when(turn, F.greatest("src", "dst")).otherwise(F.col("dst")).alias("dst"), "type"), "src", "dst").distinct()
 
 
 def histogram_of_degrees(degree: DataFrame) -> DataFrame:
