@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.components import components
-from ..functions.storage import cut
+from ..functions.storage import cut, spread
 from ..functions.strings import jaro_winkler
 
 
 @dataclass(frozen=True)
 class Comparison:
-    """A column and its levels of agreement from the closest on; a pair that meets none is at level 0, one with a null at -1.
+    """A column and its levels of agreement from the closest on; a pair that meets none is at level 0, one with a null at -1. Equal values meet the closest.
 
     With `tf` a pair that agrees exactly weighs more, the rarer their value is.
     """
@@ -31,8 +31,11 @@ class Comparison:
     levels: tuple[Callable[[Column, Column], Column], ...]
     tf: bool = False
 
-    def level(self) -> Column:
+    def level(self, equal: bool = False) -> Column:
+        """With equal, of pairs that are known to have the same value: nothing is compared."""
         left, right = F.col(f"l_{self.name}"), F.col(f"r_{self.name}")
+        if equal:
+            return F.when(left.isNull(), -1).otherwise(len(self.levels))
         out = F.when(left.isNull() | right.isNull(), -1)
         for i, met in enumerate(self.levels):
             out = out.when(met(left, right), len(self.levels) - i)
@@ -94,11 +97,23 @@ def _sided(one: DataFrame, side: str) -> DataFrame:
     return one.select(*(F.col(c).alias(f"{side}_{c}") for c in one.columns))
 
 
-def rule_pairs(one: DataFrame, rules: tuple[tuple[str, ...], ...]) -> DataFrame:
-    """Pairs (l_*, r_*) of classes that some rule brings together, each once, l_id < r_id, with `rule`, the first rule's number."""
+#: Pairs of one block that a task makes, about.
+TASK_PAIRS = 500_000
+
+
+def rule_pairs(one: DataFrame, rules: tuple[tuple[str, ...], ...], comparisons: tuple[Comparison, ...] = (), most: int = TASK_PAIRS) -> DataFrame:
+    """Pairs (l_*, r_*) of classes that some rule brings together, each once, l_id < r_id, with `rule`, the first rule's number, and the levels of comparisons.
+
+    A block of over `most` pairs is cut into parts of its left rows, each of which meets all of the block. Columns of a pair's rule are equal, so they are not compared.
+    """
     out = None
     for at, rule in enumerate(rules):
-        on = F.col("l_id") < F.col("r_id")
+        known = one.where(" AND ".join(f"{n} IS NOT NULL" for n in rule))
+        sizes = known.groupBy(*rule).agg(F.count("*").alias("_k")).where(F.col("_k") > 1).withColumn("_parts", F.ceil(F.col("_k") * F.col("_k") / (2 * most)).cast("int"))
+        dealt = known.join(sizes.drop("_k"), list(rule))
+        left = _sided(dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")).drop("_parts").select(*one.columns, "part"), "l")
+        right = _sided(dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(*one.columns, "part"), "r")
+        on = (F.col("l_part") == F.col("r_part")) & (F.col("l_id") < F.col("r_id"))
         for name in rule:
             on = on & (F.col(f"l_{name}") == F.col(f"r_{name}"))
         for earlier in rules[:at]:
@@ -106,7 +121,8 @@ def rule_pairs(one: DataFrame, rules: tuple[tuple[str, ...], ...]) -> DataFrame:
             for name in earlier:
                 met = met & (F.col(f"l_{name}") == F.col(f"r_{name}"))
             on = on & ~F.coalesce(met, F.lit(False))
-        got = _sided(one, "l").join(_sided(one, "r"), on).withColumn("rule", F.lit(at))
+        got = spread(left, *(f"l_{name}" for name in rule), "l_part").join(right, on).drop("l_part", "r_part").withColumn("rule", F.lit(at))
+        got = _with_levels(got, comparisons, rule)
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -120,8 +136,8 @@ def _inner(one: DataFrame, rule: tuple[str, ...] = ()) -> DataFrame:
     return some.select(*(F.col(c).alias(f"{s}_{c}") for s in ("l", "r") for c in one.columns))
 
 
-def _with_levels(pairs: DataFrame, comparisons: tuple[Comparison, ...]) -> DataFrame:
-    return pairs.withColumns({f"g_{c.name}": c.level() for c in comparisons})
+def _with_levels(pairs: DataFrame, comparisons: tuple[Comparison, ...], equal: tuple[str, ...] = ()) -> DataFrame:
+    return pairs.withColumns({f"g_{c.name}": c.level(c.name in equal) for c in comparisons}) if comparisons else pairs
 
 
 def _row_pairs() -> Column:
@@ -140,9 +156,9 @@ def patterns(one: DataFrame, comparisons: tuple[Comparison, ...], rules: tuple[t
                 met = met & F.col(f"l_{name}").isNotNull()
             own = own.where(~met)
         inner = own if inner is None else inner.unionByName(own)
-    every = rule_pairs(one, rules).drop("rule").unionByName(inner)
     names = [f"g_{c.name}" for c in comparisons]
-    return _with_levels(every, comparisons).groupBy(*names).agg(F.sum(_row_pairs()).alias("pairs"))
+    every = rule_pairs(one, rules, comparisons).drop("rule").unionByName(_with_levels(inner, comparisons, tuple(c.name for c in comparisons)))
+    return every.groupBy(*names).agg(F.sum(_row_pairs()).alias("pairs"))
 
 
 def blocking_stats(one: DataFrame, rules: tuple[tuple[str, ...], ...]) -> DataFrame:
@@ -262,7 +278,7 @@ def scored(one: DataFrame, model: Model, fitted: Fit, least: float = 0.5) -> Dat
         total = cut(counts).agg(F.sum("_n").alias("_all"))
         tf = counts.join(F.broadcast(total)).select(c.name, (F.col("_n") / F.col("_all")).alias(f"_tf_{c.name}"))  # one row
         with_tf = with_tf.join(tf, c.name, "left")
-    pairs = _with_levels(rule_pairs(cut(with_tf), model.rules), model.comparisons)
+    pairs = rule_pairs(cut(with_tf), model.rules, model.comparisons)
     return pairs.withColumn("weight", _weight(model, fitted)).select(
         F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "weight", (1 / (1 + F.pow(F.lit(2.0), -F.col("weight")))).alias("probability"),
     ).where(F.col("probability") >= least)
@@ -287,7 +303,8 @@ def clusters(one: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, cluster, probability): every row with the least id that its matches reach and the best probability in its cluster (null if it is alone)."""
     found = components(pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
     named = cut(one.select("id", "copies").join(found, F.col("id") == F.col("node"), "left").select("id", "copies", F.coalesce("component", "id").alias("cluster")))
-    best = cut(pairs.join(named.select(F.col("id").alias("left_id"), "cluster"), "left_id").groupBy("cluster").agg(F.max("probability").alias("probability")))
+    own = pairs.groupBy("left_id").agg(F.max("probability").alias("probability"))
+    best = cut(own.join(named.select(F.col("id").alias("left_id"), "cluster"), "left_id").groupBy("cluster").agg(F.max("probability").alias("probability")))
     return members.join(named.select(F.col("id").alias("of"), "cluster", "copies"), "of").join(best, "cluster", "left").select("id", "cluster", F.when((F.col("copies") > 1) & F.col("probability").isNull(), 1.0).otherwise(F.col("probability")).alias("probability"))
 
 
@@ -296,8 +313,8 @@ def link(rows: DataFrame, model: Model, id_: str, threshold: float = 0.5, **opti
 
     Defined results: rows with a null id are left out; a null in a compared column is no evidence, one in a rule's column meets nothing;
     rows alike in all columns are one class and one cluster; an empty table gives empty results. A rule's block is joined within
-    itself, so its pairs grow with the square of its distinct rows: blocking_stats() tells before. A block that fills one partition is
-    split by adaptive execution.
+    itself, so its pairs grow with the square of its distinct rows: blocking_stats() tells before. Large blocks are
+    cut into parts by rule_pairs().
     """
     one, members = classes(rows, model, id_)
     fitted = fit(one, model, **options)
