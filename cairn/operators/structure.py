@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.expr import ratio
 from ..functions.storage import spread
-from .graph import undirected
+from .graph import between, undirected
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -56,10 +56,11 @@ def strength(projection: DataFrame) -> DataFrame:
 
 def boundary(edges: DataFrame, member: DataFrame) -> DataFrame:
     """member (id, community): entities with links to other communities: inside, outside, and which others, in order."""
-    both = undirected(edges)
-    m = both.join(member.select(F.col("id").alias("src"), F.col("community").alias("own")), "src").join(member.select(F.col("id").alias("dst"), F.col("community").alias("other")), "dst")
-    away = F.when(F.col("own") != F.col("other"), F.col("other"))
-    found = m.groupBy(F.col("src").alias("id"), "own").agg(F.count_if(F.col("own") == F.col("other")).alias("inside"), F.count(away).alias("outside"), F.array_join(F.array_sort(F.collect_set(away)), ",").alias("others"))
+    m = between(edges, member)
+    ends = F.array(F.struct(F.col("src").alias("id"), "own", "other"), F.struct(F.col("dst").alias("id"), F.col("other").alias("own"), F.col("own").alias("other")))
+    counted = m.select(F.explode(ends).alias("e")).select("e.*").groupBy("id", "own", "other").agg(F.count("*").alias("n"))
+    away = F.col("own") != F.col("other")
+    found = counted.groupBy("id", "own").agg(F.coalesce(F.sum(F.when(~away, F.col("n"))), F.lit(0)).alias("inside"), F.coalesce(F.sum(F.when(away, F.col("n"))), F.lit(0)).alias("outside"), F.array_join(F.array_sort(F.collect_set(F.when(away, F.col("other")))), ",").alias("others"))
     return found.where("outside > 0")
 
 

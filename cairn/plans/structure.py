@@ -9,7 +9,7 @@ from ..functions.expr import r6
 from ..operators import graph as g
 from ..operators import structure as st
 from ..registry import query
-from ..sources.tables import GRAPH_SQL, graph, read
+from ..sources.tables import GRAPH_SQL, _name, graph, named, number, read
 from .graph import BOTH
 
 HOME = "member AS (SELECT 'c' || c_custkey AS id, 'n' || c_nationkey AS community FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"
@@ -17,17 +17,17 @@ TRADE = "trade AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS
 PAIRS = f"{HOME}, {TRADE}, p AS (SELECT src, dst, a.community AS x, b.community AS y FROM trade JOIN member a ON a.id = src JOIN member b ON b.id = dst)"
 
 
-def home(spark, sf):
+def home(spark, sf, key=_name):
     """Customers and suppliers in the community of their nation."""
     c, s = read(spark, sf, "customer"), read(spark, sf, "supplier")
-    one = lambda t, p, k, n: t.select(F.concat(F.lit(p), k).alias("id"), F.concat(F.lit("n"), n).alias("community"))
+    one = lambda t, p, k, n: t.select(key(p, k).alias("id"), F.concat(F.lit("n"), n).alias("community"))
     return one(c, "c", "c_custkey", "c_nationkey").unionByName(one(s, "s", "s_suppkey", "s_nationkey"))
 
 
-def trade(spark, sf):
+def trade(spark, sf, key=_name):
     """Who buys from whom, with the quantity."""
     both = read(spark, sf, "orders").join(read(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return both.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), "l_quantity")
+    return both.select(key("c", "o_custkey").alias("src"), key("s", "l_suppkey").alias("dst"), "l_quantity")
 
 
 @query("graph_stats", f"WITH {GRAPH_SQL}, n AS (SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges) SELECT nodes, edges, round(2.0 * edges / nodes, 6) AS mean_degree, round(edges::DOUBLE / (nodes * (nodes - 1)), 8) AS density FROM n")
@@ -70,7 +70,7 @@ def _strength(spark, sf):
 @query("community_boundary", f"""WITH {PAIRS}, d AS (SELECT src AS id, x AS own, y AS other FROM p UNION ALL SELECT dst, y, x FROM p)
 SELECT id, own, count(*) FILTER (own = other) AS inside, count(*) FILTER (own <> other) AS outside, array_to_string(list_sort(list_distinct(list(other) FILTER (own <> other))), ',') AS others FROM d GROUP BY 1, 2 HAVING count(*) FILTER (own <> other) > 0""")
 def _boundary(spark, sf):
-    return st.boundary(trade(spark, sf), home(spark, sf))
+    return st.boundary(trade(spark, sf, number), home(spark, sf, number)).select(named("id"), "own", "inside", "outside", "others")
 
 
 @query("community_merge_candidates", f"""WITH {PAIRS}, c AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM p GROUP BY 1, 2), i AS (SELECT a AS c, n FROM c WHERE a = b),
