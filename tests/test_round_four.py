@@ -21,3 +21,55 @@ def test_typed_degree_has_every_node_with_an_edge(spark):
     got = {r.id: r for r in registry.queries()["typed_degree"](spark, "/root/testdata/sf0.001").collect()}
     assert got["r0"].in_in_region == got["r0"].total_in == 5 and got["n1"].out_in_region == 1
     assert sum(r.total_in for r in got.values()) == sum(r.total_out for r in got.values())
+
+
+def test_blocked_pairs_of_any_length_equal_all_pairs(spark):
+    """Names of no letter, of few and of many, copies and nulls: against a comparison of all pairs."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from cairn.operators import retrieval
+
+    rnd, rows = random.Random(3), []
+    for length in (0, 1, 2, 5, 9, 10, 11, 19, 20, 21, 35):
+        for _ in range(12):
+            base = "".join(rnd.choice("abé") for _ in range(length))
+            for _ in range(2):
+                s = list(base)
+                for _ in range(rnd.randint(0, 3)):
+                    at = rnd.randint(0, len(s))
+                    s[at : at + rnd.randint(0, 1)] = rnd.choice(["", "a", "b"])
+                rows.append((len(rows), "".join(s), rnd.choice([1, 1, 2, None])))
+    rows += [(5, rows[7][1], 1), (len(rows), None, 1), (None, "ab", 1)]
+    table = spark.createDataFrame(rows, "id long, name string, k int")
+    a, b = table.alias("a"), table.alias("b")
+    score = 1 - F.levenshtein("a.name", "b.name") / F.greatest(F.length("a.name"), F.length("b.name"), F.lit(1))
+    for least in (0.9, 0.5, 0.0, 1.0):
+        want = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))).select("a.id", "b.id", score.alias("score")).where(F.col("score") >= least)
+        got = retrieval.blocked_pairs(table, "id", [F.col("k")], "name", least)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), least
+
+
+def test_blocked_pairs_of_a_large_block_are_not_all_made(spark):
+    """All pairs of a block were compared: 450 million here, half an hour in one task."""
+    import threading
+
+    from pyspark.sql import functions as F
+
+    from cairn.operators import retrieval
+
+    number = F.col("id") * 7919 % 100_003
+    names = spark.range(30_000).select("id", F.concat(F.lit("Customer#"), F.lpad(number.cast("string"), 9, "0")).alias("name"), F.lit(1).alias("k"))
+    digits = [f"{i * 7919 % 100_003:09}" for i in range(30_000)]
+    place = {d: i for i, d in enumerate(digits)}
+    want = {(i, place[t]) for d, i in place.items() for at in range(9) for x in "0123456789" if (t := d[:at] + x + d[at + 1 :]) in place and i < place[t]}
+    late = threading.Timer(120, spark.sparkContext.cancelJobGroup, ["pairs"])
+    spark.sparkContext.setJobGroup("pairs", "pairs")
+    late.start()
+    try:
+        got = retrieval.blocked_pairs(names, "id", [F.col("k")], "name", 0.9).collect()
+    finally:
+        late.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == len(want) and {(r.left_id, r.right_id) for r in got} == want
