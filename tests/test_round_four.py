@@ -73,3 +73,22 @@ def test_blocked_pairs_of_a_large_block_are_not_all_made(spark):
         late.cancel()
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(got) == len(want) and {(r.left_id, r.right_id) for r in got} == want
+
+
+def test_core_numbers_keep_their_state_in_bytes_and_leave_no_old_rounds(spark, tmp_path):
+    """Links and states were arrays of numbers, taken apart value by value in each round, and every round's table and shuffles stayed on disk."""
+    import os
+    import random
+
+    from cairn.functions.storage import shared_dir
+    from cairn.operators import graph as g
+
+    from .test_operators import plain_cores
+
+    rnd = random.Random(5)
+    links = [(a, b) for a in range(60) for b in range(a) if rnd.random() < (0.5 if a < 20 else 0.08)]
+    before = set(os.listdir(shared_dir(spark).removeprefix("file://"))) if os.path.isdir(shared_dir(spark).removeprefix("file://")) else set()
+    got = g.core_numbers(None, spark.createDataFrame(links + links[:9] + [(4, 4), (None, 3)], "src long, dst long"), block=60, least=1)
+    assert {r.id: r.core for r in got.collect()} == {i: k for i, k in plain_cores(60, links).items() if any(i in e for e in links)}
+    left = set(os.listdir(shared_dir(spark).removeprefix("file://"))) - before
+    assert len(left) == 4  # the links once, in blocks, the last round, the result
