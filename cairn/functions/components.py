@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import cut, delete, sweep, written
 
 
 def components(edges: DataFrame, seed: int = 5) -> DataFrame:
@@ -19,7 +19,7 @@ def components(edges: DataFrame, seed: int = 5) -> DataFrame:
     edges can be split. Self-loops, repeated edges and null ends change nothing.
     """
     pairs = cut(_pairs(edges.where("a IS NOT NULL AND b IS NOT NULL"), F.col("a"), F.col("b")))
-    rounds: list[DataFrame] = []
+    at, rounds = written[-1], []
     while True:
         order = lambda node: F.xxhash64(F.lit(seed + len(rounds)), node)  # noqa: E731, B023
         both = pairs.union(pairs.select("b", "a"))
@@ -27,8 +27,12 @@ def components(edges: DataFrame, seed: int = 5) -> DataFrame:
         own = cut(near.select("node", F.when(order(F.col("near")) < order(F.col("node")), F.col("near")).otherwise(F.col("node")).alias("rep")))
         rounds.append(own)
         a, b = own.select(F.col("node").alias("a"), F.col("rep").alias("ra")), own.select(F.col("node").alias("b"), F.col("rep").alias("rb"))
-        pairs = cut(_pairs(pairs.join(a, "a").join(b, "b"), F.col("ra"), F.col("rb")))
+        pairs, old = cut(_pairs(pairs.join(a, "a").join(b, "b"), F.col("ra"), F.col("rb"))), at
+        at = written[-1]
+        del near, both
+        sweep(pairs.sparkSession, old)
         if pairs.isEmpty():
+            delete(pairs.sparkSession, at)
             break
     named = rounds[-1].withColumnRenamed("rep", "root")
     for at, own in enumerate(reversed(rounds[:-1])):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.components import components
 from ..functions.order import cumulative
-from ..functions.storage import cut
+from ..functions.storage import cut, sweep
 from .graph import adjacency
 
 #: Levels of a breadth-first forest up to which nodes keep their paths.
@@ -176,6 +176,7 @@ def bridges(edges: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(a, b), a < b: links without which their ends fall apart. Loops and repeated links are none and change nothing."""
     both = adjacency(edges)
     paths = breadth_first(both, levels)
+    sweep(edges.sparkSession)
     if paths is None:
         return bridges_of(blocks(edges)[0])
     alone = paths.where(F.size("path") > 1).join(shallow(both, paths)[0], "id", "left_anti").select("id", F.try_element_at("path", F.lit(-2)).alias("up"))
@@ -197,4 +198,5 @@ def cut_points(edges: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(id): nodes without which some of their neighbours fall apart."""
     both = adjacency(edges)
     paths = breadth_first(both, levels)
+    sweep(edges.sparkSession)
     return cut_points_of(cut(blocks_of_shallow(both, paths)) if paths is not None else blocks(edges)[0])

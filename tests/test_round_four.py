@@ -92,3 +92,36 @@ def test_core_numbers_keep_their_state_in_bytes_and_leave_no_old_rounds(spark, t
     assert {r.id: r.core for r in got.collect()} == {i: k for i, k in plain_cores(60, links).items() if any(i in e for e in links)}
     left = set(os.listdir(shared_dir(spark).removeprefix("file://"))) - before
     assert len(left) == 4  # the links once, in blocks, the last round, the result
+
+
+def test_louvain_leaves_only_its_levels_on_disk(spark):
+    """The blocks and links of each level stayed until the end."""
+    import os
+
+    from cairn.functions.storage import shared_dir
+    from cairn.operators import louvain
+
+    place = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(place)) if os.path.isdir(place) else set()
+    edges = [(10 * c + i, 10 * c + j) for c in range(6) for i in range(6) for j in range(i)] + [(10 * c, 10 * c + 10) for c in range(5)]
+    got = louvain.louvain(spark.range(60), spark.createDataFrame(edges, "src long, dst long"))
+    levels = len(got.quality)
+    left = set(os.listdir(place)) - before
+    assert levels == got.levels.select("level").distinct().count() and len(left) <= levels + 1  # the nodes and each level
+
+
+def test_components_leave_no_links_on_disk(spark):
+    """Each round's links stayed until the end."""
+    import os
+
+    from cairn.functions.components import components
+    from cairn.functions.storage import cut, shared_dir
+
+    cut(spark.range(1))
+    place = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(place))
+    got = components(spark.range(300).selectExpr("id AS a", "id + 1 AS b"))
+    new = set(os.listdir(place)) - before
+    assert {r.component for r in got.collect()} == {0}
+    kept = [spark.read.parquet(f"{place}/{name}").columns for name in new]
+    assert ["a", "b"] not in kept and len(kept) > 3
